@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import media, secrets, sharding
+from shelfwise.llm import bpe, media, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_wav_fingerprints": media.op2_wav_fingerprints,
     "op4_feistel_shards": sharding.op4_feistel_shards,
+    "op10_chunked_bpe": bpe.op10_chunked_bpe,
 }
 
 ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.OP1_SQL}
