@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, media, secrets, sharding
+from shelfwise.llm import bpe, media, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_wav_fingerprints": media.op2_wav_fingerprints,
     "op4_feistel_shards": sharding.op4_feistel_shards,
+    "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
+    "op9_subword_quality": quality.op9_subword_quality,
     "op10_chunked_bpe": bpe.op10_chunked_bpe,
 }
 
