@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words, its pairs of neighbouring words, and the runs of 3 and 4
-bytes inside words, all hashed into one table of learned vectors. The text's vector is the
+A text's features are its words, its pairs of neighbouring words (a word said twice is one
+pair, whatever the word), and the runs of 3 and 4 bytes inside words, all hashed into one table of learned vectors. The text's vector is the
 mean of its features' vectors; a softmax over two classes follows. Vectors and output
 weights are learned together by stochastic gradient descent in numpy. As the output is
 linear before the softmax, scoring adds up one number for each feature (its vector times
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from shelfwise.llm.textkit import Words, blocks, mix
 
 BITS, DIMS = 18, 16
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 6000
+#: The hash of every pair of equal words, whatever the word.
+DOUBLED = np.uint64(0x5851F42D4C957F2D)
 
 
 def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -38,7 +40,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     shift = np.uint64(64 - BITS)
     words = w.hashes()
     yield (words >> shift).astype(np.int32), w.doc
-    two = mix(words[:-1] * np.uint64(3) + words[1:])
+    two = np.where(words[:-1] == words[1:], DOUBLED, mix(words[:-1] * np.uint64(3) + words[1:]))
     same = w.doc[:-1] == w.doc[1:]
     yield (two[same] >> shift).astype(np.int32), w.doc[:-1][same]
     left = np.zeros(len(w.buf) + 1, np.int32)  # bytes from here to the end of the word
@@ -66,7 +68,7 @@ class SubwordModel:
     bias: float
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 0.6, seed: int = 11) -> SubwordModel:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 4, rate: float = 0.6, seed: int = 11) -> SubwordModel:
     """bags: distinct buckets of each text and how often each occurs; labels: 0 or 1."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (1 << BITS, DIMS)).astype(np.float32)

@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 A text's features are the hashed words that occur in it (letters and digits, ASCII letters
-lowered, bytes of other letters kept). One weight vector w is shared by all thresholds:
+lowered, bytes of other letters kept) and the words' beginnings of PREFIXES bytes, so that a
+stem is known with endings that no labelled text has. One weight vector w is shared by all thresholds:
 P(grade <= k) = sigmoid(theta_k - w.x) with theta_0 <= theta_1 <= ...; the fit is penalised
 by the sum of absolute weights, so few words keep one. A score gives the expected grade
 (severity), the chance of each grade being passed, and the likeliest side of the first
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textkit import Words, blocks, span_hashes
+from shelfwise.llm.textkit import Words, blocks, mix, prefix_sums, span_hashes
 
 BITS = 20
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 16_000
+PREFIXES = (4, 5, 6)
+#: Standard errors by which a feature's share must differ to enter the fit.
+SCREEN = 4.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,10 +40,17 @@ _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 
 def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word of the texts, repeats included."""
+    """(bucket, text) of every word and beginning of the texts, repeats included."""
     w = Words(texts, _NOT_WORD)
-    h = span_hashes(_LOWER[w.buf], w.start, w.end)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), w.doc
+    lowered = _LOWER[w.buf]
+    sums = prefix_sums(lowered)
+    hashes, docs = [span_hashes(lowered, w.start, w.end, sums)], [w.doc]
+    for n in PREFIXES:
+        longer = w.end - w.start > n
+        start = w.start[longer]
+        hashes.append(mix(span_hashes(lowered, start, start + n, sums) + np.uint64(1)))
+        docs.append(w.doc[longer])
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
 @dataclass
@@ -54,7 +65,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float = 2e-4, steps: int = 400) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float = 1e-4, steps: int = 600) -> OrdinalModel:
     """Accelerated proximal gradient on the penalised likelihood.
 
     rows: distinct buckets of each text; grades: 0 to levels - 1.
@@ -68,8 +79,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)))
     ids, col = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(col, minlength=len(ids))
-    keep = (df >= 3) & (df < 0.5 * n)
+    # screening: a feature stays if its share differs between grade 0 and the others
+    df, bad = np.bincount(col, minlength=len(ids)), np.bincount(col, weights=(grades > 0)[row], minlength=len(ids))
+    n_bad, p = max(1, np.sum(grades > 0)), (df + 0.5) / (n + 1)
+    apart = bad / n_bad - (df - bad) / max(1, n - n_bad)
+    keep = (df >= 3) & (np.abs(apart) >= SCREEN * np.sqrt(p * (1 - p) * (1 / n_bad + 1 / max(1, n - n_bad))))
     if not keep.any():
         return OrdinalModel(weights, thresholds)
     place = np.cumsum(keep) - 1
