@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textkit import Words, blocks, prefix_sums, span_hashes, window_hashes
+from shelfwise.llm.textkit import Words, blocks, lowered, prefix_sums, span_hashes, window_hashes
 
 WINDOW, LEAST_TOKENS, COVERAGE = 8, 5, 0.5
 BITMAP_BITS = 26
@@ -43,8 +43,6 @@ UNITS = (
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 MARKS = {NUMBER: b"{number}", NAME: b"{name}", UNIT: b"{unit}"}
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _ENDS = np.zeros(256, bool)
@@ -66,8 +64,8 @@ class Templates:
     def __init__(self, texts: list[bytes]) -> None:
         w = Words(texts, _NOT_WORD)
         self.raw, n = w.raw, len(w.start)
-        lowered = _LOWER[w.buf]
-        hashes = span_hashes(lowered, w.start, w.end, prefix_sums(lowered))
+        low = lowered(w.raw)
+        hashes = span_hashes(low, w.start, w.end, prefix_sums(low))
         kind = np.zeros(n, np.int8)
         if n:
             digits = np.zeros(len(w.buf) + 1, np.int32)
@@ -112,7 +110,7 @@ class Templates:
         words, slots = [], []
         for i in range(at, at + width):
             raw, k = self.raw[self.start[i] : self.end[i]], int(self.kind[i])
-            words.append(raw.lower() if k == LITERAL else MARKS[k])
+            words.append(raw.decode("utf-8", "replace").lower().encode() if k == LITERAL else MARKS[k])
             if k != LITERAL:
                 slots.append(f"{k}:" + raw.decode("utf-8", "replace").lower())
         return b" ".join(words).decode("utf-8", "replace"), slots

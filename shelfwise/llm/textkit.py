@@ -135,8 +135,14 @@ def whole_hash(words: np.ndarray) -> int:
     return int(mix(np.array([out ^ 0x5555555555555555], np.uint64))[0])
 
 
-def as_bytes(column) -> list[bytes]:
-    """The texts of an Arrow string column as UTF-8; null as empty."""
-    import pyarrow as pa
+def lowered(raw: bytes) -> np.ndarray:
+    """The bytes of some UTF-8 text with letters lowered, each letter in its own place.
 
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+    A letter whose lower form takes another number of bytes stays as it is.
+    """
+    text = raw.decode("utf-8", "surrogateescape")
+    low = text.lower().encode("utf-8", "surrogateescape")
+    if len(low) != len(raw):
+        change = {c: c.lower() for c in set(text) if len(c.lower().encode("utf-8", "surrogateescape")) == len(c.encode("utf-8", "surrogateescape"))}
+        low = text.translate(str.maketrans(change)).encode("utf-8", "surrogateescape")
+    return np.frombuffer(low, np.uint8)

@@ -1,12 +1,11 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-A text's features are the hashed words that occur in it (letters and digits, ASCII letters
-lowered, bytes of other letters kept) and the words' beginnings of PREFIXES bytes, so that a
-stem is known with endings that no labelled text has. One weight vector w is shared by all thresholds:
-P(grade <= k) = sigmoid(theta_k - w.x) with theta_0 <= theta_1 <= ...; the fit is penalised
-by the sum of absolute weights, so few words keep one. A score gives the expected grade
-(severity), the chance of each grade being passed, and the likeliest side of the first
-threshold (toxic).
+A text's features are the hashed words that occur in it (letters and digits, lowered) and
+the words' beginnings of PREFIXES bytes, so that a stem is known with endings that no
+labelled text has. One weight vector w is shared by all thresholds: P(grade <= k) =
+sigmoid(theta_k - w.x) with theta_0 <= theta_1 <= ...; the fit is penalised by the sum of
+absolute weights, so few features keep one. A score gives the expected grade (severity),
+the chance of each grade being passed, and the likelier side of the first threshold (toxic).
 
 The model is fitted on a bounded sample of labelled rows (sample_rows, those with the
 least hash of the id); every text is scored whole. Null and empty texts have no features
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textkit import Words, blocks, mix, prefix_sums, span_hashes
+from shelfwise.llm.textkit import Words, blocks, lowered, mix, prefix_sums, span_hashes
 
 BITS = 20
 SAMPLE_ROWS = 16_000
@@ -33,8 +32,6 @@ PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's share must differ to enter the fit.
 SCREEN = 4.0
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -42,13 +39,13 @@ _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every word and beginning of the texts, repeats included."""
     w = Words(texts, _NOT_WORD)
-    lowered = _LOWER[w.buf]
-    sums = prefix_sums(lowered)
-    hashes, docs = [span_hashes(lowered, w.start, w.end, sums)], [w.doc]
+    low = lowered(w.raw)
+    sums = prefix_sums(low)
+    hashes, docs = [span_hashes(low, w.start, w.end, sums)], [w.doc]
     for n in PREFIXES:
         longer = w.end - w.start > n
         start = w.start[longer]
-        hashes.append(mix(span_hashes(lowered, start, start + n, sums) + np.uint64(1)))
+        hashes.append(mix(span_hashes(low, start, start + n, sums) + np.uint64(1)))
         docs.append(w.doc[longer])
     return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
