@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, decontaminate, media, quality, secrets, sharding, toxicity
+from shelfwise.llm import bpe, decontaminate, media, quality, secrets, sharding, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_wav_fingerprints": media.op2_wav_fingerprints,
     "op4_feistel_shards": sharding.op4_feistel_shards,
+    "op5_superkmer_dedup": windows.op5_superkmer_dedup,
     "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
     "op7_template_decontamination": decontaminate.op7_template_decontamination,
     "op9_subword_quality": quality.op9_subword_quality,
