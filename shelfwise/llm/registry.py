@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, decontaminate, media, quality, secrets, sharding, toxicity, windows
+from shelfwise.llm import bpe, decontaminate, jaccard, media, quality, secrets, sharding, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_wav_fingerprints": media.op2_wav_fingerprints,
+    "op3_adaptive_prefix_join": jaccard.op3_adaptive_prefix_join,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op5_superkmer_dedup": windows.op5_superkmer_dedup,
     "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
