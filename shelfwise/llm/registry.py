@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, decontaminate, jaccard, media, quality, secrets, sharding, toxicity, windows
+from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, quality, secrets, sharding, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_superkmer_dedup": windows.op5_superkmer_dedup,
     "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
     "op7_template_decontamination": decontaminate.op7_template_decontamination,
+    "op8_license_bands": licenses.op8_license_bands,
     "op9_subword_quality": quality.op9_subword_quality,
     "op10_chunked_bpe": bpe.op10_chunked_bpe,
 }
