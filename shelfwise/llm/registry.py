@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, quality, secrets, sharding, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_template_decontamination": decontaminate.op7_template_decontamination,
     "op8_license_bands": licenses.op8_license_bands,
     "op9_subword_quality": quality.op9_subword_quality,
+    "pipeline": corpus_pipeline.run,
     "op10_chunked_bpe": bpe.op10_chunked_bpe,
 }
 

@@ -107,16 +107,20 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def found_in_blobs(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and spans (start, rank, end, kind) of the distinct texts that have any."""
+    scanned = scan_blobs(blobs_of(versions, text), ledger, rules)
+    return scanned.select("blob", all_spans(rules).alias("spans")).where(F.size("spans") > 0)
+
+
 def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path and spans (start, rank, end, kind) of every version, null where there are none.
 
     Blobs with findings are written to the shared folder first, so that the join back sees
     two plain shuffled sides and Spark can split the paths of one hot blob over tasks.
     """
-    scanned = scan_blobs(blobs_of(versions, text), ledger, rules)
-    found = scanned.select("blob", all_spans(rules).alias("spans")).where(F.size("spans") > 0)
     paths = versions.select(F.col(path), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("blob"))
-    return paths.join(checkpointed(found), "blob", "left").select(path, "spans")
+    return paths.join(checkpointed(found_in_blobs(versions, text, ledger, rules)), "blob", "left").select(path, "spans")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

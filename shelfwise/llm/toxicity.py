@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.textkit import Words, blocks, lowered, mix, prefix_sums, span_hashes
 
 BITS = 20
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 10_000
 PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's share must differ to enter the fit.
 SCREEN = 4.0
@@ -148,6 +148,29 @@ def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int
     return fit([rows[i] for i in order], y[order], levels)
 
 
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            texts = [b"" if t is None else t for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            clean = [chances(sent.value, texts[a:b])[:, 0] < 0.5 for a, b in blocks(texts)]
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def chances(model: OrdinalModel, texts: list[bytes]) -> np.ndarray:
+    """P(grade > k) of some texts, a row for each."""
+    bucket, doc = word_buckets(texts)
+    hit = np.flatnonzero(model.weights[bucket])
+    pairs = np.unique(doc[hit] << np.int64(BITS) | bucket[hit])
+    return model.passed(np.bincount(pairs >> BITS, weights=model.weights[pairs & ((1 << BITS) - 1)], minlength=len(texts)))
+
+
 def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, severity (expected grade), p_toxic, p_severe and toxic (0 or 1) of every row."""
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
@@ -159,11 +182,7 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                bucket, doc = word_buckets(texts[a:b])
-                hit = np.flatnonzero(m.weights[bucket])
-                pairs = np.unique(doc[hit] << np.int64(BITS) | bucket[hit])
-                z = np.bincount(pairs >> BITS, weights=m.weights[pairs & ((1 << BITS) - 1)], minlength=b - a)
-                p = m.passed(z)
+                p = chances(m, texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array((p[:, 0] >= 0.5).astype(np.int32))], ["key", "severity", "p_toxic", "p_severe", "toxic"])
 
     return slim.mapInArrow(run, f"key {kind}, severity double, p_toxic double, p_severe double, toxic int").withColumnRenamed("key", key)
