@@ -9,7 +9,8 @@ templates with mixed-up values is not. An item is in a document if one alignment
 consistent and covers COVERAGE of the item's windows.
 
 number: a word of digits, with single points and commas inside (one slot);
-name: words with a capital first letter only, not first in a sentence; neighbours are one slot;
+name: words with a capital first letter only, not first in a sentence; neighbours are one
+slot, whose value is the last of them;
 unit: one of UNITS right after a number.
 
 Only document windows that a bitmap of the item windows' hashes lets through become rows;
@@ -112,7 +113,9 @@ class Templates:
             raw, k = self.raw[self.start[i] : self.end[i]], int(self.kind[i])
             words.append(raw.decode("utf-8", "replace").lower().encode() if k == LITERAL else MARKS[k])
             if k != LITERAL:
-                slots.append(f"{k}:" + raw.decode("utf-8", "replace").lower())
+                # of names the last word: a capital word before a name may only open a sentence
+                value = raw.decode("utf-8", "replace").lower()
+                slots.append(f"{k}:" + (value.split()[-1] if k == NAME else value))
         return b" ".join(words).decode("utf-8", "replace"), slots
 
 

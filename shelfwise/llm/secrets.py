@@ -78,7 +78,7 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     known = None
     if ledger is not None:
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        kept = ledger.where(F.array_contains(wanted, F.struct("kind", F.col("version").cast("int"))))
+        kept = ledger.where(F.array_contains(wanted, F.struct("kind", F.col("version").cast("int").alias("version"))))
         known = kept.groupBy("blob").agg(*[F.first(F.when(F.col("kind") == r.kind, F.col("spans")), ignorenulls=True).alias(f"old_{r.kind}") for r in rules])
         blobs = blobs.join(known, "blob", "left")
     found = [find_spans(F.col("content"), r) for r in rules]

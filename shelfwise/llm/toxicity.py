@@ -10,7 +10,8 @@ the chance of each grade being passed, and the likelier side of the first thresh
 The model is fitted on a bounded sample of labelled rows (sample_rows, those with the
 least hash of the id); every text is scored whole. Null and empty texts have no features
 and get the thresholds' own chances. Rows without an id are scored and never learned
-from; repeated rows get equal scores. Without labels every weight is zero. An empty table
+from; repeated rows get equal scores. Without labels every weight is zero
+and no text is toxic. An empty table
 gives no rows. Only the id and the text are read.
 """
 
@@ -67,7 +68,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float
 
     rows: distinct buckets of each text; grades: 0 to levels - 1.
     """
-    thresholds = np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1)).astype(float)
+    thresholds = 2.0 * np.arange(1, levels)
     weights = np.zeros(1 << BITS, np.float32)
     n = len(rows)
     if not n:
