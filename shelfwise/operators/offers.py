@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.sources.views import CAPS, OUTLIER_RATIO, RATES, cents
+from shelfwise.sources.views import CAPS, OUTLIER_RATIO, RATES, by_code, cents
 
 
 def is_live(price: Column, stock: Column) -> Column:
@@ -16,12 +16,6 @@ def is_live(price: Column, stock: Column) -> Column:
     return F.coalesce((price > 0) & (price < F.lit(float("inf"))) & (stock != "out_of_stock"), F.lit(False))
 
 
-def by_code(values: dict[str, float], code: Column) -> Column:
-    """The value of a currency code, null for a code that is not listed."""
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
-    return F.element_at(F.create_map(*pairs), F.upper(code))
-
-
 def to_try(amount: Column, code: Column, rates: dict[str, float] | None = None) -> Column:
     """An amount in TRY; null if the rate is unknown or the amount not positive."""
     return F.when(amount > 0, cents(amount * by_code(rates or RATES, F.coalesce(code, F.lit("TRY")))))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.plans import catalog
+from shelfwise.plans import catalog, titles
 
-MODULES: list = [catalog]
+MODULES: list = [catalog, titles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
