@@ -10,8 +10,9 @@ template has similarity over 0.5 with it, and shares a band with a chance over
 behind it are taken, and the part of the template's distinct runs among them is the
 containment; CONTAINMENT or more is a match.
 
-Only texts with an anchor word are cut into windows: anchors are template words such that
-over 1 - CONTAINMENT of each template's runs hold one, so every match holds an anchor.
+Only windows that begin near an anchor word are made: anchors are template words such that
+over 1 - CONTAINMENT of each template's runs hold one, so every match holds an anchor, and
+the windows from 2n + 4 words before it to n behind it include those that lie on the match.
 
 Nulls: null and empty texts match nothing. Templates of fewer words than SHINGLE are
 refused. A text that names a template twice has one row for it, the best. Rows that repeat
@@ -97,19 +98,29 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     return hashed.withColumn("keys", band_keys(F.col("runs")))
 
 
-def windows_of(runs: Column, lengths: list[int]) -> Column:
-    """Windows of all lengths: array of (n, start, lead, region), region from n before to n behind."""
+def windows_of(runs: Column, near: Column, lengths: list[int]) -> Column:
+    """Windows of all lengths about the word places near: array of (n, start, lead, region).
+
+    The region reaches from one window before the window to one behind it; the window
+    begins at place lead + 1 of it.
+    """
 
     def of(n: int) -> Column:
         step = max(1, n // 4)
 
+        def starts(p: Column) -> Column:
+            # whole steps from the text's first run on, so that starts of different anchors agree
+            low = F.greatest(F.lit(0), p - (2 * n + 4))
+            return F.sequence((low - low % step + 1).cast("int"), F.greatest(low + 1, p + n).cast("int"), F.lit(step))
+
         def one(i: Column) -> Column:
             begin = F.greatest(F.lit(1), i - n)
             return F.struct(F.lit(n).alias("n"), i.alias("start"), (i - begin).alias("lead"), F.slice(runs, begin, i + 2 * n - begin).alias("region"))
 
-        return F.transform(F.sequence(F.lit(1), F.size(runs), F.lit(step)), one)
+        places = F.array_distinct(F.flatten(F.transform(near, starts)))
+        return F.transform(F.filter(places, lambda i: i <= F.size(runs)), one)
 
-    return F.when(F.size(runs) > 0, F.concat(*[of(n) for n in lengths]))
+    return F.when((F.size(runs) > 0) & (F.size(near) > 0), F.concat(*[of(n) for n in lengths]))
 
 
 def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,8 +130,9 @@ def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
     table = template_table(spark, templates)
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).where(F.lower("body").rlike("|".join(anchors(templates))))
     words = held.select("key", F.split(F.trim(F.regexp_replace(F.lower("body"), "[^a-z0-9]+", " ")), " ").alias("words"))
-    runs = words.select("key", shingle_hashes(F.col("words")).alias("runs"))
-    windows = runs.select("key", F.inline(windows_of(F.col("runs"), lengths)))
+    place = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(anchors(templates)))
+    runs = words.select("key", place.alias("near"), shingle_hashes(F.col("words")).alias("runs"))
+    windows = runs.select("key", F.inline(windows_of(F.col("runs"), F.col("near"), lengths)))
     keyed = windows.withColumn("keys", band_keys(F.slice("region", F.col("lead") + 1, F.col("n"))))
     # the template table is a constant of the program, so it may be sent to every task
     bands = F.broadcast(table.select("license", "n", "runs", F.explode("keys").alias("band")))
