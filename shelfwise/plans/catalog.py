@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import offers as O
+from shelfwise.plans.base import collection
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, cents, offers, offers_with_shop, products, shops, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = collection()
 #: The clock of queries that need one.
 NOW = "2024-01-01 00:00:00"
 
@@ -20,18 +20,6 @@ v_flag AS (SELECT f.*, CASE WHEN price > CASE currency WHEN 'TRY' THEN 700000 EL
            FROM v_full f LEFT JOIN v_mid USING (product_id))"""
 
 
-def query(sql: str | None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 @query(f"WITH {PRODUCTS}, {SHOPS} SELECT (SELECT count(*) FROM v_products) AS n_products, (SELECT count(*) FROM v_shops) AS n_shops, (SELECT count(*) FROM lineitem) AS n_offers")
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = products(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_products"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.plans import catalog, titles
+from shelfwise.plans import catalog, serving, titles
 
-MODULES: list = [catalog, titles]
+MODULES: list = [catalog, titles, serving]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,10 +15,10 @@ from shelfwise.functions import search as S
 from shelfwise.functions import similarity as L
 from shelfwise.functions import stock as K
 from shelfwise.functions import text as T
+from shelfwise.plans.base import collection
 from shelfwise.sources.views import PRODUCTS, products, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = collection()
 
 TITLES = (
     (1, "Creality K2 PlusCombo 3D Yazıcı", "printer", "Creality"), (2, "CREALITY K2 Plus Combo", "printer", "Creality"), (3, "Bambu Lab A1 mini AMS ile", "printer", "Bambu"), (4, "BambuLab A1 Mini Combo", "printer", "Bambu Lab"),
@@ -30,16 +30,6 @@ PHRASES = ((1, "Stoktan Teslim"), (2, "TÜKENDİ"), (3, "Ön Sipariş ver"), (4,
 MONEY = ((1, "1.250,00 TL"), (2, "1,250.00"), (3, "1.250"), (4, "12,50"), (5, "2.146,24 TL"), (6, "$1,234.56"), (7, "%21 46.236,14 TL"), (8, "58.526,76 TL 46.236,14 TL"), (9, "K2 Combo 100"), (10, "0 TL"), (11, "1.234.567"), (12, ""), (13, None), (14, "12.5"), (15, "1,234,567"))
 
 
-def query(sql: str | None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _lit(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
