@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.plans import catalog, serving, titles
+from shelfwise.plans import catalog, decisions, serving, titles
 
-MODULES: list = [catalog, titles, serving]
+MODULES: list = [catalog, titles, serving, decisions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
