@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions import filament as P
 from shelfwise.functions import identity as I
 from shelfwise.functions import money as M
 from shelfwise.functions import similarity as L
@@ -278,3 +279,8 @@ def vision_top3(spark, sf_dir):
     b = p.select(F.col("product_id").alias("candidate"), "brand", "color", F.col("list_price").alias("other"))
     v = p.join(b, ["brand", "color"]).where("product_id != candidate").withColumn("d", F.abs(F.col("list_price") - F.col("other")))
     return O.top_n(v, ["product_id"], [F.asc("d"), F.asc("candidate")], 3).select("product_id", "candidate", "d")
+
+
+@query(f"SELECT id, {P.polymer_sql('title')} AS polymer, {P.subtype_sql('title')} AS subtype FROM {_T}")
+def filament_class(spark, sf_dir):
+    return titles(spark).select("id", P.classify(F.col("title")).alias("c")).select("id", "c.polymer", "c.subtype")
