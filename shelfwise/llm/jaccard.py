@@ -3,18 +3,21 @@
 A document's set is that of its distinct runs of five words; two documents link when the
 sets' Jaccard similarity is at least 4/5. Equal sets are one node. Tokens are ordered rare
 first (hashed counts over all documents, then hash). With o the overlap that a pair needs,
-the l-prefixes (size - o + l first tokens) of a linked pair share l tokens at least; each
-node takes the l from 1 to LEVELS whose estimated cost (list lengths to read, and
-candidates to verify, of which each needs l shared tokens) is least, and probes with it the
-tokens of smaller nodes, which are listed with the level that each belongs to.
+the l-prefixes (size - o + l first tokens) of a linked pair share l tokens at least. Each
+node takes the l (a power of two, up to a quarter of its size) whose estimated cost is
+least: list entries to read, and candidates to verify, of which each needs l shared
+tokens. It probes with its l-prefix the l-prefixes of smaller nodes, which are listed as
+far as the largest l of a node that may link with them asks for. How many shared tokens a
+pair needs follows from l and both sizes.
 
 Links are looked for between different components only:
-1. tokens in two prefixes or more are found (a bitmap of fixed size; false alarms only);
-   nodes without such tokens are done;
+1. tokens in two prefixes or more are found (a bitmap of fixed size; false alarms only); the
+   listed prefixes of a linked pair share a quarter of a node's size of them at least, and a
+   node with fewer is done;
 2. star rounds: each node is verified against the hub with which it shares most prefix
-   tokens, hubs being a few nodes of each token's list; links join components;
+   tokens, hubs being a few nodes of each token's list; links bring nodes under one label;
 3. the last round counts the shared prefix tokens of all pairs of different components
-   and verifies those with l or more. Two nodes that were verified against one hub are
+   and verifies those with as many as they need. Two nodes that were verified against one hub are
    left out if their distances from it differ by more than 1/5: Jaccard distance is a metric.
 A group of near copies thus costs its size for most of its members, not its square, and
 no link between different components is lost.
@@ -39,23 +42,22 @@ from shelfwise.llm.runcounts import heaviness, run_counts, slot
 from shelfwise.llm.state import checkpointed
 from shelfwise.llm.textkit import Words, blocks, mix, shingles
 
-WIDTH, LEVELS = 5, 4
+WIDTH = 5
 #: Cost of verifying a candidate, in list entries read.
-VERIFY_COST = 20.0
+VERIFY_COST = 500.0
 LIVE_BITS = 27
 #: Prefix tokens that one bucket sorts, about.
 BUCKET_TOKENS = 1_500_000
 HUBS, STAR_ROUNDS = 4, 2
 
 
-def overlap_as_probe(n: np.ndarray) -> np.ndarray:
-    """The least overlap that a set of n needs with a linked set of at most its size."""
+def least_overlap(n: np.ndarray) -> np.ndarray:
+    """The least overlap that a set of n needs with any set that it links with."""
     return -(-4 * n // 5)
 
 
-def overlap_as_listed(n: np.ndarray) -> np.ndarray:
-    """The least overlap that a set of n needs with a linked set of at least its size."""
-    return -(-8 * n // 9)
+def largest_level(n: np.ndarray) -> np.ndarray:
+    return np.maximum(1, n // 4)
 
 
 def token_sets(texts: list[bytes], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,19 +77,26 @@ def token_sets(texts: list[bytes], heavy: np.ndarray) -> tuple[np.ndarray, np.nd
 def levels_of(token: np.ndarray, doc: np.ndarray, first: np.ndarray, excess: np.ndarray) -> np.ndarray:
     """The l of each text: the one of least estimated cost."""
     n = np.diff(first)
-    total = np.concatenate([[0.0], np.cumsum(excess[slot(token)])])
-    base = n - overlap_as_probe(n)
+    total = np.concatenate([[0.0], np.cumsum(1 + excess[slot(token)])])
+    base, most = n - least_overlap(n), largest_level(n)
     best, level = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-    for k in range(1, LEVELS + 1):
+    k = 1
+    while k <= most.max(initial=1):
         cost = (total[np.minimum(first[:-1] + base + k, first[1:])] - total[first[:-1]]) * (1 + VERIFY_COST / k)
-        better = (cost < best) & (k <= np.maximum(1, overlap_as_probe(n)))
+        better = (cost < best) & (k <= most)
         best, level = np.where(better, cost, best), np.where(better, k, level)
+        k *= 2
     return level
 
 
-def prefix_lengths(n: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """How many tokens a node lists: its own l-prefix, and all levels as one that is probed."""
-    return np.minimum(n, np.maximum(n - overlap_as_probe(n) + level, n - overlap_as_listed(n) + LEVELS))
+def prefix_lengths(n: np.ndarray) -> np.ndarray:
+    """How many tokens a node lists.
+
+    Of a linked pair's listed prefixes one ends first in the order of tokens; the other set
+    lacks n - o of its tokens at most and lists all the others. So the prefixes share
+    largest_level of either size at least (tests/llm goes through the sizes).
+    """
+    return np.minimum(n, n - least_overlap(n) + largest_level(5 * n // 4 + 1))
 
 
 def _blob(*arrays: np.ndarray) -> list[bytes]:
@@ -114,29 +123,28 @@ def _packed(bucket: np.ndarray, names: list[str], arrays: list[np.ndarray]) -> I
     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), *[pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]], ["bucket", *names])
 
 
-def live_tokens(rows: DataFrame, heavy: np.ndarray, excess: np.ndarray) -> np.ndarray:
+def live_tokens(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
     """A bitmap of tokens that stand in the prefixes of two texts or more."""
-    sent = rows.sparkSession.sparkContext.broadcast((heavy, excess))  # of a fixed size
+    sent = rows.sparkSession.sparkContext.broadcast(heavy)  # of a fixed size
     parts = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_, excess_ = sent.value
         for batch in batches:
             texts = list(dict.fromkeys(batch.column("body").to_pylist()))
             for a, b in blocks(texts):
-                token, doc, first = token_sets(texts[a:b], heavy_)
+                token, doc, first = token_sets(texts[a:b], sent.value)
                 n = np.diff(first)
-                length = prefix_lengths(n, levels_of(token, doc, first, excess_))
-                inside = np.arange(len(token)) - first[doc] < length[doc]
+                inside = np.arange(len(token)) - first[doc] < prefix_lengths(n)[doc]
                 token = np.sort(token[inside])
-                yield from _packed((token >> np.uint64(56)).astype(np.int64), ["tokens"], [token])
+                # 40 bits of a token are enough for a bitmap of false alarms: bucket and 32 more
+                yield from _packed((token >> np.uint64(56)).astype(np.int64), ["tokens"], [(token >> np.uint64(24)).astype(np.uint32)])
 
     def twice(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (token,) = _unblob(batches, [np.uint64])
+        (token,) = _unblob(batches, [np.uint32])
         token.sort()
         token = token[1:][token[1:] == token[:-1]]
         bits = np.zeros((1 << LIVE_BITS) // parts, bool)
-        bits[(token << np.uint64(8)) >> np.uint64(72 - LIVE_BITS)] = True
+        bits[token >> np.uint32(40 - LIVE_BITS)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
     out = np.zeros((parts, (1 << LIVE_BITS) // 8 // parts), np.uint8)
@@ -166,7 +174,8 @@ def described(rows: DataFrame, kind: str, heavy: np.ndarray, excess: np.ndarray,
                 level = levels_of(token, doc, first, excess_)
                 place = np.arange(len(token)) - first[doc]
                 at = (token >> np.uint64(64 - LIVE_BITS)).astype(np.int64)
-                good = (place < prefix_lengths(n, level)[doc]) & ((live_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+                good = (place < prefix_lengths(n)[doc]) & ((live_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+                good &= (np.bincount(doc[good], minlength=len(texts)) >= largest_level(n))[doc]
                 shared, whose, places = token[good], doc[good], place[good].astype(np.int32)
                 cut = np.searchsorted(whose, np.arange(len(texts) + 1))
                 nodes, toks, plcs, packed, seen = [], [], [], [], set()
@@ -198,7 +207,12 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
     """
     token, node, n, level, place, comp, pivot, far = entries
     names, node_at = np.unique(node, return_inverse=True)
+    # hubs: in the first round the nodes whose tokens have the longest lists, later any
     by = mix(names.view(np.uint64) ^ np.uint64(0x9E37 + (star or 0)))[node_at]
+    if star == 0 and len(token):
+        _, list_at, length = np.unique(token, return_inverse=True, return_counts=True)
+        central = np.bincount(node_at, weights=length[list_at]) / np.bincount(node_at)
+        by = np.argsort(np.argsort(-central, kind="stable"))[node_at]
     order = np.lexsort((by, token))
     token, node_at, n, level, place, comp, pivot, far = (v[order] for v in (token, node_at, n, level, place, comp, pivot, far))
     head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -232,8 +246,8 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
             # the larger one probes; equal sizes by node
             probe_i = (n[i] > n[j]) | ((n[i] == n[j]) & (node_at[i] > node_at[j]))
             x, y = np.where(probe_i, i, j), np.where(probe_i, j, i)
-            ok &= place[x] < n[x] - overlap_as_probe(n[x]) + level[x]
-            ok &= place[y] < n[y] - overlap_as_listed(n[y]) + level[x]
+            ok &= place[x] < n[x] - least_overlap(n[x]) + level[x]
+            ok &= place[y] < n[y] - least_overlap(n[y]) + level[x]
             ok &= (pivot[i] != pivot[j]) | (np.abs(far[i] - far[j]) <= 0.2 + 1e-9)
         else:
             x, y = j, i
@@ -247,9 +261,11 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
     settle()
     code, count = found_code[0], found_count[0]
     x, y = code // max(1, len(names)), code % max(1, len(names))
-    least = np.ones(len(names), np.int32)
-    least[node_at] = level
-    return names[x], names[y], count.astype(np.int32), least[x]
+    sizes, levels = np.ones(len(names), np.int64), np.ones(len(names), np.int64)
+    sizes[node_at], levels[node_at] = n, level
+    # one of the two prefixes ends first; beyond it that node has least_overlap - level tokens
+    needed = -(-4 * (sizes[x] + sizes[y]) // 9) - least_overlap(np.maximum(sizes[x], sizes[y])) + levels[x]
+    return names[x], names[y], count.astype(np.int32), np.maximum(levels[x], needed).astype(np.int32)
 
 
 def candidates(nodes: DataFrame, buckets: int, star: int | None) -> DataFrame:
@@ -321,6 +337,16 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return both.select("x", "y", "x_body", "y_body").mapInArrow(run, "x long, y long, shared long, united long")
 
 
+def relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after one step along links: a component takes the least label that it is linked
+    with, and then that label's. Equal labels mean connected nodes; the converse may not hold yet."""
+    of = comps.select("node", "comp")
+    edges = links.join(of.select(F.col("node").alias("x"), F.col("comp").alias("a")), "x").join(of.select(F.col("node").alias("y"), F.col("comp").alias("b")), "y").where("a != b").select("a", "b")
+    step = checkpointed(edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("l")))
+    hop = step.join(step.select(F.col("a").alias("l"), F.col("l").alias("m")), "l", "left").select("a", F.coalesce("m", "l").alias("l"))
+    return comps.join(hop.withColumnRenamed("a", "comp"), "comp", "left").withColumn("comp", F.coalesce("l", "comp")).drop("l")
+
+
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps (node, comp) with the components that links (x, y) connect made one.
 
@@ -348,7 +374,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
     kind = rows.schema["id"].dataType.simpleString()
     counts = run_counts(rows, "body", WIDTH, lower=True)
     heavy, excess = heaviness(counts), np.maximum(0.0, counts - 2 * max(1.0, counts.mean()))
-    all_rows = checkpointed(described(rows, kind, heavy, excess, live_tokens(rows, heavy, excess)))
+    all_rows = checkpointed(described(rows, kind, heavy, excess, live_tokens(rows, heavy)))
 
     alive = all_rows.where(F.col("tokens").isNotNull()).groupBy("node").agg(F.first(F.struct("n", "level", "tokens", "places", "body")).alias("p"))
     nodes = checkpointed(alive.select(F.col("node").alias("digest"), F.monotonically_increasing_id().alias("fresh"), "p.*"))
@@ -357,11 +383,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
     buckets = max(12, int(nodes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0) // BUCKET_TOKENS)
     bodies = nodes.select("node", "body")
     comps = nodes.select("node", F.col("node").alias("comp"), F.col("node").alias("pivot"), F.lit(0.0).alias("far"))
+    links = None
     for star in [*range(star_rounds), None]:
         todo = nodes.drop("body", "digest").join(comps, "node")
         seen = checkpointed(verified(checkpointed(candidates(todo, buckets, star)), bodies))
-        links = seen.where("5 * shared >= 4 * united").select("x", "y")
-        comps = joined(comps, links)
+        new = seen.where("5 * shared >= 4 * united").select("x", "y")
+        links = new if links is None else links.unionByName(new)
+        # between rounds a step is enough; in the end all links of all rounds are followed
+        comps = joined(comps, links) if star is None else relabelled(comps, new)
         if star == 0:  # distances from the first hubs
             far = seen.select(F.col("x").alias("node"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("united")).alias("d"))
             comps = comps.join(far, "node", "left").select("node", "comp", F.coalesce("p", "pivot").alias("pivot"), F.coalesce("d", "far").alias("far"))
