@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, quality, secrets, sharding, toxicity, windows
+from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, oracles, quality, secrets, sharding, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chunked_bpe": bpe.op10_chunked_bpe,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.OP1_SQL}
+ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.OP1_SQL, "op3_adaptive_prefix_join": oracles.OP3_SQL, "op5_superkmer_dedup": oracles.OP5_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
