@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import fold, fold_sql, lower_tr, lower_tr_sql, title_rules, title_rules_sql
@@ -133,26 +133,40 @@ def gaps(a: Column, b: Column) -> Column:
     return F.when((a["kind"] == "printer") | (b["kind"] == "printer"), F.array().cast("array<string>")).otherwise(found)
 
 
-def decide_pair(a_name: Column, a_kind: Column, a_brand: Column, b_name: Column, b_kind: Column, b_brand: Column) -> Column:
-    """struct(action, reason, score): merge, review or create, the first rule that fits."""
-    from shelfwise.functions.similarity import title_score, title_subset
+def features(name: Column, kind: Column, brand: Column) -> Column:
+    """What a decision needs of one row: to be made once for each row and before any join."""
+    from shelfwise.functions.similarity import title_words
 
-    a, b = axes(a_name, a_kind), axes(b_name, b_kind)
-    score, clash, open_ = title_score(a_name, b_name), conflicts(a, b), gaps(a, b)
-    printer = (a_kind == "printer") | (b_kind == "printer")
-    brand = (fold(a_brand) != "") & (fold(a_brand) == fold(b_brand))
+    return F.struct(axes(name, kind).alias("axes"), title_words(name).alias("words"), is_lookalike(name).alias("lookalike"), fold(brand).alias("brand"))
+
+
+def decide(a: Column, b: Column) -> Column:
+    """struct(action, reason, score) of two rows' features: merge, review or create, the first rule that fits."""
+    from shelfwise.functions.similarity import words_score, words_subset
+
+    x, y = a["axes"], b["axes"]
+    score = words_score(a["words"], b["words"])
+    printer = (x["kind"] == "printer") | (y["kind"] == "printer")
+    brand = (a["brand"] != "") & (a["brand"] == b["brand"])
+    same = (a["words"]["rules"] != "") & (a["words"]["rules"] == b["words"]["rules"])
     rules = (
-        (is_lookalike(a_name) != is_lookalike(b_name), "create", "lookalike"),
-        (F.size(clash) > 0, "create", "conflict"),
-        (F.size(open_) > 0, "review", "gap"),
-        ((title_rules(a_name) != "") & (title_rules(a_name) == title_rules(b_name)), "merge", "same title"),
-        (printer & title_subset(a_name, b_name), "merge", "subset"),
+        (a["lookalike"] != b["lookalike"], "create", "lookalike"),
+        (F.size(conflicts(x, y)) > 0, "create", "conflict"),
+        (F.size(gaps(x, y)) > 0, "review", "gap"),
+        (same, "merge", "same title"),
+        (printer & words_subset(a["words"], b["words"]), "merge", "subset"),
         (score >= 0.75, "merge", "alike"),
         (~printer & (score >= 0.55) & brand, "merge", "alike, same brand"),
         (printer & (score >= 0.55) & brand, "review", "gray"),
         (score >= 0.6, "review", "uncertain"),
     )
-    action, reason = F.lit("create"), F.lit("no match")
+    verdict = F.struct(F.lit("create").alias("action"), F.lit("no match").alias("reason"))
     for test, what, why in reversed(rules):
-        action, reason = F.when(test, what).otherwise(action), F.when(test, why).otherwise(reason)
-    return F.struct(action.alias("action"), reason.alias("reason"), score.alias("score"))
+        verdict = F.when(test, F.struct(F.lit(what).alias("action"), F.lit(why).alias("reason"))).otherwise(verdict)
+    return F.struct(verdict.alias("v"), score.alias("score"))
+
+
+def decided(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with action, reason and score for the features in columns a and b."""
+    out = pairs.withColumn("_d", decide(F.col(a), F.col(b)))
+    return out.withColumns({"action": F.col("_d.v.action"), "reason": F.col("_d.v.reason"), "score": F.col("_d.score")}).drop("_d", a, b)

@@ -34,22 +34,39 @@ def matched_tokens(x: Column, y: Column) -> Column:
     return F.aggregate(x, F.struct(F.lit(0).alias("n"), places.alias("free")), step)["n"]
 
 
-def title_score(a: Column, b: Column) -> Column:
-    """1 for titles that are equal by the rules, else matched tokens over all tokens."""
-    x, y = tokens(a), tokens(b)
+def words_score(a: Column, b: Column) -> Column:
+    """Likeness of two titles by their structs (rules, folded, tokens): 1 for equal titles,
+    else matched tokens over all tokens."""
+    x, y = a["tokens"], b["tokens"]
     n = matched_tokens(x, y)
     empty = (F.size(x) == 0) & (F.size(y) == 0)
     share = n / F.greatest(F.lit(1), F.size(x) + F.size(y) - n)
-    return F.when((title_rules(a) != "") & (title_rules(a) == title_rules(b)), 1.0).when(empty, (fold(a) == fold(b)).cast("double")).otherwise(share)
+    return F.when((a["rules"] != "") & (a["rules"] == b["rules"]), 1.0).when(empty, (a["folded"] == b["folded"]).cast("double")).otherwise(share)
 
 
-def title_subset(a: Column, b: Column) -> Column:
+def words_subset(a: Column, b: Column) -> Column:
     """All tokens of the shorter title are like some of the longer, which adds no variant word."""
-    x, y = tokens(a), tokens(b)
-    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
-    inside = F.forall(short, lambda t: F.exists(long, lambda u: similar(t, u)))
-    extra = F.filter(long, lambda t: ~F.exists(short, lambda u: similar(t, u)))
-    return (F.size(short) >= 2) & inside & ~F.arrays_overlap(extra, F.array(*[F.lit(v) for v in VARIANTS]))
+    x, y = a["tokens"], b["tokens"]
+
+    def inside(short: Column, long: Column) -> Column:
+        # words of the longer title that no word of the shorter is like
+        extra = F.filter(long, lambda t: ~F.exists(short, lambda u: similar(t, u)))
+        return (F.size(short) >= 2) & F.forall(short, lambda t: F.exists(long, lambda u: similar(t, u))) & ~F.arrays_overlap(extra, F.array(*[F.lit(v) for v in VARIANTS]))
+
+    return F.when(F.size(x) <= F.size(y), inside(x, y)).otherwise(inside(y, x))
+
+
+def title_words(title: Column) -> Column:
+    """What likeness needs of a title, to be made once for each row and before any join."""
+    return F.struct(title_rules(title).alias("rules"), fold(title).alias("folded"), tokens(title).alias("tokens"))
+
+
+def title_score(a: Column, b: Column) -> Column:
+    return words_score(title_words(a), title_words(b))
+
+
+def title_subset(a: Column, b: Column) -> Column:
+    return words_subset(title_words(a), title_words(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

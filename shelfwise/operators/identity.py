@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.identity import decide_pair, kit_form, technology
-from shelfwise.functions.text import fold, title_rules, variant_tag
+from shelfwise.functions.identity import decided, features, kit_form, technology
+from shelfwise.functions.text import fold, title_rules, tokens, variant_tag
 from shelfwise.sources.dictionary import LONGEST
 
 
@@ -45,8 +45,6 @@ def blocked_pairs(left: DataFrame, right: DataFrame, most_common: int = 50) -> D
     left and right have id, title, brand. Tokens in over most_common rows of right tell
     nothing of a pair and are only used together with an equal folded title.
     """
-    from shelfwise.functions.text import tokens
-
     def sided(df: DataFrame, p: str) -> DataFrame:
         return df.select(F.col("id").alias(f"{p}_id"), fold(F.col("brand")).alias("b"), title_rules(F.col("title")).alias("t"), tokens(F.col("title")).alias("w"))
 
@@ -59,11 +57,12 @@ def blocked_pairs(left: DataFrame, right: DataFrame, most_common: int = 50) -> D
 
 
 def ranked(pairs: DataFrame, left: DataFrame, right: DataFrame, most: int = 8) -> DataFrame:
-    """Decisions on pairs, the best of each left row first."""
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in ("id", "title", "kind", "brand")])
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "title", "kind", "brand")])
-    d = decide_pair(*[F.col(f"{s}_{c}") for s in "lr" for c in ("title", "kind", "brand")])
-    scored = pairs.join(a, "l_id").join(b, "r_id").select("l_id", "r_id", d.alias("d")).select("l_id", "r_id", "d.*")
+    """Decisions on pairs, the best of each left row first; features are made once for each row."""
+
+    def sided(df: DataFrame, p: str) -> DataFrame:
+        return df.select(F.col("id").alias(f"{p}_id"), features(F.col("title"), F.col("kind"), F.col("brand")).alias(p))
+
+    scored = decided(pairs.join(sided(left, "l"), "l_id").join(sided(right, "r"), "r_id"), "l", "r")
     w = Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 

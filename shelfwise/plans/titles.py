@@ -141,13 +141,11 @@ def format_price(spark, sf_dir):
     return products(spark, sf_dir).select("product_id", M.format_price(F.col("list_price")).alias("price"))
 
 
-_PAIRS = f"p AS (SELECT a.id AS a, b.id AS b, a.title AS at, b.title AS bt FROM {_T.replace('v(', 'a(')} JOIN {_T.replace('v(', 'b(')} ON a.id < b.id)"
-
-
 def _pairs(spark) -> DataFrame:
-    t = titles(spark)
-    a, b = (t.select(*[F.col(c).alias(f"{p}_{c}") for c in t.columns]) for p in "ab")
-    return a.join(b, F.col("a_id") < F.col("b_id"))  # the fixture's few titles
+    """All pairs of the fixture's few titles, with the features of both."""
+    t = titles(spark).select("id", I.features(F.col("title"), F.col("kind"), F.col("brand")).alias("f"))
+    a, b = (t.select(F.col("id").alias(f"{p}_id"), F.col("f").alias(p)) for p in "ab")
+    return a.join(b, F.col("a_id") < F.col("b_id"))
 
 
 @query(f"WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w) AS d FROM w x JOIN w y ON x.w < y.w")
@@ -166,7 +164,7 @@ def similar_words(spark, sf_dir):
 
 @query(None)
 def title_score(spark, sf_dir):
-    return _pairs(spark).select("a_id", "b_id", L.title_score(F.col("a_title"), F.col("b_title")).alias("score"), L.title_subset(F.col("a_title"), F.col("b_title")).alias("subset"))
+    return _pairs(spark).select("a_id", "b_id", L.words_score(F.col("a.words"), F.col("b.words")).alias("score"), L.words_subset(F.col("a.words"), F.col("b.words")).alias("subset"))
 
 
 @query("SELECT a.p_partkey AS a, bit_count(xor(('0x' || substr(md5(a.p_name), 1, 15))::bigint, ('0x' || substr(md5(b.p_name), 1, 15))::bigint)) AS d FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -203,14 +201,13 @@ def axes(spark, sf_dir):
 
 @query(None)
 def conflicts(spark, sf_dir):
-    a, b = I.axes(F.col("a_title"), F.col("a_kind")), I.axes(F.col("b_title"), F.col("b_kind"))
+    a, b = F.col("a.axes"), F.col("b.axes")
     return _pairs(spark).select("a_id", "b_id", F.array_join(I.conflicts(a, b), ",").alias("conflicts"), F.array_join(I.gaps(a, b), ",").alias("gaps"))
 
 
 @query(None)
 def decide_pair(spark, sf_dir):
-    d = I.decide_pair(*[F.col(f"{s}_{c}") for s in "ab" for c in ("title", "kind", "brand")])
-    return _pairs(spark).select("a_id", "b_id", d.alias("d")).select("a_id", "b_id", "d.*")
+    return I.decided(_pairs(spark), "a", "b")
 
 
 @query(None)

@@ -100,5 +100,6 @@ def test_decisions(spark):
         ("A1", "printer", "A1 nozzle yedek", "printer", "create"), ("H2D laser 10W", "printer", "H2D laser 40W", "printer", "create"),
     ]
     df = spark.createDataFrame(cases, "a string, ak string, b string, bk string, want string").withColumn("brand", F.lit("Acme"))
-    for r in df.select("*", I.decide_pair(F.col("a"), F.col("ak"), F.col("brand"), F.col("b"), F.col("bk"), F.col("brand")).alias("d")).collect():
-        assert r.d.action == r.want, r
+    both = df.select("a", "b", "want", I.features(F.col("a"), F.col("ak"), F.col("brand")).alias("x"), I.features(F.col("b"), F.col("bk"), F.col("brand")).alias("y"))
+    for r in I.decided(both, "x", "y").collect():
+        assert r.action == r.want, r
