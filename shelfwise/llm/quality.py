@@ -106,26 +106,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     sample = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key", "label").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     # the sample is bounded by its limit, so it may be sent to every task
-    joined = slim.join(F.broadcast(sample), "key").select("label", "body")
+    joined = slim.join(F.broadcast(sample), "key").select("label", F.xxhash64("key", "body").alias("h"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in blocks(texts, 1 << 20):
                 kinds = list(features(texts[a:b]))
                 code = np.concatenate([doc.astype(np.int64) << BITS | bucket for bucket, doc in kinds]) if kinds else np.zeros(0, np.int64)
                 pairs, counts = np.unique(code, return_counts=True)
                 at = np.searchsorted(pairs >> BITS, np.arange(1, b - a))
                 ids, times = np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), at), np.split(counts.astype(np.int32), at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["label", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (0, 1)], pa.array(ids, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["label", "h", "ids", "counts"])
 
-    found = joined.mapInArrow(run, "label int, ids array<int>, counts array<int>").toArrow()
+    # sorted, so that it does not matter in which order tasks end
+    found = joined.mapInArrow(run, "label int, h long, ids array<int>, counts array<int>").toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
     if not found.num_rows:
         return SubwordModel(np.zeros(1 << BITS, np.float32), 0.0)
-    bags = [(np.asarray(i.values), np.asarray(c.values)) for i, c in zip(found.column("ids").combine_chunks(), found.column("counts").combine_chunks(), strict=True)]
-    y = np.asarray(found.column("label").to_pylist(), int)
-    order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i][0].tobytes(), bags[i][1].tobytes()))  # whatever order tasks end in
-    return fit([bags[i] for i in order], y[order])
+    lists = [found.column(c).combine_chunks() for c in ("ids", "counts")]
+    cut = np.cumsum(np.asarray(lists[0].value_lengths()))[:-1]
+    bags = list(zip(*[np.split(np.asarray(x.flatten(), np.int32), cut) for x in lists], strict=True))
+    return fit(bags, np.asarray(found.column("label"), np.int64))
 
 
 def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.textkit import Words, blocks, lowered, mix, prefix_sums, span_hashes
 
 BITS = 20
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8000
 PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's share must differ to enter the fit.
-SCREEN = 4.0
+SCREEN = 3.0
 
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -63,31 +63,31 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float = 1e-4, steps: int = 600) -> OrdinalModel:
+def fit(buckets: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, penalty: float = 1e-4, steps: int = 600) -> OrdinalModel:
     """Accelerated proximal gradient on the penalised likelihood.
 
-    rows: distinct buckets of each text; grades: 0 to levels - 1.
+    buckets: the distinct buckets of all texts, text by text; sizes: how many each text has;
+    grades: 0 to levels - 1.
     """
     thresholds = 2.0 * np.arange(1, levels)
     weights = np.zeros(1 << BITS, np.float32)
-    n = len(rows)
+    n = len(sizes)
     if not n:
         return OrdinalModel(weights, thresholds)
     share = np.array([(np.sum(grades <= k) + 0.5) / (n + 1) for k in range(levels - 1)])
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)))
-    ids, col = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     # screening: a feature stays if its share differs between grade 0 and the others
-    df, bad = np.bincount(col, minlength=len(ids)), np.bincount(col, weights=(grades > 0)[row], minlength=len(ids))
+    df, bad = np.bincount(buckets, minlength=1 << BITS), np.bincount(buckets[(grades > 0)[row]], minlength=1 << BITS)
     n_bad, p = max(1, np.sum(grades > 0)), (df + 0.5) / (n + 1)
     apart = bad / n_bad - (df - bad) / max(1, n - n_bad)
     keep = (df >= 3) & (np.abs(apart) >= SCREEN * np.sqrt(p * (1 - p) * (1 / n_bad + 1 / max(1, n - n_bad))))
     if not keep.any():
         return OrdinalModel(weights, thresholds)
+    ids = np.flatnonzero(keep)
     place = np.cumsum(keep) - 1
-    used = keep[col]
-    col, row, ids = place[col[used]], row[used], ids[keep]
-    dims = len(ids)
+    used = keep[buckets]
+    col, row, dims = place[buckets[used]], row[used], len(ids)
     times = lambda w: np.bincount(row, weights=w[col], minlength=n)
     back = lambda g: np.bincount(col, weights=g[row], minlength=dims)
     v = np.ones(dims)
@@ -97,7 +97,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float
         v /= top
     step = 1 / (0.25 * top / n + 0.25)
     y = grades.astype(int)
-    low = np.full(n, -np.inf)
     w = look = np.zeros(dims)
     theta = look_t = thresholds.copy()
     t = 1.0
@@ -131,22 +130,22 @@ def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int
     sample = grades.select(F.col(key).alias("key"), F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64("key"), "key", "grade").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     # the sample is bounded by its limit, so it may be sent to every task
-    joined = slim.join(F.broadcast(sample), "key").select("grade", "body")
+    joined = slim.join(F.broadcast(sample), "key").select("grade", F.xxhash64("key", "body").alias("h"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 bucket, doc = word_buckets(texts[a:b])
                 pairs = np.unique(doc << np.int64(BITS) | bucket)
-                parts = np.split(pairs & ((1 << BITS) - 1), np.searchsorted(pairs >> BITS, np.arange(1, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], ["grade", "buckets"])
-
-    found = joined.mapInArrow(run, "grade int, buckets array<int>").toArrow()
-    rows = [np.asarray(x.values, np.int64) for x in found.column("buckets").combine_chunks()] if found.num_rows else []
-    y = np.asarray(found.column("grade").to_pylist(), int)
-    order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))  # whatever order tasks end in
-    return fit([rows[i] for i in order], y[order], levels)
+                parts = np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> BITS, np.arange(1, b - a)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (0, 1)], pa.array(parts, pa.list_(pa.int32()))], ["grade", "h", "buckets"])
+
+    # sorted, so that it does not matter in which order tasks end
+    found = joined.mapInArrow(run, "grade int, h long, buckets array<int>").toArrow().sort_by([("grade", "ascending"), ("h", "ascending")])
+    lists = found.column("buckets").combine_chunks()
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    return fit(np.asarray(lists.flatten(), np.int32), sizes, np.asarray(found.column("grade"), np.int64), levels)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
