@@ -193,8 +193,8 @@ def described(rows: DataFrame, kind: str, heavy: np.ndarray, excess: np.ndarray,
     return rows.mapInArrow(run, ROWS.format(kind=kind))
 
 
-ENTRY_KINDS = [np.uint64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64]
-ENTRY_NAMES = ["token", "node", "n", "level", "place", "comp", "pivot", "far"]
+ENTRY_KINDS = [np.uint64, np.int64, np.int32, np.int32, np.int32, np.int64, np.float64, np.int64, np.float64, np.int64, np.float64]
+ENTRY_NAMES = ["token", "node", "n", "level", "place", "comp", "known", "pivot", "far", "pivot2", "far2"]
 PAIR_KINDS = [np.int64, np.int64, np.int32, np.int32]
 PAIR_NAMES = ["x", "y", "shared", "least"]
 _binary = lambda names: "bucket long, " + ", ".join(f"{x} binary" for x in names)
@@ -205,16 +205,14 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
 
     star: the round's number, pairs of nodes with hubs only; None: all pairs.
     """
-    token, node, n, level, place, comp, pivot, far = entries
+    token, node, n, level, place, comp, known, pivot, far, pivot2, far2 = entries
     names, node_at = np.unique(node, return_inverse=True)
-    # hubs: in the first round the nodes whose tokens have the longest lists, later any
+    # hubs: in the first round the nodes that others share most of, the same in every bucket
     by = mix(names.view(np.uint64) ^ np.uint64(0x9E37 + (star or 0)))[node_at]
-    if star == 0 and len(token):
-        _, list_at, length = np.unique(token, return_inverse=True, return_counts=True)
-        central = np.bincount(node_at, weights=length[list_at]) / np.bincount(node_at)
-        by = np.argsort(np.argsort(-central, kind="stable"))[node_at]
+    if star == 0:
+        by = np.unique(np.stack([-known, by.astype(np.float64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
     order = np.lexsort((by, token))
-    token, node_at, n, level, place, comp, pivot, far = (v[order] for v in (token, node_at, n, level, place, comp, pivot, far))
+    token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2 = (v[order] for v in (token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2))
     head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([head, [len(token)]]))
     if len(head):  # lists of one component have nothing to say
@@ -248,7 +246,10 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
             x, y = np.where(probe_i, i, j), np.where(probe_i, j, i)
             ok &= place[x] < n[x] - least_overlap(n[x]) + level[x]
             ok &= place[y] < n[y] - least_overlap(n[y]) + level[x]
-            ok &= (pivot[i] != pivot[j]) | (np.abs(far[i] - far[j]) <= 0.2 + 1e-9)
+            for one, d_one in ((pivot, far), (pivot2, far2)):
+                ok &= (one[i] != node[j]) & (one[j] != node[i])  # verified before
+                for two, d_two in ((pivot, far), (pivot2, far2)):
+                    ok &= (one[i] != two[j]) | (np.abs(d_one[i] - d_two[j]) <= 0.2 + 1e-9)
         else:
             x, y = j, i
         code, count = np.unique(node_at[x[ok]] * len(names) + node_at[y[ok]], return_counts=True)
@@ -277,8 +278,10 @@ def candidates(nodes: DataFrame, buckets: int, star: int | None) -> DataFrame:
             sizes = np.array([len(t) // 8 for t in toks], np.int64)
             token = np.frombuffer(b"".join(toks), np.uint64)
             place = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
-            rest = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(k), sizes) for c, k in (("node", np.int64), ("n", np.int32), ("level", np.int32), ("comp", np.int64), ("pivot", np.int64), ("far", np.float64))]
-            yield from _packed((mix(token) % np.uint64(buckets)).astype(np.int64), ENTRY_NAMES, [token, *rest[:3], place, *rest[3:]])
+            rest = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(k), sizes) for c, k in (("node", np.int64), ("n", np.int32), ("level", np.int32), ("comp", np.int64), ("pivot", np.int64), ("far", np.float64), ("pivot2", np.int64), ("far2", np.float64))]
+            # how much of what a node lists others list too
+            known = np.repeat(sizes / np.maximum(1, prefix_lengths(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64))), sizes)
+            yield from _packed((mix(token) % np.uint64(buckets)).astype(np.int64), ENTRY_NAMES, [token, *rest[:3], place, rest[3], known, *rest[4:]])
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, shared, least = _pairs_of(star, _unblob(batches, ENTRY_KINDS))
@@ -304,7 +307,7 @@ def candidates(nodes: DataFrame, buckets: int, star: int | None) -> DataFrame:
         for i in range(0, len(x), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000])], ["x", "y"])
 
-    slim = nodes.select("node", "n", "level", "tokens", "places", "comp", "pivot", "far")
+    slim = nodes.select("node", "n", "level", "tokens", "places", "comp", "pivot", "far", "pivot2", "far2")
     return slim.mapInArrow(lists, _binary(ENTRY_NAMES)).groupBy("bucket").applyInArrow(pairs, _binary(PAIR_NAMES)).groupBy("bucket").applyInArrow(chosen, "x long, y long")
 
 
@@ -382,7 +385,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
     nodes = nodes.withColumnRenamed("fresh", "node")
     buckets = max(12, int(nodes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0) // BUCKET_TOKENS)
     bodies = nodes.select("node", "body")
-    comps = nodes.select("node", F.col("node").alias("comp"), F.col("node").alias("pivot"), F.lit(0.0).alias("far"))
+    comps = nodes.select("node", F.col("node").alias("comp"), *[x for k in ("", "2") for x in (F.col("node").alias(f"pivot{k}"), F.lit(0.0).alias(f"far{k}"))])
     links = None
     for star in [*range(star_rounds), None]:
         todo = nodes.drop("body", "digest").join(comps, "node")
@@ -391,9 +394,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
         links = new if links is None else links.unionByName(new)
         # between rounds a step is enough; in the end all links of all rounds are followed
         comps = joined(comps, links) if star is None else relabelled(comps, new)
-        if star == 0:  # distances from the first hubs
+        if star in (0, 1):  # distances from the hubs of the first two rounds
+            k = "2" if star else ""
             far = seen.select(F.col("x").alias("node"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("united")).alias("d"))
-            comps = comps.join(far, "node", "left").select("node", "comp", F.coalesce("p", "pivot").alias("pivot"), F.coalesce("d", "far").alias("far"))
+            comps = comps.join(far, "node", "left").withColumns({f"pivot{k}": F.coalesce("p", f"pivot{k}"), f"far{k}": F.coalesce("d", f"far{k}")}).drop("p", "d")
         comps = checkpointed(comps)
     labels = nodes.select("node", "digest").join(comps.select("node", "comp"), "node").select(F.col("digest").alias("node"), "comp")
     firsts = all_rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
