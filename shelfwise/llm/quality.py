@@ -101,7 +101,7 @@ def held_out(key: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> SubwordModel:
-    """Fit on at most sample_rows labelled rows that are not held out."""
+    """Fit on at most sample_rows labelled rows that are not held out; tasks make their features, one task fits."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
     sample = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key", "label").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
@@ -119,14 +119,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
                 ids, times = np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), at), np.split(counts.astype(np.int32), at)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (0, 1)], pa.array(ids, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["label", "h", "ids", "counts"])
 
-    # sorted, so that it does not matter in which order tasks end
-    found = joined.mapInArrow(run, "label int, h long, ids array<int>, counts array<int>").toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
-    if not found.num_rows:
-        return SubwordModel(np.zeros(1 << BITS, np.float32), 0.0)
-    lists = [found.column(c).combine_chunks() for c in ("ids", "counts")]
-    cut = np.cumsum(np.asarray(lists[0].value_lengths()))[:-1]
-    bags = list(zip(*[np.split(np.asarray(x.flatten(), np.int32), cut) for x in lists], strict=True))
-    return fit(bags, np.asarray(found.column("label"), np.int64))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches, pa.schema([("label", pa.int32()), ("h", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+        if not found.num_rows:
+            return
+        # sorted, so that it does not matter in which order tasks end
+        found = found.sort_by([("label", "ascending"), ("h", "ascending")])
+        lists = [found.column(c).combine_chunks() for c in ("ids", "counts")]
+        cut = np.cumsum(np.asarray(lists[0].value_lengths()))[:-1]
+        bags = list(zip(*[np.split(np.asarray(x.flatten(), np.int32), cut) for x in lists], strict=True))
+        model = fit(bags, np.asarray(found.column("label"), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias])], ["scores", "bias"])
+
+    # sample_rows bound what the one task that fits reads; the driver gets the scores alone
+    fitted = joined.mapInArrow(run, "label int, h long, ids array<int>, counts array<int>").repartition(1).mapInArrow(train, "scores binary, bias double").collect()
+    for row in fitted:
+        return SubwordModel(np.frombuffer(row["scores"], np.float32), row["bias"])
+    return SubwordModel(np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str = "text") -> DataFrame:

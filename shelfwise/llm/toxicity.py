@@ -126,7 +126,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """Fit on at most sample_rows labelled rows; their features are made in Spark's tasks."""
+    """Fit on at most sample_rows labelled rows; tasks make their features, one task fits."""
     sample = grades.select(F.col(key).alias("key"), F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64("key"), "key", "grade").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     # the sample is bounded by its limit, so it may be sent to every task
@@ -141,11 +141,23 @@ def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int
                 parts = np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> BITS, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (0, 1)], pa.array(parts, pa.list_(pa.int32()))], ["grade", "h", "buckets"])
 
-    # sorted, so that it does not matter in which order tasks end
-    found = joined.mapInArrow(run, "grade int, h long, buckets array<int>").toArrow().sort_by([("grade", "ascending"), ("h", "ascending")])
-    lists = found.column("buckets").combine_chunks()
-    sizes = np.asarray(lists.value_lengths(), np.int64)
-    return fit(np.asarray(lists.flatten(), np.int32), sizes, np.asarray(found.column("grade"), np.int64), levels)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches, pa.schema([("grade", pa.int32()), ("h", pa.int64()), ("buckets", pa.list_(pa.int32()))]))
+        # sorted, so that it does not matter in which order tasks end
+        found = found.sort_by([("grade", "ascending"), ("h", "ascending")])
+        lists = found.column("buckets").combine_chunks()
+        sizes = np.asarray(lists.value_lengths(), np.int64)
+        model = fit(np.asarray(lists.flatten(), np.int32), sizes, np.asarray(found.column("grade"), np.int64), levels)
+        ids = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, model.weights[ids], model.thresholds)], ["ids", "weights", "thresholds"])
+
+    # sample_rows bound what the one task that fits reads; the driver gets the weights alone
+    fitted = joined.mapInArrow(run, "grade int, h long, buckets array<int>").repartition(1).mapInArrow(train, "ids binary, weights binary, thresholds binary").collect()
+    model = fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), levels)
+    for row in fitted:  # one, or none where Spark knows that there are no labels
+        model.weights[np.frombuffer(row["ids"], np.int64)] = np.frombuffer(row["weights"], np.float32)
+        model.thresholds = np.frombuffer(row["thresholds"], np.float64)
+    return model
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
