@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import fold
 from shelfwise.operators import clusters
-from shelfwise.operators.identity import blocked_pairs, ranked
+from shelfwise.operators.identity import blocked_pairs, judged
 from shelfwise.operators.offers import keep_one
 
 
@@ -25,9 +25,9 @@ def place(listings: DataFrame, catalogue: DataFrame, offers: DataFrame, alike: f
     rest = known.where("owner is null").drop("owner")
     named = rest.where(F.coalesce(fold(F.col("title")), F.lit("")) != "")
     held = rest.where(F.coalesce(fold(F.col("title")), F.lit("")) == "").select("id", F.lit("held").alias("action"), F.lit(None).cast("string").alias("target"))
-    best = ranked(blocked_pairs(named, catalogue), named, catalogue, most=8)
+    best = judged(blocked_pairs(named, catalogue), named, catalogue)
     rank = F.when(F.col("action") == "merge", 0).when(F.col("action") == "review", 1).otherwise(2)
-    first = keep_one(best.where("action != 'create'").withColumn("r", rank), ["l_id"], [F.asc("r"), F.asc("rank")])
+    first = keep_one(best.where("action != 'create'").withColumn("r", rank), ["l_id"], [F.asc("r"), F.desc("score"), F.asc("r_id")])
     chosen = first.select(F.col("l_id").alias("id"), F.when(F.col("action") == "merge", "merged").otherwise("held").alias("action"), F.col("r_id").cast("string").alias("target"))
     new = named.join(chosen, "id", "left_anti").withColumn("b", fold(F.col("brand")))
     leaders = clusters.lead(new.select("id", "title", F.coalesce("kind", F.lit("")).alias("kind"), "b"), ["kind", "b"], "id", "title", alike)

@@ -44,7 +44,8 @@ def identity_id(spark, sf_dir):
 @query(None)
 def blocked_pool(spark, sf_dir):
     t = titles(spark)
-    return D.blocked_pairs(t, t).where("l_id < r_id")
+    # a brand in a title counts from one side, so a pair may come in one order alone
+    return D.blocked_pairs(t, t).where("l_id != r_id").select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id")).distinct()
 
 
 @query(None)
