@@ -3,10 +3,11 @@
 Texts become sequences of template tokens: numbers, names and units are replaced by typed
 placeholders, every other word is lowered. Windows of WINDOW tokens are joined by their
 template (an item of fewer tokens is one window); for each document, item and alignment
-the slots' values are then compared: the values of the item must map one to one to those
-of the document, so a question with other parameters is found and a chance likeness of
-templates with mixed-up values is not. An item is in a document if one alignment is
-consistent and covers COVERAGE of the item's windows.
+the slots' values are then compared: each value of the item stands for the one value that
+most of its slots have in the document, so a question with other parameters is found, and
+a window with another value in a slot does not count. If a value of the item has no such
+value (its slots are mixed up), only windows with equal values count. An item is in a
+document if the windows of one alignment that count are COVERAGE of the item's.
 
 number: a word of digits, with single points and commas inside (one slot);
 name: words with a capital first letter only, not first in a sentence; neighbours are one
@@ -198,15 +199,26 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW rows at most
     found = matching_windows(docs, key, text, bitmap_of(windows), widths)
     d, i = found.alias("d"), windows.alias("i")
+    # a slot is known by the place of its token in the item
+    places = F.filter(F.transform(F.split("template", " "), lambda t, at: F.when(t.startswith("{"), F.col("i.at") + at)), lambda at: at.isNotNull())
     pairs = d.join(i, ["template", "width"]).select(
         F.col("d.key").alias("key"), F.col("i.key").alias("item"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"), "n_windows",
-        F.arrays_zip(F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
+        F.arrays_zip(places.alias("at"), F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
     )
-    aligned = pairs.groupBy("key", "item", "shift").agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
-    sound = (F.size("slots") == distinct("was")) & (F.size("slots") == distinct("now"))
+    aligned = pairs.groupBy("key", "item", "shift").agg(F.max("n_windows").alias("of"), F.collect_set(F.struct("at", "slots")).alias("windows"))
+    slots = F.array_distinct(F.flatten(F.col("windows.slots")))
+    same, plain = (lambda s: s["was"] == s["now"]), (lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
+    aligned = aligned.withColumn("values", F.transform(slots, plain))
+    count = lambda test: F.size(F.filter("values", test))
+    most = F.filter(F.array_distinct("values"), lambda v: 2 * count(lambda o: o == v) > count(lambda o: o["was"] == v["was"]))
+    aligned = aligned.withColumn("fits", most)
+    sound = F.forall("values", lambda v: F.exists("fits", lambda o: o["was"] == v["was"]))
+    aligned = aligned.withColumn("sound", sound)
+    counts = lambda w: F.forall(w["slots"], same) | (F.col("sound") & F.forall(w["slots"], lambda s: F.array_contains("fits", plain(s))))
+    aligned = aligned.withColumn("windows", F.filter("windows", counts))
+    n = F.size(F.array_distinct("windows.at"))
+    good = aligned.select("key", "item", "of", n.alias("n"), F.array_distinct(F.transform(slots, plain)).alias("slots")).where(F.col("n") >= F.lit(COVERAGE) * F.col("of"))
     exact = F.forall("slots", lambda s: s["was"] == s["now"])
-    good = aligned.where(sound & (F.col("n") >= F.lit(COVERAGE) * F.col("of")))
     best = good.groupBy("key", "item").agg(F.max(F.struct("n", exact.alias("exact"), F.size("slots").alias("n_slots"), "of")).alias("b"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item_key), F.col("b.n").alias("n_windows"), (F.col("b.n") / F.col("b.of")).alias("coverage"), "b.n_slots", "b.exact")
 

@@ -45,3 +45,16 @@ def test_empty_tables(spark):
 def test_slots_join_neighbours():
     t = D.Templates([b"We saw Mary Ann Smith pay 1,200.50 euros and Bob ran 5 m. m"])
     assert t.template(0, len(t.kind))[0] == "we saw {name} pay {number} {unit} and {name} ran {number} {unit} m"
+
+
+def test_coincident_values_and_one_odd_slot(spark):
+    thrice = ITEM + " Then Ann walks 3 miles home with all of the fresh apples that were left over."
+    other = thrice.replace("Ann", "Eve").replace("Joe", "Bob")
+    docs = [
+        (1, ITEM.replace("2 kg", "4 kg").replace("10 dollars", "4 dollars")),  # two numbers become one
+        (2, thrice.replace("does Ann", "does Zoe")),  # verbatim but for one of three
+        (3, other.replace("does Eve", "does Zoe")),  # other names, one of three odd
+        (4, ITEM.replace("does Ann", "does Zoe")),  # verbatim but for one of two
+    ]
+    assert set(found(spark, docs, [(1, ITEM)])) >= {(1, 1), (4, 1)}
+    assert {k[0] for k in found(spark, docs, [(2, thrice)])} >= {2, 3}
