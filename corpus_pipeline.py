@@ -1,18 +1,18 @@
 """The corpus pipeline: documents in, clean and tokenised documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns that docs has. Rows that repeat an id stay or go together; a null id is an id
-of its own. Null texts pass every filter and have no tokens. Extra columns are carried
-along whatever their names.
+the columns that docs has. Rows are judged by id and text, so those that repeat an id or have
+none do not go for another's text; of a group of near copies one row stays. Null texts pass
+every filter and have no tokens. Extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from shelfwise.llm.state import checkpointed
+from shelfwise.llm.state import checkpointed, row_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +21,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.learn(docs, grades))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone (column key)."""
+    return docs.join(gone.select(F.col("key.id").alias("_gone"), F.col("key.digest").alias("_digest")), _key_is("_gone", "_digest"), "left_anti")
+
+
+def _key_is(key: str, digest: str) -> Column:
+    mine = row_key(F.col("doc_id"), F.col("text"))
+    return mine["id"].eqNullSafe(F.col(key)) & (mine["digest"] == F.col(digest))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = jaccard.components(docs.select("doc_id", "text"))
-    gone = checkpointed(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One row of each group of near copies: the first by id (null last), digest of the text and place."""
+    found = jaccard.components(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), "key")
+    in_groups = found.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("first"))
+    # rows that go, and keys of which one row stays
+    odd = checkpointed(in_groups.select("key", (F.col("key") != F.col("first")).alias("gone"), "n").where("gone or n > 1"))
+    out = without(docs, odd)
+    twice = odd.where("not gone")
+    if twice.isEmpty():
+        return out
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("place"))
+    own = row.join(twice.select(F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest")), F.col("key.id").eqNullSafe(F.col("_id")) & (F.col("key.digest") == F.col("_digest")), "left_semi")
+    # partial results before the shuffle: a hot key comes down to a row a task
+    first = own.groupBy("key").agg(F.min_by("row", "place").alias("row"))
+    return out.unionByName(first.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
-    found = decontaminate.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = checkpointed(found.select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    found = decontaminate.leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, checkpointed(found.select("key").distinct()))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

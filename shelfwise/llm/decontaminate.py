@@ -19,8 +19,8 @@ the bitmap has a fixed size and only false alarms, so no window is lost.
 
 Nulls: null and empty texts have no windows. Items of fewer than LEAST_TOKENS tokens, and
 windows with fewer than half their tokens literal, tell nothing and match nothing. Copies
-of a document are each reported; rows that repeat an id count once. Empty tables give no
-rows. Only the ids and the texts are read.
+of a document are each reported; rows that repeat an id are judged text by text and reported
+once. Empty tables give no rows. Only the ids and the texts are read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.state import row_key
 from shelfwise.llm.textkit import Words, blocks, lowered, prefix_sums, span_hashes, window_hashes
 
 WINDOW, LEAST_TOKENS, COVERAGE = 8, 5, 0.5
@@ -172,7 +173,7 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
 
 def matching_windows(docs: DataFrame, key: str, text: str, bitmap: np.ndarray, widths: list[int]) -> DataFrame:
-    """The documents' windows that the bitmap lets through: key, template, width, at, slots."""
+    """The documents' windows that the bitmap lets through: key, template, width, at, slots. key may be a struct."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     kind = slim.schema["key"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of a fixed size
@@ -195,9 +196,17 @@ def matching_windows(docs: DataFrame, key: str, text: str, bitmap: np.ndarray, w
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item key, n_windows (matched), coverage, n_slots, exact: one row for each item in a document."""
+    best = leaks(docs, items, key, text, item_key, item_text).groupBy("key.id", "item").agg(F.max("b").alias("b"))
+    return best.select(F.col("id").alias(key), F.col("item").alias(item_key), F.col("b.n").alias("n_windows"), (F.col("b.n") / F.col("b.of")).alias("coverage"), "b.n_slots", "b.exact")
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """key (id and digest of the text), item and b (n, exact, n_slots, of): one row for each item in
+    a text of an id. Different texts of an id, or without one, are kept apart."""
+    docs = docs.select(row_key(F.col(key), F.col(text)).alias("key"), F.col(text).alias("text"))
     windows = item_windows(items, item_key, item_text)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW rows at most
-    found = matching_windows(docs, key, text, bitmap_of(windows), widths)
+    found = matching_windows(docs, "key", "text", bitmap_of(windows), widths)
     d, i = found.alias("d"), windows.alias("i")
     # a slot is known by the place of its token in the item
     places = F.filter(F.transform(F.split("template", " "), lambda t, at: F.when(t.startswith("{"), F.col("i.at") + at)), lambda at: at.isNotNull())
@@ -219,8 +228,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     n = F.size(F.array_distinct("windows.at"))
     good = aligned.select("key", "item", "of", n.alias("n"), F.array_distinct(F.transform(slots, plain)).alias("slots")).where(F.col("n") >= F.lit(COVERAGE) * F.col("of"))
     exact = F.forall("slots", lambda s: s["was"] == s["now"])
-    best = good.groupBy("key", "item").agg(F.max(F.struct("n", exact.alias("exact"), F.size("slots").alias("n_slots"), "of")).alias("b"))
-    return best.select(F.col("key").alias(key), F.col("item").alias(item_key), F.col("b.n").alias("n_windows"), (F.col("b.n") / F.col("b.of")).alias("coverage"), "b.n_slots", "b.exact")
+    return good.groupBy("key", "item").agg(F.max(F.struct("n", exact.alias("exact"), F.size("slots").alias("n_slots"), "of")).alias("b"))
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

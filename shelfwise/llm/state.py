@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +19,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """A row's id and the digest of its text, ordered by id with null last; null and empty texts are equal."""
+    return F.struct(key.isNull().alias("unnamed"), key.alias("id"), F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)).alias("digest"))

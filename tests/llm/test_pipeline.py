@@ -43,3 +43,16 @@ def test_stages_carry_columns(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == 2
     text = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.redact_secrets(spark, docs, str(tmp_path)).collect()}
     assert text == {1: ("[SECRET]", 8), 2: (None, None)}
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    rng = random.Random(4)
+    a, b, c, d, item = (prose(rng, n) for n in (60, 60, 60, 60, 30))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c), (2, d), (2, d), (2, prose(rng, 40)), (None, prose(rng, 9) + " " + item + "."), (3, item + "."), (3, prose(rng, 50)), (None, None), (None, None)]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, a), (None, b), (None, c), (2, d), rows[7], (None, None), (None, None), *rows[8:11]], key=repr)
+    spark.createDataFrame([(1, item + ".")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([*rows[:8], *rows[10:]], key=repr)
