@@ -14,13 +14,20 @@ name: words with a capital first letter only, not first in a sentence; neighbour
 slot, whose value is the last of them;
 unit: one of UNITS right after a number.
 
+A window with fewer than half its tokens literal is thin: its template alone tells little.
+An item that has other windows is judged by those. An item of thin windows only is found word
+for word (thin windows are joined with their values), and with other parameters by one window
+of all its tokens if LEAST_LITERALS of them are literal. An item of fewer than LEAST_TOKENS
+tokens is found where it stands word for word as a sentence of its own.
+
 Only document windows that a bitmap of the item windows' hashes lets through become rows;
-the bitmap has a fixed size and only false alarms, so no window is lost.
+its false alarms are sorted out by the join, so no window is lost. Alignments are first
+found by each item's rarest windows (as many as can't all be missing), then looked at whole,
+so a phrase that very many items share does not multiply.
 
-Nulls: null and empty texts have no windows. Items of fewer than LEAST_TOKENS tokens, and
-windows with fewer than half their tokens literal, tell nothing and match nothing. Copies
-of a document are each reported; rows that repeat an id are judged text by text and reported
-once. Empty tables give no rows. Only the ids and the texts are read.
+Nulls: null and empty texts have no windows. Copies of a document are each reported; rows
+that repeat an id are judged text by text and reported once. Empty tables give no rows. Only
+the ids and the texts are read.
 """
 
 from __future__ import annotations
@@ -29,14 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.state import row_key
-from shelfwise.llm.textkit import Words, blocks, lowered, prefix_sums, span_hashes, window_hashes
+from shelfwise.llm.state import bitmap, checkpointed, row_key
+from shelfwise.llm.textkit import Words, blocks, lowered, span_hashes, window_hashes
 
-WINDOW, LEAST_TOKENS, COVERAGE = 8, 5, 0.5
-BITMAP_BITS = 26
+WINDOW, LEAST_TOKENS, LEAST_LITERALS, COVERAGE = 8, 5, 3, 0.5
+#: Bits of the bitmap: 64 for each item window, between these figures.
+LEAST_BITS, MOST_BITS = 16, 26
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr kmh mph hz khz mhz ghz w kw v a "
     "inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -62,14 +71,15 @@ _MARK_HASHES = np.concatenate([_hash_of(b"\x00"), *[_hash_of(MARKS[k]) for k in
 
 
 class Templates:
-    """Template tokens of some texts: start, end, kind, hash and doc of each; counts by text."""
+    """Template tokens of some texts: start, end, kind, doc, opens (first of a sentence), hash of
+    the template and exact (hash with the value) of each; counts by text."""
 
     def __init__(self, texts: list[bytes]) -> None:
         w = Words(texts, _NOT_WORD)
         self.raw, n = w.raw, len(w.start)
         low = lowered(w.raw)
-        hashes = span_hashes(low, w.start, w.end, prefix_sums(low))
-        kind = np.zeros(n, np.int8)
+        hashes = span_hashes(low, w.start, w.end)
+        kind, opens = np.zeros(n, np.int8), np.ones(n, bool)
         if n:
             digits = np.zeros(len(w.buf) + 1, np.int32)
             np.cumsum((w.buf >= 48) & (w.buf <= 57), out=digits[1:])
@@ -94,45 +104,55 @@ class Templates:
         else:
             keep = last = np.zeros(0, np.int64)
         self.start, self.end = w.start[keep], w.end[last]
-        self.kind, self.doc = kind[keep], w.doc[keep]
+        self.kind, self.doc, self.opens = kind[keep], w.doc[keep], opens[keep]
+        self.exact = span_hashes(low, self.start, self.end)
         self.hash = np.where(self.kind == LITERAL, hashes[keep], _MARK_HASHES[self.kind])
         self.counts = np.bincount(self.doc, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of each run of width tokens of one text, half of them literal."""
-        h = window_hashes(self.hash, width) ^ np.uint64(width)
-        if not len(h):
-            return np.zeros(0, np.int64), h
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        at = np.flatnonzero((self.doc[: len(h)] == self.doc[width - 1 :]) & (2 * (literal[width:] - literal[:-width]) >= width))
+    def windows(self, width: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of each run of width tokens of one text, with values if exact."""
+        h = window_hashes(self.exact if exact else self.hash, width) ^ np.uint64(width * 2 + exact)
+        at = np.flatnonzero(self.doc[: len(h)] == self.doc[width - 1 :]) if len(h) else np.zeros(0, np.int64)
         return at, h[at]
 
-    def template(self, at: int, width: int) -> tuple[str, list[str]]:
-        """The template text of a window and the values of its slots."""
+    def literals(self, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
+        """How many of the width tokens from at on are literal."""
+        total = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
+        return total[at + width] - total[at]
+
+    def alone(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether runs of width tokens of a text are sentences."""
+        after = np.minimum(at + width, len(self.doc) - 1)
+        ends = (at + width == len(self.doc)) | (self.doc[after] != self.doc[at]) | self.opens[after]
+        return self.opens[at] & ends
+
+    def template(self, at: int, width: int, exact: bool = False) -> tuple[str, list[str]]:
+        """The template text of a window and the values of its slots; exact: the values are in the text."""
         words, slots = [], []
         for i in range(at, at + width):
             raw, k = self.raw[self.start[i] : self.end[i]], int(self.kind[i])
-            words.append(raw.decode("utf-8", "replace").lower().encode() if k == LITERAL else MARKS[k])
-            if k != LITERAL:
+            low = raw.decode("utf-8", "replace").lower()
+            words.append(low.encode() if k == LITERAL or exact else MARKS[k])
+            if k != LITERAL and not exact:
                 # of names the last word: a capital word before a name may only open a sentence
-                value = raw.decode("utf-8", "replace").lower()
-                slots.append(f"{k}:" + (value.split()[-1] if k == NAME else value))
-        return b" ".join(words).decode("utf-8", "replace"), slots
+                slots.append(f"{k}:" + (low.split()[-1] if k == NAME else low))
+        return ("= " if exact else "") + b" ".join(words).decode("utf-8", "replace"), slots
 
 
 SCHEMA = "template string, width int, at int, slots array<string>"
 
 
-def _rows(keys: pa.Array, t: Templates, at: np.ndarray, widths: np.ndarray, more: dict | None = None) -> pa.RecordBatch:
-    made = [t.template(int(i), int(n)) for i, n in zip(at, widths, strict=True)]
-    cols = {"key": keys.take(pa.array(t.doc[at])), "template": pa.array([m[0] for m in made], pa.string()), "width": pa.array(widths.astype(np.int32)), "at": pa.array((at - t.first[t.doc[at]]).astype(np.int32)), "slots": pa.array([m[1] for m in made], pa.list_(pa.string()))}
+def _rows(keys: pa.Array, t: Templates, at: np.ndarray, width: int, exact: bool, more: dict | None = None) -> pa.RecordBatch:
+    made = [t.template(i, width, exact) for i in at.tolist()]
+    cols = {"key": keys.take(pa.array(t.doc[at])), "template": pa.array([m[0] for m in made], pa.string()), "width": pa.array(np.full(len(at), width, np.int32)), "at": pa.array((at - t.first[t.doc[at]]).astype(np.int32)), "slots": pa.array([m[1] for m in made], pa.list_(pa.string()))}
     cols |= more or {}
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """Windows of all items: key, template, width, at, slots, hash, and the item's n_windows."""
+    """Windows of all items: key, template, width, at, slots, hash, exact (with values), whole (the
+    item's only window of another width) and n_windows (of the item with the same exact and whole)."""
     slim = items.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     kind = slim.schema["key"].dataType.simpleString()
 
@@ -141,55 +161,49 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 t = Templates(texts[a:b])
-                at, widths, hashes = [], [], []
-                for width in sorted({min(WINDOW, int(c)) for c in t.counts if c >= LEAST_TOKENS}):
-                    i, h = t.windows(width)
-                    fits = np.minimum(t.counts[t.doc[i]], WINDOW) == width
-                    at.append(i[fits])
-                    hashes.append(h[fits])
-                    widths.append(np.full(fits.sum(), width))
-                if at:
-                    at_, widths_, h_ = np.concatenate(at), np.concatenate(widths), np.concatenate(hashes)
-                    n = np.bincount(t.doc[at_], minlength=b - a)[t.doc[at_]]
-                    yield _rows(batch.column(0).slice(a, b - a), t, at_, widths_, {"hash": pa.array(h_.view(np.int64)), "n_windows": pa.array(n.astype(np.int32))})
-
-    return slim.mapInArrow(run, f"key {kind}, {SCHEMA}, hash long, n_windows int")
-
-
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits, one set for each hash; a part's bitmap at a time reaches the driver."""
+                mine = np.minimum(t.counts, WINDOW)
+                chosen = []  # first tokens, width, exact, whole
+                for width in np.unique(mine[mine > 0]).tolist():
+                    at, _ = t.windows(width, False)
+                    at = at[mine[t.doc[at]] == width]
+                    thin = (2 * t.literals(at, width) < width) | (t.counts[t.doc[at]] < LEAST_TOKENS)
+                    plain = np.isin(t.doc[at], t.doc[at[~thin]])  # of items that have other windows too
+                    chosen += [(at[~thin], width, False, False), (at[thin & ~plain], width, True, False)]
+                    odd = np.unique(t.doc[at[~plain]])
+                    odd = odd[(t.counts[odd] >= LEAST_TOKENS) & (t.literals(t.first[odd], t.counts[odd]) >= LEAST_LITERALS)]
+                    chosen += [(t.first[odd[t.counts[odd] == n]], n, False, True) for n in np.unique(t.counts[odd]).tolist()]
+                for at, width, exact, whole in chosen:
+                    if len(at):
+                        places, h = t.windows(width, exact)
+                        n = np.bincount(t.doc[at], minlength=b - a)[t.doc[at]]
+                        flags = {"hash": pa.array(h[np.searchsorted(places, at)].view(np.int64)), "exact": pa.array(np.full(len(at), exact)), "whole": pa.array(np.full(len(at), whole)), "n_windows": pa.array(n.astype(np.int32))}
+                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, exact, flags)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+    return slim.mapInArrow(run, f"key {kind}, {SCHEMA}, hash long, exact boolean, whole boolean, n_windows int")
 
-    total = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in hashes.select("hash").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total
 
+def matching_windows(docs: DataFrame, key: str, text: str, bits: Broadcast, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """The documents' windows that the bitmap lets through: key, template, width, at, slots.
 
-def matching_windows(docs: DataFrame, key: str, text: str, bitmap: np.ndarray, widths: list[int]) -> DataFrame:
-    """The documents' windows that the bitmap lets through: key, template, width, at, slots. key may be a struct."""
+    kinds: widths, each with whether the items' windows of that width have their values in them.
+    """
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     kind = slim.schema["key"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        shift = np.uint64(65 - (8 * len(bits.value)).bit_length())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 t = Templates(texts[a:b])
-                for width in widths:
-                    at, h = t.windows(width)
-                    place = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                    at = at[(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                for width, exact in kinds:
+                    at, h = t.windows(width, exact)
+                    place = (h >> shift).astype(np.int64)
+                    at = at[(bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                    if width < LEAST_TOKENS:
+                        at = at[t.alone(at, width)]
                     if len(at):
-                        yield _rows(batch.column(0).slice(a, b - a), t, at, np.full(len(at), width))
+                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, exact)
 
     return slim.mapInArrow(run, f"key {kind}, {SCHEMA}")
 
@@ -204,17 +218,30 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """key (id and digest of the text), item and b (n, exact, n_slots, of): one row for each item in
     a text of an id. Different texts of an id, or without one, are kept apart."""
     docs = docs.select(row_key(F.col(key), F.col(text)).alias("key"), F.col(text).alias("text"))
-    windows = item_windows(items, item_key, item_text)
-    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW rows at most
-    found = matching_windows(docs, "key", "text", bitmap_of(windows), widths)
-    d, i = found.alias("d"), windows.alias("i")
+    windows = checkpointed(item_windows(items, item_key, item_text))
+    kinds = sorted((r.width, r.exact) for r in windows.select("width", "exact").distinct().collect())  # a row for each length of item
+    n_bits = min(MOST_BITS, max(LEAST_BITS, (64 * windows.count()).bit_length()))
+    place = lambda batches: ((x.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - n_bits)).astype(np.int64) for x in batches)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(windows.select("hash"), place, n_bits))  # of a bounded size
+    found = checkpointed(matching_windows(docs, "key", "text", bits, kinds))
+    bits.destroy()
+    # an item misses n - ceil(COVERAGE * n) windows at most, so one of its rarest n - ceil(...) + 1 is there
+    rarest = Window.partitionBy("key", "exact", "whole").orderBy("items", "template", "at")
+    shared = windows.groupBy("template", "width").agg(F.count(F.lit(1)).alias("items"))
+    ranked = windows.join(shared, ["template", "width"]).withColumn("rank", F.row_number().over(rarest))
+    probes = ranked.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.lit(COVERAGE) * F.col("n_windows") - 1e-9) + 1)
+    d, i = found.alias("d"), probes.alias("i")
+    near = d.join(i, ["template", "width"]).select(F.col("d.key").alias("doc"), F.col("i.key").alias("item"), "exact", "whole", (F.col("d.at") - F.col("i.at")).alias("shift")).distinct().alias("c")
+    i = windows.alias("i")
+    wanted = near.join(i, F.col("i.key").eqNullSafe(F.col("c.item")) & (F.col("i.exact") == F.col("c.exact")) & (F.col("i.whole") == F.col("c.whole")))
+    both = wanted.join(d, F.col("d.key").eqNullSafe(F.col("c.doc")) & (F.col("d.at") == F.col("i.at") + F.col("c.shift")) & (F.col("d.template") == F.col("i.template")) & (F.col("d.width") == F.col("i.width")))
     # a slot is known by the place of its token in the item
-    places = F.filter(F.transform(F.split("template", " "), lambda t, at: F.when(t.startswith("{"), F.col("i.at") + at)), lambda at: at.isNotNull())
-    pairs = d.join(i, ["template", "width"]).select(
-        F.col("d.key").alias("key"), F.col("i.key").alias("item"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"), "n_windows",
-        F.arrays_zip(places.alias("at"), F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
+    places = F.filter(F.transform(F.split("i.template", " "), lambda t, at: F.when(t.startswith("{"), F.col("i.at") + at)), lambda at: at.isNotNull())
+    pairs = both.select(
+        F.col("c.doc").alias("key"), "c.item", "c.shift", F.col("i.at").alias("at"), "n_windows", F.struct("c.exact", "c.whole").alias("way"),
+        F.arrays_zip(F.when(F.col("c.exact"), F.array().cast("array<int>")).otherwise(places).alias("at"), F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
     )
-    aligned = pairs.groupBy("key", "item", "shift").agg(F.max("n_windows").alias("of"), F.collect_set(F.struct("at", "slots")).alias("windows"))
+    aligned = pairs.groupBy("key", "item", "shift", "way").agg(F.max("n_windows").alias("of"), F.collect_set(F.struct("at", "slots")).alias("windows"))
     slots = F.array_distinct(F.flatten(F.col("windows.slots")))
     same, plain = (lambda s: s["was"] == s["now"]), (lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now")))
     aligned = aligned.withColumn("values", F.transform(slots, plain))

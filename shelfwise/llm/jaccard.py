@@ -35,19 +35,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.runcounts import heaviness, run_counts, slot
+from shelfwise.llm.runcounts import RunCounts, run_counts, slot
 from shelfwise.llm.state import checkpointed
 from shelfwise.llm.textkit import Words, blocks, mix, shingles
 
 WIDTH = 5
 #: Cost of verifying a candidate, in list entries read.
 VERIFY_COST = 500.0
-LIVE_BITS = 27
+#: Bits of the bitmap of live tokens: by the number of runs, up to the second figure.
+LEAST_LIVE_BITS, MOST_LIVE_BITS = 20, 27
 #: Prefix tokens that one bucket sorts, about.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 250_000
+#: A longer list is dealt over tasks: each pair of its parts of about this length is a list of its own.
+LONG_LIST = 4096
 HUBS, STAR_ROUNDS = 4, 2
 
 
@@ -64,7 +68,7 @@ def token_sets(texts: list[bytes], heavy: np.ndarray) -> tuple[np.ndarray, np.nd
     """(token, text, first of each text): every text's distinct tokens, rare first."""
     w = Words([t.lower() for t in texts])
     token, doc = shingles(w, w.hashes(), WIDTH)
-    rank = heavy[slot(token)].astype(np.int64) if len(token) else doc
+    rank = heavy[slot(token, len(heavy))].astype(np.int64) if len(token) else doc
     place = doc * 64 + rank
     order = np.lexsort((token, place))
     token, place = token[order], place[order]
@@ -74,10 +78,13 @@ def token_sets(texts: list[bytes], heavy: np.ndarray) -> tuple[np.ndarray, np.nd
     return token, doc, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def levels_of(token: np.ndarray, doc: np.ndarray, first: np.ndarray, excess: np.ndarray) -> np.ndarray:
+def levels_of(token: np.ndarray, first: np.ndarray, counts: RunCounts) -> np.ndarray:
     """The l of each text: the one of least estimated cost."""
     n = np.diff(first)
-    total = np.concatenate([[0.0], np.cumsum(1 + excess[slot(token)])])
+    # of a heavy token its list's length: h doublings of the mean, and half of the next one
+    grade = np.arange(64)
+    entries = 1 + np.where(grade > 0, 1.5 * 2.0**grade * counts.mean, 0.0)
+    total = np.concatenate([[0.0], np.cumsum(entries[counts.heavy[slot(token, len(counts.heavy))]])])
     base, most = n - least_overlap(n), largest_level(n)
     best, level = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     k = 1
@@ -123,16 +130,15 @@ def _packed(bucket: np.ndarray, names: list[str], arrays: list[np.ndarray]) -> I
     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), *[pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]], ["bucket", *names])
 
 
-def live_tokens(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
-    """A bitmap of tokens that stand in the prefixes of two texts or more."""
-    sent = rows.sparkSession.sparkContext.broadcast(heavy)  # of a fixed size
+def live_tokens(rows: DataFrame, counts: Broadcast, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits of the tokens that stand in the prefixes of two texts or more."""
     parts = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = list(dict.fromkeys(batch.column("body").to_pylist()))
             for a, b in blocks(texts):
-                token, doc, first = token_sets(texts[a:b], sent.value)
+                token, doc, first = token_sets(texts[a:b], counts.value.heavy)
                 n = np.diff(first)
                 inside = np.arange(len(token)) - first[doc] < prefix_lengths(n)[doc]
                 token = np.sort(token[inside])
@@ -143,13 +149,13 @@ def live_tokens(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
         (token,) = _unblob(batches, [np.uint32])
         token.sort()
         token = token[1:][token[1:] == token[:-1]]
-        bits = np.zeros((1 << LIVE_BITS) // parts, bool)
-        bits[token >> np.uint32(40 - LIVE_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
+        slice_ = np.zeros((1 << bits) // parts, bool)
+        slice_[token >> np.uint32(40 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(slice_).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    out = np.zeros((parts, (1 << LIVE_BITS) // 8 // parts), np.uint8)
+    out = np.zeros((parts, (1 << bits) // 8 // parts), np.uint8)
     found = rows.select("body").mapInArrow(run, "bucket long, tokens binary").groupBy("bucket").applyInArrow(twice, "bucket long, bits binary")
-    for row in found.toLocalIterator():  # 256 slices of one bitmap
+    for row in found.collect():  # 256 slices of one bitmap, 2**bits / 8 bytes in all
         out[row.bucket] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(-1)
 
@@ -157,23 +163,23 @@ def live_tokens(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
 ROWS = "id {kind}, n long, node binary, level int, tokens binary, places binary, body binary"
 
 
-def described(rows: DataFrame, kind: str, heavy: np.ndarray, excess: np.ndarray, live: np.ndarray) -> DataFrame:
+def described(rows: DataFrame, kind: str, counts: Broadcast, live: Broadcast) -> DataFrame:
     """id, n and node (digest of the set) of every row; for nodes with tokens that others
     list too also level, those tokens, their places in the order, and the packed text."""
-    sent = rows.sparkSession.sparkContext.broadcast((heavy, excess, live))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_, excess_, live_ = sent.value
+        live_ = live.value
+        shift = np.uint64(65 - (8 * len(live_)).bit_length())
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             bodies, ids = batch.column("body").to_pylist(), batch.column("id")
             for a, b in blocks(bodies):
                 texts = bodies[a:b]
-                token, doc, first = token_sets(texts, heavy_)
+                token, doc, first = token_sets(texts, counts.value.heavy)
                 n = np.diff(first)
-                level = levels_of(token, doc, first, excess_)
+                level = levels_of(token, first, counts.value)
                 place = np.arange(len(token)) - first[doc]
-                at = (token >> np.uint64(64 - LIVE_BITS)).astype(np.int64)
+                at = (token >> shift).astype(np.int64)
                 good = (place < prefix_lengths(n)[doc]) & ((live_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
                 good &= (np.bincount(doc[good], minlength=len(texts)) >= largest_level(n))[doc]
                 shared, whose, places = token[good], doc[good], place[good].astype(np.int32)
@@ -200,19 +206,47 @@ PAIR_NAMES = ["x", "y", "shared", "least"]
 _binary = lambda names: "bucket long, " + ", ".join(f"{x} binary" for x in names)
 
 
-def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def _long_lists(entries: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """entries without those of long lists, and the long lists dealt out: a list's nodes fall into
+    parts, and each pair of parts is a list of its own, with the part of each entry as its side."""
+    token = entries[0]
+    _, at, size = np.unique(token, return_inverse=True, return_counts=True)
+    long = size[at] > LONG_LIST
+    if not long.any():
+        return entries, []
+    order = np.flatnonzero(long)[np.argsort(at[long], kind="stable")]
+    dealt: list[list[np.ndarray]] = [[] for _ in range(len(entries) + 1)]
+    for list_ in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        parts = -(-len(list_) // LONG_LIST)
+        part = (mix(entries[1][list_].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        groups = [list_[part == g] for g in range(parts)]
+        for g in range(parts):
+            for h in range(g, parts):
+                both = groups[g] if g == h else np.concatenate([groups[g], groups[h]])
+                side = np.zeros(len(both), np.int8)
+                if g != h:
+                    side[: len(groups[g])], side[len(groups[g]) :] = 1, 2
+                dealt[0].append(mix(token[both] ^ mix(np.full(len(both), (g << 32) + h + 1, np.uint64))))
+                for out, column in zip(dealt[1:], [*entries[1:], None], strict=True):
+                    out.append(side if column is None else column[both])
+    return [x[~long] for x in entries], [np.concatenate(x) for x in dealt]
+
+
+def _pairs_of(star: int | None, entries: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(x, y, shared tokens, least number needed) of one bucket's pairs of different components.
 
-    star: the round's number, pairs of nodes with hubs only; None: all pairs.
+    star: the round's number, pairs of nodes with hubs only; None: all pairs. Entries of one
+    side (but 0) make no pairs.
     """
     token, node, n, level, place, comp, known, pivot, far, pivot2, far2 = entries
+    side = np.zeros(len(token), np.int8) if side is None else side
     names, node_at = np.unique(node, return_inverse=True)
     # hubs: in the first round the nodes that others share most of, the same in every bucket
     by = mix(names.view(np.uint64) ^ np.uint64(0x9E37 + (star or 0)))[node_at]
     if star == 0:
         by = np.unique(np.stack([-known, by.astype(np.float64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
     order = np.lexsort((by, token))
-    token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2 = (v[order] for v in (token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2))
+    token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2, side = (v[order] for v in (token, node, node_at, n, level, place, comp, pivot, far, pivot2, far2, side))
     head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([head, [len(token)]]))
     if len(head):  # lists of one component have nothing to say
@@ -246,6 +280,7 @@ def _pairs_of(star: int | None, entries: list[np.ndarray]) -> tuple[np.ndarray,
             x, y = np.where(probe_i, i, j), np.where(probe_i, j, i)
             ok &= place[x] < n[x] - least_overlap(n[x]) + level[x]
             ok &= place[y] < n[y] - least_overlap(n[y]) + level[x]
+            ok &= (side[i] == 0) | (side[i] != side[j])
             for one, d_one in ((pivot, far), (pivot2, far2)):
                 ok &= (one[i] != node[j]) & (one[j] != node[i])  # verified before
                 for two, d_two in ((pivot, far), (pivot2, far2)):
@@ -283,11 +318,29 @@ def candidates(nodes: DataFrame, buckets: int, star: int | None) -> DataFrame:
             known = np.repeat(sizes / np.maximum(1, prefix_lengths(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64))), sizes)
             yield from _packed((mix(token) % np.uint64(buckets)).astype(np.int64), ENTRY_NAMES, [token, *rest[:3], place, rest[3], known, *rest[4:]])
 
-    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, shared, least = _pairs_of(star, _unblob(batches, ENTRY_KINDS))
+    def counted(x: np.ndarray, y: np.ndarray, shared: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
         by = mix(x.view(np.uint64)) if star is not None else mix(x.view(np.uint64) * np.uint64(3) + y.view(np.uint64))
         yield from _packed((by % np.uint64(buckets)).astype(np.int64), PAIR_NAMES, [x, y, shared, least])
 
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = _unblob(batches, ENTRY_KINDS)
+        if star is not None:
+            yield from counted(*_pairs_of(star, entries))
+            return
+        entries, dealt = _long_lists(entries)
+        none = pa.nulls
+        for batch in counted(*_pairs_of(star, entries)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, none(batch.num_rows, pa.list_(pa.binary()))], [*batch.schema.names, "parts"])
+        if dealt:
+            for batch in _packed((dealt[0] % np.uint64(buckets)).astype(np.int64), [*ENTRY_NAMES, "side"], dealt):
+                rows = list(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[none(len(rows), pa.binary())] * len(PAIR_NAMES), pa.array(rows, pa.list_(pa.binary()))], ["bucket", *PAIR_NAMES, "parts"])
+
+    def part_pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = (pa.RecordBatch.from_arrays([b.column("bucket"), *[pa.array(c, pa.binary()) for c in zip(*b.column("parts").to_pylist(), strict=True)]], ["bucket", *ENTRY_NAMES, "side"]) for b in batches)
+        *entries, side = _unblob(columns, [*ENTRY_KINDS, np.int8])
+        yield from counted(*_pairs_of(None, entries, side))
+
     def chosen(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, shared, least = _unblob(batches, PAIR_KINDS)
         order = np.lexsort((y, x))
@@ -308,7 +361,15 @@ def candidates(nodes: DataFrame, buckets: int, star: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000])], ["x", "y"])
 
     slim = nodes.select("node", "n", "level", "tokens", "places", "comp", "pivot", "far", "pivot2", "far2")
-    return slim.mapInArrow(lists, _binary(ENTRY_NAMES)).groupBy("bucket").applyInArrow(pairs, _binary(PAIR_NAMES)).groupBy("bucket").applyInArrow(chosen, "x long, y long")
+    listed, schema = slim.mapInArrow(lists, _binary(ENTRY_NAMES)).groupBy("bucket"), _binary(PAIR_NAMES)
+    if star is not None:
+        found = listed.applyInArrow(pairs, schema)
+    else:
+        both = checkpointed(listed.applyInArrow(pairs, f"{schema}, parts array<binary>"))
+        found, dealt = both.where("parts is null").drop("parts"), both.where("parts is not null")
+        if not dealt.isEmpty():
+            found = found.unionByName(dealt.groupBy("bucket").applyInArrow(part_pairs, schema))
+    return found.groupBy("bucket").applyInArrow(chosen, "x long, y long")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -317,7 +378,7 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     both = left.join(bodies.select(F.col("node").alias("y"), F.col("body").alias("y_body")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.zeros(1 << 18, np.uint64)
+        heavy = np.zeros(1 << 10, np.uint8)  # here no order is needed
         unpack = zstandard.ZstdDecompressor()
         sets: dict[bytes, np.ndarray] = {}
         held = 0
@@ -375,9 +436,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
     """key, n_shingles and component_id (the smallest id that links reach) of every row."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
-    counts = run_counts(rows, "body", WIDTH, lower=True)
-    heavy, excess = heaviness(counts), np.maximum(0.0, counts - 2 * max(1.0, counts.mean()))
-    all_rows = checkpointed(described(rows, kind, heavy, excess, live_tokens(rows, heavy)))
+    context = docs.sparkSession.sparkContext
+    counts = context.broadcast(run_counts(rows, "body", WIDTH, lower=True))  # of a bounded size, as is the bitmap
+    bits = min(MOST_LIVE_BITS, max(LEAST_LIVE_BITS, counts.value.total.bit_length() + 1))
+    live = context.broadcast(live_tokens(rows, counts, bits))
+    all_rows = checkpointed(described(rows, kind, counts, live))
+    for sent in (counts, live):
+        sent.destroy()
 
     alive = all_rows.where(F.col("tokens").isNotNull()).groupBy("node").agg(F.first(F.struct("n", "level", "tokens", "places", "body")).alias("p"))
     nodes = checkpointed(alive.select(F.col("node").alias("digest"), F.monotonically_increasing_id().alias("fresh"), "p.*"))

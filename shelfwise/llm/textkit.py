@@ -7,18 +7,22 @@ does not follow the partition; one document longer than a block is a block of it
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Bytes of text that are worked on at once.
 BLOCK_BYTES = 4 << 20
-#: Odd multipliers of the two polynomial hashes (bytes of a word, words of a window).
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
+#: Odd multipliers of the hashes (eight bytes of a word, words of a window).
+LANE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
+#: Longer byte ranges are hashed by a digest.
+SHORT_BYTES = 32
 #: Space and the controls 0x09 to 0x0D: what parts words, and what bytes.split() splits on.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -87,19 +91,40 @@ class Words:
         return span_hashes(self.buf if buf is None else buf, self.start, self.end)
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    up, _ = powers(BYTE_BASE, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return sums
+def lanes_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as one number, zeros behind the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes, equal hashes."""
-    if sums is None:
-        sums = prefix_sums(buf)
-    _, down = powers(BYTE_BASE, len(buf) + 1)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte range; equal bytes, equal hashes.
+
+    Short ranges are mixed eight bytes at a time, which is one to one for each eight bytes;
+    longer ones take a digest, so no pattern of bytes makes different ranges equal.
+    """
+    if lanes is None:
+        lanes = lanes_of(buf)
+    size = end - start
+    out = mix((lanes[start] & _low_bytes(size)) + size.astype(np.uint64) * np.uint64(LANE_BASE))
+    rest = np.flatnonzero(size > 8)
+    for at in range(8, SHORT_BYTES, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        out[rest] = mix(out[rest] * np.uint64(LANE_BASE) + (lanes[start[rest] + at] & _low_bytes(size[rest] - at)))
+    far = np.flatnonzero(size > SHORT_BYTES)
+    if len(far):
+        raw = buf.tobytes()
+        spans = zip(start[far].tolist(), end[far].tolist(), strict=True)
+        out[far] = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in spans]), "<u8")
+    return out
+
+
+def _low_bytes(size: np.ndarray) -> np.ndarray:
+    """Masks of the first size bytes of a lane, all eight for more."""
+    return _MASKS[np.minimum(size, 8)]
 
 
 def window_hashes(words: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textkit import Words, blocks, lowered, mix, prefix_sums, span_hashes
+from shelfwise.llm.textkit import Words, blocks, lanes_of, lowered, mix, span_hashes
 
 BITS = 20
 SAMPLE_ROWS = 8000
@@ -41,12 +41,12 @@ def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every word and beginning of the texts, repeats included."""
     w = Words(texts, _NOT_WORD)
     low = lowered(w.raw)
-    sums = prefix_sums(low)
-    hashes, docs = [span_hashes(low, w.start, w.end, sums)], [w.doc]
+    lanes = lanes_of(low)
+    hashes, docs = [span_hashes(low, w.start, w.end, lanes)], [w.doc]
     for n in PREFIXES:
         longer = w.end - w.start > n
         start = w.start[longer]
-        hashes.append(mix(span_hashes(low, start, start + n, sums) + np.uint64(1)))
+        hashes.append(mix(span_hashes(low, start, start + n, lanes) + np.uint64(1)))
         docs.append(w.doc[longer])
     return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 

@@ -5,13 +5,13 @@ runs of MMER words, by how frequent the run is in all documents (rare first, see
 runcounts) and then by hash; so a window holds a frequent passage's run as minimiser only
 if it holds nothing rarer. Consecutive windows with one minimiser are a super-k-mer: their
 words travel as one packed string to the minimiser's bucket. Equal windows have equal
-minimisers, so a bucket sees all of them; there the windows are sorted, and those that
-also start in a document with a smaller id are found exactly. Words under such windows
-are removed.
+minimisers, so a bucket sees all of them; there the windows are sorted by two hashes, those
+that meet are compared byte by byte, and those that also start in a document with a smaller
+id are found exactly. Words under such windows are removed.
 
-Within a task, equal super-k-mers are sent once: of those in one block of texts only the
-smallest id's travels, the others are known to be covered already. So a passage or a text
-with very many copies doesn't make its bucket large.
+Within a task, equal super-k-mers are sent once: a later one travels only if its id is
+smaller than all before it, the others are known to be covered already. So a passage or a
+text with very many copies sends its bucket about a row for each task, not for each copy.
 
 Ids are integers. Null ids come after all others and are not smaller than one another; rows
 with the same id are one document for the comparison (neither removes the other's words)
@@ -27,17 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.runcounts import heaviness, run_counts, slot
-from shelfwise.llm.state import checkpointed
+from shelfwise.llm.runcounts import run_counts, slot
+from shelfwise.llm.state import bitmap, checkpointed
 from shelfwise.llm.textkit import WORD_BASE, Words, blocks, mix, powers, span_hashes, window_hashes
 
 WINDOW, MMER = 50, 5
 #: Words that travel to one bucket, about.
 BUCKET_WORDS = 500_000
 MARK_BITS = 23
+#: Super-k-mers that a task remembers, about.
+KNOWN = 500_000
 LAST = 2**63 - 1
 
 PACKED = "bucket long, ids binary, uids binary, starts binary, counts binary, body binary"
@@ -69,7 +72,7 @@ def rolled(words: np.ndarray, width: int, base: int) -> np.ndarray:
 def super_kmers(w: Words, heavy: np.ndarray, window: int = WINDOW, mmer: int = MMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, number of windows, minimiser) of each super-k-mer of some texts."""
     runs = window_hashes(w.hashes(), mmer)
-    order = heavy[slot(runs)] << np.uint64(58) | runs >> np.uint64(6)
+    order = heavy[slot(runs, len(heavy))].astype(np.uint64) << np.uint64(58) | runs >> np.uint64(6)
     least = sliding_min(order, window - mmer + 1)
     if not len(least):
         none = np.zeros(0, np.int64)
@@ -94,33 +97,68 @@ def _pack(bucket: np.ndarray, ids: np.ndarray, uids: np.ndarray, starts: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "ids", "uids", "starts", "counts", "body"])
 
 
-def packed(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+def packed(rows: DataFrame, heavy: Broadcast, buckets: int) -> DataFrame:
     """Super-k-mers of rows (id, uid, body) by bucket; without a body: known to be covered."""
-    sent = rows.sparkSession.sparkContext.broadcast(heavy)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least_id: dict[bytes, int] = {}  # smallest id of each super-k-mer of this task
+        seen: set[tuple[int, int]] = set()  # rows of one id and text have one answer
         for batch in batches:
+            fresh = []
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    fresh.append(i)
+            if len(seen) > KNOWN:
+                seen.clear()
+            batch = batch.take(pa.array(fresh, pa.int64()))
             ids, uids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in blocks(texts):
+                if len(least_id) > KNOWN:
+                    least_id.clear()
                 w = Words([b" ".join(t.split()) for t in texts[a:b]])
-                first, count, least = super_kmers(w, sent.value)
+                first, count, least = super_kmers(w, heavy.value)
                 begin, end = w.start[first], w.end[first + count + WINDOW - 2]
                 doc = w.doc[first]
                 at = first - w.first[doc]
                 bodies = [w.raw[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                best: dict[bytes, int] = {}  # smallest id of each super-k-mer here
                 own = ids[a:b][doc]
-                for body, i in zip(bodies, own.tolist(), strict=True):
-                    if best.get(body, LAST) >= i:
-                        best[body] = i
-                goes = np.fromiter((best[x] for x in bodies), np.int64, len(bodies)) == own
+                names = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
+                for name, i in zip(names, own.tolist(), strict=True):
+                    if least_id.get(name, LAST) >= i:
+                        least_id[name] = i
+                # without a body: a smaller id has the same words
+                goes = np.fromiter((least_id[x] for x in names), np.int64, len(names)) == own
                 bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
+                covered = ~goes
                 yield from _pack(bucket[goes], own[goes], uids[a:b][doc][goes], at[goes], count[goes], [x for x, g in zip(bodies, goes.tolist(), strict=True) if g])
-                yield from _pack((mix(uids[a:b][doc][~goes].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), own[~goes], uids[a:b][doc][~goes], at[~goes], count[~goes], None)
+                yield from _pack((mix(uids[a:b][doc][covered].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), own[covered], uids[a:b][doc][covered], at[covered], count[covered], None)
 
     return rows.mapInArrow(run, PACKED)
 
 
+def _same_bytes(w: Words, at: np.ndarray, run: np.ndarray, order: np.ndarray, edge: np.ndarray) -> bool:
+    """Whether every window equals the first of its group, compared by stretches of windows."""
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[edge], np.diff(np.concatenate([edge, [len(order)]])))
+    other = np.flatnonzero(head != np.arange(len(head)))
+    if not len(other):
+        return True
+    to = head[other]
+    new = np.ones(len(other), bool)
+    new[1:] = (np.diff(other) != 1) | (np.diff(to) != 1) | (run[other[1:]] != run[other[:-1]]) | (run[to[1:]] != run[to[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(other)]]) - 1
+    spans = [x.tolist() for x in (w.start[at[other[first]]], w.end[at[other[last]] + WINDOW - 1], w.start[at[to[first]]], w.end[at[to[last]] + WINDOW - 1])]
+    return all(w.raw[a:b] == w.raw[c:d] for a, b, c, d in zip(*spans, strict=True))
+
+
+def _named(w: Words, at: np.ndarray) -> np.ndarray:
+    """A number for each window, the same for equal words only."""
+    names: dict[bytes, int] = {}
+    return np.array([names.setdefault(w.raw[a:b], len(names)) for a, b in zip(w.start[at].tolist(), w.end[at + WINDOW - 1].tolist(), strict=True)], np.int64)
+
+
 def _covered(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word spans of one bucket that are covered by windows of smaller ids."""
     own: list[list[np.ndarray]] = [[], [], [], []]
@@ -147,9 +185,11 @@ def _covered(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         one, two, doc = one[at], two[at], ids[run]
         order = np.argsort(one, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]]))
-        if (np.minimum.reduceat(two[order], edge) != np.maximum.reduceat(two[order], edge)).any():
-            order = np.lexsort((two, one))  # different windows with one equal hash of two
-            edge = np.flatnonzero(np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]))
+        if (np.minimum.reduceat(two[order], edge) != np.maximum.reduceat(two[order], edge)).any() or not _same_bytes(w, at, run, order, edge):
+            # different windows with an equal hash: by their words
+            name = _named(w, at)
+            order = np.argsort(name, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0]))
         smallest = np.empty(len(doc), np.int64)
         smallest[order] = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.concatenate([edge, [len(doc)]])))
         hit = np.flatnonzero(doc > smallest)
@@ -171,9 +211,12 @@ def _covered(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def covered_spans(rows: DataFrame) -> DataFrame:
     """id, uid and the spans of words to remove, for rows (id, uid, body) that have some."""
     counts = run_counts(rows, "body", MMER, lower=False)
-    buckets = max(1, int(counts.sum()) * 3 // BUCKET_WORDS)
-    found = packed(rows, heaviness(counts), buckets).groupBy("bucket").applyInArrow(_covered, SPANS)
-    return found.groupBy("id", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    buckets = max(1, counts.total * 3 // BUCKET_WORDS)
+    heavy = rows.sparkSession.sparkContext.broadcast(counts.heavy)  # of a bounded size
+    found = packed(rows, heavy, buckets).groupBy("bucket").applyInArrow(_covered, SPANS)
+    out = checkpointed(found.groupBy("id", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    heavy.destroy()
+    return out
 
 
 def _place(ids: np.ndarray, uids: np.ndarray) -> np.ndarray:
@@ -183,16 +226,11 @@ def _place(ids: np.ndarray, uids: np.ndarray) -> np.ndarray:
 def marks_of(spans: DataFrame) -> np.ndarray:
     """2**MARK_BITS flags, set for the rows that have spans: of a fixed size, false alarms only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MARK_BITS, bool)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            bits[_place(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+            yield _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
-    total = np.zeros((1 << MARK_BITS) // 8, np.uint8)
-    for row in spans.select("id", "uid").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return np.unpackbits(bitmap(spans.select("id", "uid"), places, MARK_BITS)).astype(bool)
 
 
 KEPT = "id long, missing boolean, n_words long, n_removed long, kept binary"
@@ -223,7 +261,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     texts are shuffled to meet their spans.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text), F.col(key).isNull()).alias("uid"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"), F.col(key).isNull().alias("missing"))
-    spans = checkpointed(covered_spans(rows.select("id", "uid", "body")))
+    spans = covered_spans(rows.select("id", "uid", "body"))
     sent = docs.sparkSession.sparkContext.broadcast(marks_of(spans))
 
     def batch_of(part: pa.RecordBatch, found: list) -> pa.RecordBatch:

@@ -58,3 +58,21 @@ def test_coincident_values_and_one_odd_slot(spark):
     ]
     assert set(found(spark, docs, [(1, ITEM)])) >= {(1, 1), (4, 1)}
     assert {k[0] for k in found(spark, docs, [(2, thrice)])} >= {2, 3}
+
+
+def test_items_of_numbers_and_names(spark):
+    odd = "Add 3 to 17 and 4 to 28 and 9."  # under half its tokens literal
+    docs = [
+        (1, "Well. Add 3 to 17 and 4 to 28 and 9. Done."), (2, "Now add 5 to 11 and 6 to 70 and 2, they said."), (3, "Add 5 to 11."),
+        (4, "What is zinc? It is a metal."), (5, "They asked what is zinc and left."), (6, "7, 8, 12, 13, 14"), (7, "1, 2, 3, 4, 5"),
+    ]
+    got = found(spark, docs, [(1, odd), (2, "What is zinc?"), (3, "7 8 12 13 14")])
+    assert got == {(1, 1): (True, 1.0), (2, 1): (False, 1.0), (4, 2): (True, 1.0), (6, 3): (True, 1.0)}
+
+
+def test_phrases_that_many_items_share(spark):
+    rng = random.Random(3)
+    head = "which of the following statements about the matter at hand is true"
+    items = [(i, f"{head} {prose(rng, 14)}.") for i in range(60)]
+    docs = [(i, f"{prose(rng, 20)}. {items[i][1]} {prose(rng, 9)}") for i in range(40)] + [(100 + i, f"{head} {prose(rng, 30)}") for i in range(20)]
+    assert set(found(spark, docs, items)) == {(i, i) for i in range(40)}

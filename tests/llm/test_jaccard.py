@@ -5,6 +5,7 @@ import random
 import re
 
 from shelfwise.llm import jaccard
+from shelfwise.llm.runcounts import RunCounts
 
 
 def brute(rows):
@@ -39,7 +40,7 @@ def test_against_all_pairs(spark):
     assert run(clashing(frame(spark))) == brute(corpus())
 
 
-def test_a_dense_group_of_near_copies(spark):
+def test_a_dense_group_of_near_copies(spark, monkeypatch):
     rng = random.Random(9)
     base, rows = prose(rng, 150), []
     for i in range(120):
@@ -49,6 +50,8 @@ def test_a_dense_group_of_near_copies(spark):
     want = brute(rows)
     for rounds in (0, 2):  # the last round alone must find all links
         assert run(frame(spark, rows), star_rounds=rounds) == want
+    monkeypatch.setattr(jaccard, "LONG_LIST", 7)  # lists dealt over tasks
+    assert run(frame(spark, rows), star_rounds=0) == want
 
 
 def test_empty_tables(spark):
@@ -69,5 +72,6 @@ def test_listed_prefixes_share_enough():
 def test_levels_follow_cost():
     first = np.array([0, 100, 200])
     token = np.arange(200, dtype=np.uint64) << np.uint64(46)
-    level = jaccard.levels_of(token, np.repeat([0, 1], 100), first, np.where(np.arange(1 << 18) < 100, 0.0, 500.0))
+    counts = RunCounts(200, 250.0, np.where(np.arange(1 << 18) < 100, 0, 1).astype(np.uint8))
+    level = jaccard.levels_of(token, first, counts)
     assert set(level) <= {1, 2, 4, 8, 16} and level[0] > 1

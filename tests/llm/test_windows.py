@@ -43,6 +43,39 @@ def test_a_passage_in_a_third_of_all_rows(spark, monkeypatch, block):
     assert run(frame(spark, rows)) == brute(rows)
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that polynomials modulo powers of two take for one another."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_differ(spark):
+    rng = random.Random(8)
+    around = prose(rng, 30), prose(rng, 30)
+    rows = [(i, f"{around[0]} {w} {around[1]}", "en", "s", 0) for i, w in enumerate([*thue_morse(10), *thue_morse(12)])]
+    assert run(frame(spark, rows)) == brute(rows)
+    assert all(r[2] == 0 for r in run(frame(spark, rows)))
+
+
+def test_windows_whose_hashes_agree(spark, monkeypatch):
+    """With useless hashes the words themselves decide."""
+    monkeypatch.setattr(windows, "rolled", lambda words, width, base: np.zeros(max(0, len(words) - width + 1), np.uint64))
+    rng = random.Random(2)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 70), passage + " " + prose(rng, 20), prose(rng, 5) + " " + passage]
+    w = Words([t.encode() for t in texts])
+    first, count, _ = windows.super_kmers(w, np.zeros(1 << 18, np.uint8))
+    doc = w.doc[first]
+    batches = windows._pack(np.zeros(len(first), np.int64), doc, doc, first - w.first[doc], count, [w.raw[a:b] for a, b in zip(w.start[first], w.end[first + count + 48], strict=True)])
+    gone = {}
+    for row in [r for b in windows._covered((0,), batches) for r in b.to_pylist()]:
+        for s in row["spans"]:
+            gone.setdefault(row["id"], set()).update(range(s["start"], s["end"]))
+    assert {i: len(x) for i, x in gone.items()} == {2: 60}
+
+
 def test_empty_table(spark):
     assert run(frame(spark, [])) == []
 
@@ -51,7 +84,7 @@ def test_super_kmers_hold_every_window_once():
     rng = random.Random(5)
     texts = [prose(rng, n).encode() for n in (10, 49, 50, 51, 400)] + [b"a " * 300]
     w = Words([b" ".join(t.split()) for t in texts])
-    first, count, least = windows.super_kmers(w, np.zeros(1 << 18, np.uint64))
+    first, count, least = windows.super_kmers(w, np.zeros(1 << 18, np.uint8))
     covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
     want = np.concatenate([np.arange(s, s + max(0, n - 49)) for s, n in zip(w.first[:-1], w.counts, strict=True)])
     assert sorted(covered.tolist()) == want.tolist()
