@@ -1,13 +1,18 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is content-addressed: its blob is the SHA-256 of its text. The
-ledger says which (blob, rule, rule version) pairs have been scanned and with which
-spans; a scan runs only for pairs that it lacks, once for each blob however many paths
-hold it, and findings are joined back to all paths. DataFrame expressions only.
+ledger is a table in a shared folder with a row for each (blob, kind of rule, rule version)
+that was scanned, and the spans found. A scan first takes the blobs' names against the
+ledger, then scans the contents of blobs that lack a row, once for each blob however many
+paths hold it and only by the rules that it lacks, and appends what it scanned. Findings are
+read from the ledger and joined back to all paths. DataFrame expressions only.
 
 Positions come from the pieces between the matches: the lengths of pieces and matches in
 turn add up to each match's start, in code points.
 
+A scan that fails before its rows are committed leaves the ledger as it was, and the next one
+does the work again; rows that two scans wrote at once are the same and count once.
+
 Nulls: a null text is an empty one; a null path is a path. Repeated rows share a blob and
 are each returned. An empty table gives no rows. Only the path and text columns are read,
 so other columns may have any names.
@@ -15,12 +20,13 @@ so other columns may have any names.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.state import checkpointed
+from shelfwise.llm.state import exists, shared_folder
 
 
 @dataclass(frozen=True)
@@ -43,60 +49,95 @@ RULES = (
 )
 
 SPANS = "array<struct<start:int,end:int>>"
+LEDGER = f"blob binary, kind string, version int, spans {SPANS}"
+#: Matches that are added up at once.
+BLOCK = 256
+#: Names of unseen blobs (32 bytes each) that may be sent to all tasks.
+SENT_BLOBS = 200_000
 
 
 def find_spans(text: Column, rule: Rule) -> Column:
-    """The spans of one rule in a text: leftmost, not overlapping, the failing ones dropped."""
+    """The spans of one rule in a text: leftmost, not overlapping, the failing ones dropped.
+
+    Matches are added up in blocks of BLOCK and the blocks then put one after the other, so
+    that very many matches do not make an array grow one by one.
+    """
     pattern = F.lit(rule.pattern)
     pieces, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     tests = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("found"))
     empty = F.array().cast(SPANS)
+    shift = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["hit"])
         one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        found = F.coalesce(acc["found"], empty)
-        return F.struct(end.alias("at"), F.when(F.length(x["test"]) >= rule.least, F.concat(found, one)).otherwise(found).alias("found"))
+        return F.struct(end.alias("at"), F.when(F.length(x["test"]) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    def put(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["found"], F.array(shift(block["found"], acc["at"]))).alias("found"))
 
     rows = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("piece"), hits.alias("hit"), tests.alias("test"))
-    return F.when(text.rlike(rule.pattern), F.coalesce(F.aggregate(rows, begin, step)["found"], empty)).otherwise(empty)
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(BLOCK))
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    blocks = F.transform(F.transform(firsts, lambda i: F.slice(rows, i, BLOCK)), lambda block: F.aggregate(block, begin, step))
+    all_blocks = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found")), put)
+    return F.when(text.rlike(rule.pattern), F.flatten(all_blocks["found"])).otherwise(empty)
 
 
-def blobs_of(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The content-addressed store: blob and content of each distinct text."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    return versions.select(F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and one array of spans for each rule's kind; scans what the ledger lacks.
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], LEDGER)
 
-    ledger: blob, kind, version, spans, with one row for each pair scanned before.
-    """
-    known = None
-    if ledger is not None:
-        wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        kept = ledger.where(F.array_contains(wanted, F.struct("kind", F.col("version").cast("int").alias("version"))))
-        known = kept.groupBy("blob").agg(*[F.first(F.when(F.col("kind") == r.kind, F.col("spans")), ignorenulls=True).alias(f"old_{r.kind}") for r in rules])
-        blobs = blobs.join(known, "blob", "left")
-    found = [find_spans(F.col("content"), r) for r in rules]
-    if known is not None:
-        found = [F.when(F.col(f"old_{r.kind}").isNotNull(), F.col(f"old_{r.kind}")).otherwise(x) for r, x in zip(rules, found, strict=True)]
-    return blobs.select("blob", *[x.alias(r.kind) for r, x in zip(rules, found, strict=True)])
 
+def known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rows of a ledger that some rules in their present versions have no need to make again."""
+    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    return ledger.where(F.array_contains(wanted, F.struct("kind", "version")))
 
-def ledger_rows(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What a scan adds to the ledger, or all of it: blob, kind, version, spans."""
-    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])
-    return scanned.select("blob", F.inline(each))
+
+def scan(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What the ledger lacks: blob, kind, version and spans of unseen (blob, rule) pairs.
+
+    Names of blobs are compared before any content moves. If few blobs are unseen, their names
+    are sent to the contents, and those of seen blobs are not even shuffled.
+    """
+    contents = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    seen = known(ledger, rules)
+    if seen.isEmpty():
+        fresh = contents.groupBy("blob").agg(F.first("content").alias("content")).withColumn("have", F.array().cast("array<string>"))
+    else:
+        have = seen.groupBy("blob").agg(F.collect_set("kind").alias("have"))
+        names = contents.select("blob").distinct().join(have, "blob", "left")
+        unseen = names.where(F.coalesce(F.size("have"), F.lit(0)) < len(rules)).select("blob", F.coalesce("have", F.array().cast("array<string>")).alias("have"))
+        few = unseen.limit(SENT_BLOBS + 1).count() <= SENT_BLOBS
+        found = contents.join(F.broadcast(unseen) if few else unseen, "blob")
+        fresh = found.groupBy("blob").agg(F.first("content").alias("content"), F.first("have").alias("have"))
+    each = [
+        F.when(~F.array_contains("have", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), find_spans(F.col("content"), r).alias("spans")))
+        for r in rules
+    ]
+    return fresh.select("blob", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+
+
+def update_ledger(versions: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in a shared folder lacks, appends it, and returns the ledger."""
+    spark = versions.sparkSession
+    scan(versions, read_ledger(spark, folder), text, rules).write.mode("append").parquet(folder)
+    return read_ledger(spark, folder)
+
+
+def ledger_folder(spark: SparkSession) -> str:
+    """Where spark.shelfwise.secretLedger says; where it is unset a new, empty ledger for each scan."""
+    return spark.conf.get("spark.shelfwise.secretLedger", None) or f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
 
 
 def all_spans(rules: tuple[Rule, ...] = RULES) -> Column:
     """The spans of all kinds by start, then kind as listed: array of (start, rank, end, kind)."""
 
-
     def labelled(rank: int, rule: Rule) -> Column:
         return F.transform(F.col(rule.kind), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
@@ -107,20 +148,21 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def found_in_blobs(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and spans (start, rank, end, kind) of the distinct texts that have any."""
-    scanned = scan_blobs(blobs_of(versions, text), ledger, rules)
-    return scanned.select("blob", all_spans(rules).alias("spans")).where(F.size("spans") > 0)
+def found_in_blobs(versions: DataFrame, text: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and spans (start, rank, end, kind) of the distinct texts that have any, from the updated ledger."""
+    ledger = known(update_ledger(versions, folder or ledger_folder(versions.sparkSession), text, rules), rules).where(F.size("spans") > 0)
+    each = [F.coalesce(F.first(F.when(F.col("kind") == r.kind, F.col("spans")), ignorenulls=True), F.array().cast(SPANS)).alias(r.kind) for r in rules]
+    return ledger.groupBy("blob").agg(*each).select("blob", all_spans(rules).alias("spans"))
 
 
-def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path and spans (start, rank, end, kind) of every version, null where there are none.
 
-    Blobs with findings are written to the shared folder first, so that the join back sees
-    two plain shuffled sides and Spark can split the paths of one hot blob over tasks.
+    Findings come from a table and paths from another, two plain sides of a join, so Spark can
+    split the paths of one hot blob over tasks.
     """
-    paths = versions.select(F.col(path), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("blob"))
-    return paths.join(checkpointed(found_in_blobs(versions, text, ledger, rules)), "blob", "left").select(path, "spans")
+    paths = versions.select(F.col(path), blob_of(F.col(text)).alias("blob"))
+    return paths.join(found_in_blobs(versions, text, folder, rules), "blob", "left").select(path, "spans")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder of spark.checkpoint.dir."""
     spark: SparkSession = df.sparkSession

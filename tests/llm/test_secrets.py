@@ -31,18 +31,30 @@ def test_spans_match_a_scan_by_hand(spark):
     assert got == want
 
 
-def test_ledger_skips_what_it_holds_and_scans_new_versions(spark):
-    blobs = secrets.blobs_of(rows(spark))
-    full = secrets.scan_blobs(blobs)
-    ledger = secrets.ledger_rows(full)
-    assert ledger.count() == blobs.count() * len(secrets.RULES)
-    marked = ledger.withColumn("spans", F.array(F.struct(F.lit(7).alias("start"), F.lit(9).alias("end"))))
-    again = secrets.scan_blobs(blobs, marked)  # everything is known, so the ledger's word stands
-    assert {tuple(s) for r in again.collect() for c in ("assign", "access", "hex") for s in r[c]} == {(7, 9)}
+def test_a_second_scan_makes_only_what_is_new(spark, tmp_path, monkeypatch):
+    folder, docs = f"{tmp_path}/ledger", rows(spark)
+    first = secrets.update_ledger(docs, folder)
+    blobs = len({t or "" for t in TEXTS})
+    assert first.count() == blobs * len(secrets.RULES)
+    assert secrets.scan(docs, secrets.read_ledger(spark, folder)).count() == 0
+    # what the ledger says stands: nothing that it holds is scanned again
+    odd = first.withColumn("spans", F.array(F.struct(F.lit(7).alias("start"), F.lit(9).alias("end"))))
+    odd.write.parquet(f"{tmp_path}/odd")
+    more = docs.unionByName(frame(spark, [(90, "token: abcdefg", "en", "s", 0), (91, TEXTS[3], "en", "s", 0)]))
     newer = tuple(secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least) for r in secrets.RULES)
-    mixed = {bytes(r.blob): r for r in secrets.scan_blobs(blobs, marked, newer).collect()}
-    for r in full.collect():
-        assert mixed[bytes(r.blob)].hex == r.hex and [tuple(s) for s in mixed[bytes(r.blob)].assign] == [(7, 9)]
+    for sent in (200_000, 0):  # names of unseen blobs sent to all tasks, and shuffled
+        monkeypatch.setattr(secrets, "SENT_BLOBS", sent)
+        made = secrets.scan(more, secrets.read_ledger(spark, f"{tmp_path}/odd"), rules=newer).collect()
+        assert sorted((r.kind, r.version) for r in made) == sorted([("assign", 1), ("access", 1), *[("hex", 2)] * (blobs + 1)])
+    again = {r.doc_id: [tuple(s) for s in r.spans or []] for r in secrets.scan_paths(more, folder=f"{tmp_path}/odd", rules=newer).where("doc_id >= 7").collect()}
+    assert again[90] == [(0, 0, 14, "assign")] and again[91] == [(7, 0, 9, "assign"), (7, 1, 9, "access")]
+    assert again[7] == sorted([*[s for s in spans(TEXTS[7]) if s[3] == "hex"], (7, 0, 9, "assign"), (7, 1, 9, "access")])
+
+
+def test_very_many_matches(spark):
+    text = "é " + "0123456789abcdef01234567 secret: abcdef\n" * 3000
+    got = secrets.scan_paths(frame(spark, [(1, text, "en", "s", 0)])).first().spans
+    assert [tuple(s) for s in got] == spans(text)
 
 
 def test_redaction_leaves_the_rest(spark):
