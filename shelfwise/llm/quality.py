@@ -7,8 +7,9 @@ weights are learned together by stochastic gradient descent in numpy. As the out
 linear before the softmax, scoring adds up one number for each feature (its vector times
 the difference of the two classes' weights) instead of its whole vector.
 
-Learning takes a bounded sample (sample_rows, those with the least hash of the id) of the
-labelled rows that are not held out; every text is scored whole. Null and empty texts have
+Learning takes a bounded sample (sample_rows, those with the least hash) of the labelled ids
+that are not held out; of labels that differ the greater, of an id's texts one. Every text is
+scored whole. Null and empty texts have
 no features and score as the bias alone. A row without an id counts as held out. Repeated
 rows get equal scores. Without labels every score is 0.5. An empty table gives no rows.
 Only the id and the text are read for a score.
@@ -103,10 +104,11 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> SubwordModel:
     """Fit on at most sample_rows labelled rows that are not held out; tasks make their features, one task fits."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
-    sample = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key", "label").limit(sample_rows)
+    sample = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    # the sample is bounded by its limit, so it may be sent to every task
-    joined = slim.join(F.broadcast(sample), "key").select("label", F.xxhash64("key", "body").alias("h"), "body")
+    # the sample is bounded by its limit, so it may be sent to every task; of an id's texts one is learned from
+    found = slim.join(F.broadcast(sample), "key").select("key", F.struct("label", F.xxhash64("key", "body").alias("h"), "body").alias("row"))
+    joined = found.groupBy("key").agg(F.min_by("row", "row.h").alias("row")).select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

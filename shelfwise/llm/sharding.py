@@ -121,7 +121,7 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 20240229, key: str = "d
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     slim = docs.select(F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     numbered = number_rows(slim, key).withColumn("p", permuted(F.col("row_number"), F.col("n_rows"), seed))
-    return numbered.withColumn("shard", F.pmod("p", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("p") / shards).cast("long")).drop("p")
+    return numbered.withColumn("shard", F.pmod("p", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"p div {shards}")).drop("p")
 
 
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ sigmoid(theta_k - w.x) with theta_0 <= theta_1 <= ...; the fit is penalised by t
 absolute weights, so few features keep one. A score gives the expected grade (severity),
 the chance of each grade being passed, and the likelier side of the first threshold (toxic).
 
-The model is fitted on a bounded sample of labelled rows (sample_rows, those with the
-least hash of the id); every text is scored whole. Null and empty texts have no features
+The model is fitted on a bounded sample of labelled ids (sample_rows, those with the
+least hash; of labels that differ the greater, of an id's texts one); every text is scored whole. Null and empty texts have no features
 and get the thresholds' own chances. Rows without an id are scored and never learned
 from; repeated rows get equal scores. Without labels every weight is zero
 and no text is toxic. An empty table
@@ -127,10 +127,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on at most sample_rows labelled rows; tasks make their features, one task fits."""
-    sample = grades.select(F.col(key).alias("key"), F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64("key"), "key", "grade").limit(sample_rows)
+    sample = grades.groupBy(F.col(key).alias("key")).agg(F.max(F.col("grade").cast("int")).alias("grade")).orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    # the sample is bounded by its limit, so it may be sent to every task
-    joined = slim.join(F.broadcast(sample), "key").select("grade", F.xxhash64("key", "body").alias("h"), "body")
+    # the sample is bounded by its limit, so it may be sent to every task; of an id's texts one is learned from
+    found = slim.join(F.broadcast(sample), "key").select("key", F.struct("grade", F.xxhash64("key", "body").alias("h"), "body").alias("row"))
+    joined = found.groupBy("key").agg(F.min_by("row", "row.h").alias("row")).select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
