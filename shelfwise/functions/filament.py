@@ -6,18 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions.identity import color_of, diameter_of, grams, packaging_of
-from shelfwise.functions.text import lower_tr, lower_tr_sql
+from shelfwise.functions.text import lower_tr, lower_tr_sql, phrase
 
-#: Polymers and the words that name them; the first that fits wins.
-POLYMERS = (
-    ("peba", r"peba"), ("plabs", r"pla[\s-]*abs|plabs"), ("petg", r"pet[\s-]*g"), ("peek", r"peek"), ("pekk", r"pekk|poek"), ("pek", r"pek"), ("pps", r"pps"), ("ppa", r"ppa"),
-    ("pa", r"pa[\s-]?cf|pa[\s-]?\d+|naylon|nylon|pa"), ("pc", r"polycarbonate|polikarbonat|polikarbon|pc[\s-]?cf|pc"), ("asa", r"asa"), ("abs", r"abs"), ("tpu", r"tpu|tpe"), ("pva", r"pva"), ("hips", r"hips"), ("pet", r"pet"), ("pla", r"pla"), ("pp", r"pp"),
-)
-#: Subtypes and the words that name them; the first that fits wins.
-SUBTYPES = (
-    ("combo", r"combo|pack|seti"), ("cf", r"cf|carbon\s*fiber|karbon"), ("gf", r"gf|glass\s*fiber|cam\s*elyaf"), ("glow", r"glow|phospho\w*|twinkling|glitter|sparkle"), ("marble", r"marble|mermer"), ("wood", r"wood|ahsap"), ("tough", r"tough"),
-    ("semiflex", r"semi[\s-]*flex"), ("rainbow", r"rainbow|gradient|granient|mystic|dual\s*renk|3\s*renk"), ("silk", r"silk|ipek"), ("plus", r"plus|(?:pla|petg|abs)\s*\+"), ("rapid", r"rapid|hyper|high\s*speed|high\s*flow|hf|hs"), ("pure", r"pure"), ("matte", r"matte|mat"), ("basic", r"basic"),
-)
+#: Polymers in the order of trial, and words that name each; # is a number, a space may be any gap.
+POLYMERS = {
+    "peba": ("peba",), "plabs": ("pla abs", "plabs"), "petg": ("pet g",), "peek": ("peek",), "pekk": ("pekk", "poek"), "pek": ("pek",), "pps": ("pps",), "ppa": ("ppa",),
+    "pa": ("pa", "pa cf", "pa #", "naylon", "nylon"), "pc": ("pc", "pc cf", "polycarbonate", "polikarbonat", "polikarbon"), "asa": ("asa",), "abs": ("abs",), "tpu": ("tpu", "tpe"), "pva": ("pva",), "hips": ("hips",), "pet": ("pet",), "pla": ("pla",), "pp": ("pp",),
+}
+#: Kinds of a polymer in the order of trial, and words that name each.
+SUBTYPES = {
+    "combo": ("combo", "pack", "seti"), "cf": ("cf", "carbon fiber", "karbon"), "gf": ("gf", "glass fiber", "cam elyaf"), "glow": ("glow", "phosphorescent", "phosphor", "twinkling", "glitter", "sparkle"), "marble": ("marble", "mermer"), "wood": ("wood", "ahsap"), "tough": ("tough",), "semiflex": ("semi flex",),
+    "rainbow": ("rainbow", "gradient", "granient", "mystic", "dual renk", "# renk"), "silk": ("silk", "ipek"), "plus": ("plus", "pla +", "petg +", "abs +"), "rapid": ("rapid", "hyper", "high speed", "high flow", "hf", "hs"), "pure": ("pure",), "matte": ("matte", "mat"), "basic": ("basic",),
+}
+
+
+def _rules(names: dict[str, tuple[str, ...]]) -> tuple[tuple[str, str], ...]:
+    return tuple((name, "|".join(phrase(w, r"[\s-]*").replace("\\#", "[0-9]+") for w in words)) for name, words in names.items())
+
+
+_POLYMERS, _SUBTYPES = _rules(POLYMERS), _rules(SUBTYPES)
 
 
 def _first(text: Column, rules, otherwise: str) -> Column:
@@ -32,16 +39,16 @@ def _first_sql(text: str, rules, otherwise: str) -> str:
 
 
 def polymer_sql(x: str) -> str:
-    return _first_sql(lower_tr_sql(x), POLYMERS, "other")
+    return _first_sql(lower_tr_sql(x), _POLYMERS, "other")
 
 
 def subtype_sql(x: str) -> str:
-    return _first_sql(lower_tr_sql(x), SUBTYPES, "standard")
+    return _first_sql(lower_tr_sql(x), _SUBTYPES, "standard")
 
 
 def classify(title: Column) -> Column:
     """struct(polymer, subtype, color, weight, diameter, packaging, family); diameter is 175 unless said."""
     low = lower_tr(title)
-    polymer, subtype = _first(low, POLYMERS, "other"), _first(low, SUBTYPES, "standard")
+    polymer, subtype = _first(low, _POLYMERS, "other"), _first(low, _SUBTYPES, "standard")
     said = diameter_of(title)
     return F.struct(polymer.alias("polymer"), subtype.alias("subtype"), color_of(title).alias("color"), grams(title).alias("weight"), F.when(said == "", "175").otherwise(said).alias("diameter"), packaging_of(title).alias("packaging"), F.concat_ws("|", polymer, subtype).alias("family"))

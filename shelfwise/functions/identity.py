@@ -36,6 +36,21 @@ def color_of_sql(x: str) -> str:
     return f"coalesce(list_filter(list_transform(string_split({title_rules_sql(x)}, ' '), lambda w: {table}[w]), lambda c: c IS NOT NULL)[-1], '')"
 
 
+def _swatch_words() -> list[tuple[str, str]]:
+    return [(c, "|".join(w for w, to in COLORS.items() if to == c)) for c in dict.fromkeys(COLORS.values())]
+
+
+def swatches(title: Column) -> Column:
+    """All colours that a title names, in the order of the table."""
+    t = title_rules(title)
+    return F.filter(F.array(*[F.when(t.rlike(rf"\b({words})\b"), c) for c, words in _swatch_words()]), lambda c: c.isNotNull())
+
+
+def swatches_sql(x: str) -> list[str]:
+    t = title_rules_sql(x)
+    return [f"CASE WHEN regexp_matches({t}, '\\b({words})\\b') THEN '{c}' END" for c, words in _swatch_words()]
+
+
 def grams(text: Column) -> Column:
     """A weight in grams as text, else empty."""
     t = fold(text)

@@ -63,3 +63,11 @@ def merge_rows(offers: DataFrame, moves: DataFrame) -> DataFrame:
     """offers with the products of moves (product_id, into) made one; a url stays once, the lowest price first."""
     moved = offers.join(moves, "product_id", "left").withColumn("product_id", F.coalesce("into", "product_id")).drop("into")
     return keep_one(moved, ["product_id", "url"], [F.asc_nulls_last("price")])
+
+
+def retarget(offers: DataFrame, moves: DataFrame) -> DataFrame:
+    """offers with those of moves (product_id, ord, into) under another row, or, where into is null,
+    under a row of their own (the negative id). A row that loses all its offers is gone."""
+    marked = offers.join(moves.withColumn("_moves", F.lit(True)), ["product_id", "ord"], "left")
+    into = F.when(F.col("_moves"), F.coalesce("into", -F.col("product_id"))).otherwise(F.col("product_id"))
+    return marked.withColumn("product_id", into).drop("into", "_moves")

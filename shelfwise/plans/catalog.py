@@ -272,35 +272,20 @@ def offer_union_last(spark, sf_dir):
     return O.keep_one(both, ["url"], [F.desc("ord")]).select("url", "ord", "price")
 
 
-@query(f"WITH {OFFERS} SELECT product_id - product_id % 3 AS product_id, count(DISTINCT url) AS offers_, min(price) AS low FROM v_offers GROUP BY 1")
-def merge_products(spark, sf_dir):
-    moved = offers(spark, sf_dir).withColumn("product_id", F.col("product_id") - F.col("product_id") % 3)
-    return moved.groupBy("product_id").agg(F.countDistinct("url").alias("offers_"), F.min("price").alias("low"))
-
-
-@query(f"WITH {OFFERS}, m AS (SELECT CASE WHEN shop_id % 10 = 3 THEN product_id + 1000000 ELSE product_id END AS product_id FROM v_offers) SELECT product_id, count(*) AS n FROM m GROUP BY 1")
-def retarget_offer(spark, sf_dir):
-    target = F.when(F.col("shop_id") % 10 == 3, F.col("product_id") + 1000000).otherwise(F.col("product_id"))
-    return offers(spark, sf_dir).groupBy(target.alias("product_id")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {OFFERS_WITH_SHOP}, {PRODUCTS}, left_ AS (SELECT * FROM v_full WHERE NOT (store = 'Supplier#000000003' OR split_part(url, '/', 3) = 'shop7.example'))
- SELECT p.product_id, count(*) AS n FROM v_products p JOIN left_ l USING (product_id) GROUP BY 1""")
-def purge_shop(spark, sf_dir):
-    host = F.split("url", "/")[2]
-    left = offers_with_shop(spark, sf_dir).where(~((F.col("store") == "Supplier#000000003") | (host == "shop7.example")))
-    return products(spark, sf_dir).join(left, "product_id").groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH {OFFERS} SELECT a.url, a.owner, a.rows_ - 1 AS stripped FROM (SELECT url, arg_min(product_id, ord) AS owner, count(*) AS rows_ FROM v_offers GROUP BY 1) a WHERE rows_ > 1""")
 def strip_url(spark, sf_dir):
     a = offers(spark, sf_dir).groupBy("url").agg(F.min_by("product_id", "ord").alias("owner"), F.count(F.lit(1)).alias("rows_"))
     return a.where("rows_ > 1").select("url", "owner", (F.col("rows_") - 1).alias("stripped"))
 
 
-@query(f"WITH {OFFERS}, {PRODUCTS} SELECT url, ord, name, brand FROM v_offers JOIN v_products USING (product_id)")
+@query("""WITH e AS (SELECT event_id, 'https://shop' || (event_id % 7 + 1) || '.example/p/' || (event_id % 200 + 1) AS url FROM events), u AS (SELECT DISTINCT 'https://shop' || l_suppkey || '.example/p/' || l_partkey AS url, l_partkey AS product_id FROM lineitem)
+ SELECT event_id, product_id FROM e LEFT JOIN u USING (url)""")
 def url_join(spark, sf_dir):
-    return offers(spark, sf_dir).join(products(spark, sf_dir), "product_id").select("url", "ord", "name", "brand")
+    """The product that owns the address of each event, if any."""
+    text = lambda c: c.cast("string")
+    url = F.concat(F.lit("https://shop"), text(F.col("event_id") % 7 + 1), F.lit(".example/p/"), text(F.col("event_id") % 200 + 1))
+    owner = offers(spark, sf_dir).select("url", "product_id").distinct()
+    return table(spark, sf_dir, "events").select("event_id", url.alias("url")).join(owner, "url", "left").select("event_id", "product_id")
 
 
 _UPD = "u AS (SELECT url, arg_max(stock, struct_pack(c := checked_at, o := ord)) AS new_stock FROM v_offers WHERE ord % 3 = 0 GROUP BY 1)"
@@ -318,13 +303,6 @@ def dim_override(spark, sf_dir):
     return products(spark, sf_dir).join(table(spark, sf_dir, "region"), F.col("variant") == F.col("r_regionkey"), "left").select("product_id", F.coalesce("r_name", "kind").alias("aisle"))
 
 
-@query(f"WITH {PRODUCTS}, u AS (SELECT brand, variant FROM v_products GROUP BY 1, 2 HAVING count(*) = 1) SELECT p.product_id, brand, variant FROM v_products p JOIN u USING (brand, variant)")
-def unique_match(spark, sf_dir):
-    p = products(spark, sf_dir)
-    u = p.groupBy("brand", "variant").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return p.join(u, ["brand", "variant"]).select("product_id", "brand", "variant")
-
-
 @query(f"WITH {PRODUCTS} SELECT p.product_id, i.images FROM v_products p LEFT JOIN (SELECT brand, polymer, color, list_sort(list(DISTINCT name)) AS images FROM v_products GROUP BY 1, 2, 3) i USING (brand, polymer, color)")
 def fallback_images(spark, sf_dir):
     p = products(spark, sf_dir)
@@ -344,7 +322,7 @@ def not_on_board_anti(spark, sf_dir):
     return products(spark, sf_dir).join(offers(spark, sf_dir).where("stock = 'in_stock'"), "product_id", "left_anti").select("product_id", "name")
 
 
-@query(f"WITH {OFFERS} SELECT product_id, ord FROM v_offers WHERE url NOT IN (SELECT url FROM v_offers WHERE stock = 'out_of_stock')")
+@query(f"WITH {OFFERS} SELECT product_id, ord FROM v_offers ANTI JOIN (SELECT DISTINCT url FROM v_offers WHERE stock = 'out_of_stock') USING (url)")
 def drop_urls_anti(spark, sf_dir):
     o = offers(spark, sf_dir)
     return o.join(o.where("stock = 'out_of_stock'").select("url"), "url", "left_anti").select("product_id", "ord")
@@ -369,14 +347,6 @@ def score_left(spark, sf_dir):
     return products(spark, sf_dir).join(s, "product_id", "left").select("product_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-@query(f"""WITH {OFFERS}, live AS (SELECT * FROM v_offers WHERE ord % 2 = 0), cand AS (SELECT * FROM v_offers WHERE ord % 2 = 1),
- n AS (SELECT url, ord, product_id FROM cand WHERE url NOT IN (SELECT url FROM live)) SELECT product_id, count(*) AS appended FROM n GROUP BY 1""")
-def union_merge(spark, sf_dir):
-    o = offers(spark, sf_dir)
-    new = o.where("ord % 2 = 1").join(o.where("ord % 2 = 0").select("url"), "url", "left_anti")
-    return new.groupBy("product_id").agg(F.count(F.lit(1)).alias("appended"))
-
-
 @query(f"WITH {PRODUCTS} SELECT coalesce(nullif(CASE WHEN variant < 5 THEN '' ELSE polymer END, ''), 'other') AS g, count(*) AS n FROM v_products GROUP BY 1")
 def group_other(spark, sf_dir):
     g = F.when(F.col("variant") < 5, "").otherwise(F.col("polymer"))
@@ -406,13 +376,6 @@ def run_summary(spark, sf_dir):
     return j.groupBy("brand").pivot("stock", ["in_stock", "out_of_stock", "unknown"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query(f"WITH {PRODUCTS}, p AS (SELECT kind, variant % 2 AS truth, (list_price > 1000)::int AS said FROM v_products) SELECT kind, count(*) AS n, avg((truth = said)::int) AS accuracy, count(*) FILTER (truth = 0 AND said = 1) AS false_merge, count(*) FILTER (truth = 1 AND said = 0) AS false_split FROM p GROUP BY 1")
-def confusion(spark, sf_dir):
-    p = products(spark, sf_dir).select("kind", (F.col("variant") % 2).alias("truth"), (F.col("list_price") > 1000).cast("int").alias("said"))
-    right = (F.col("truth") == F.col("said")).cast("int")
-    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.count_if((F.col("truth") == 0) & (F.col("said") == 1)).alias("false_merge"), F.count_if((F.col("truth") == 1) & (F.col("said") == 0)).alias("false_split"))
-
-
 @query(f"""WITH {OFFERS}, o AS (SELECT url, product_id, price, checked_at, ord FROM v_offers), q AS (SELECT url, ord, checked_at FROM o WHERE ord % 5 = 0)
  SELECT q.url, q.ord, (SELECT arg_max(o.price, struct_pack(c := o.checked_at, r := o.ord)) FROM o WHERE o.url = q.url AND o.checked_at < q.checked_at) AS price_before FROM q""")
 def asof_price(spark, sf_dir):

@@ -13,13 +13,12 @@ from shelfwise.functions import text as T
 from shelfwise.operators import identity as D
 from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
-from shelfwise.plans.titles import MONEY, TITLES, _values, amounts, titles
+from shelfwise.plans.titles import _M, _T, amounts, listings, titles
 from shelfwise.sources import pages as G
 from shelfwise.sources.dictionary import DICTIONARY, dictionary
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, offers_with_shop, products, shops, table
 
 QUERIES, ORACLES, query = collection()
-_T, _M = _values(TITLES, "id, title, kind, brand"), _values(MONEY, "id, raw")
 _HIT = f"""WITH {DICTIONARY}, t AS (SELECT id AS tid, ' ' || {T.fold_sql('title')} || ' ' AS f FROM {_T}),
  h AS (SELECT tid, role, d.id, brand_id, alias FROM t JOIN dict d ON contains(f, ' ' || alias || ' ')),
  b AS (SELECT tid, arg_max(id, struct_pack(l := length(alias), a := alias)) AS brand_id FROM h WHERE role = 'brand' GROUP BY 1),
@@ -27,53 +26,63 @@ _HIT = f"""WITH {DICTIONARY}, t AS (SELECT id AS tid, ' ' || {T.fold_sql('title'
  f AS (SELECT tid, brand_id, arg_max(id, struct_pack(l := length(alias), a := alias)) AS feeder FROM h WHERE role = 'feeder' GROUP BY 1, 2)"""
 
 
-def _found(spark):
-    return D.lookup(titles(spark), "title", dictionary(spark), "id")
+def _found(spark, sf_dir):
+    return D.lookup(titles(spark, sf_dir), "title", dictionary(spark), "id")
 
 
 @query(f"{_HIT} SELECT t.tid AS id, b.brand_id, m.model, f.feeder FROM t LEFT JOIN b USING (tid) LEFT JOIN m ON m.tid = t.tid AND m.brand_id = b.brand_id LEFT JOIN f ON f.tid = t.tid AND f.brand_id = b.brand_id")
 def brand_model_feeder(spark, sf_dir):
-    return _found(spark).select("id", "brand_id", "model", "feeder")
+    return _found(spark, sf_dir).select("id", "brand_id", "model", "feeder")
 
 
 @query(None)
 def identity_id(spark, sf_dir):
-    return _found(spark).select("id", D.identity_id(F.col("title"), F.col("brand_id"), F.col("model"), F.col("feeder")).alias("identity"))
+    return _found(spark, sf_dir).select("id", D.identity_id(F.col("title"), F.col("brand_id"), F.col("model"), F.col("feeder")).alias("identity"))
+
+
+def _pool(spark, sf_dir):
+    t = listings(spark, sf_dir)
+    return t, D.blocked_pairs(t, t).where("l_id != r_id")
 
 
 @query(None)
 def blocked_pool(spark, sf_dir):
-    t = titles(spark)
+    """Pairs of different titles that may be one product."""
+    _, pairs = _pool(spark, sf_dir)
     # a brand in a title counts from one side, so a pair may come in one order alone
-    return D.blocked_pairs(t, t).where("l_id != r_id").select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id")).distinct()
+    return pairs.select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id")).distinct()
 
 
 @query(None)
 def rank_candidates(spark, sf_dir):
-    t = titles(spark)
-    return D.ranked(D.blocked_pairs(t, t).where("l_id != r_id"), t, t)
+    t, pairs = _pool(spark, sf_dir)
+    return D.ranked(pairs, t, t)
 
 
-@query(f"SELECT id, CASE WHEN id % 4 = 0 THEN 'create' WHEN score >= 0.76 AND id % 2 = 1 THEN 'merge' WHEN score >= 0.8 THEN 'merge' WHEN score <= 0.1 THEN 'create' ELSE 'hold' END AS act FROM (SELECT id, (id * 7 % 20) / 20.0 AS score FROM {_T})")
+@query(None)
 def scorer_gate(spark, sf_dir):
-    score = (F.col("id") * 7 % 20) / 20.0
-    return titles(spark).select("id", D.scorer_gate(score, F.col("id") % 4 == 0, F.col("id") % 2 == 1).alias("act"))
+    """What the title score as a learned score would decide on each listing's best candidate of its pool."""
+    t, pairs = _pool(spark, sf_dir)
+    best = D.judged(pairs, t, t).groupBy("l_id").agg(F.max_by(F.struct("r_id", "score", "action", "reason"), F.struct((F.col("reason") != "conflict").cast("int"), "score", -F.col("r_id"))).alias("b"))
+    return best.select("l_id", "b.r_id", D.scorer_gate(F.col("b.score"), F.col("b.reason") == "conflict", F.col("b.action") == "merge").alias("act"))
 
 
-@query(f"SELECT id, CASE WHEN id % 3 <> 0 AND (id * 7 % 20) / 20.0 >= 0.75 AND id % 4 <> 0 THEN 'a' || (id % 3) END AS answer FROM {_T}")
+@query(None)
 def enforce(spark, sf_dir):
-    answer = F.concat(F.lit("a"), (F.col("id") % 3).cast("string"))
-    return titles(spark).select("id", D.enforce(answer, F.array(F.lit("a1"), F.lit("a2")), (F.col("id") * 7 % 20) / 20.0, F.col("id") % 4 == 0).alias("answer"))
+    """The best candidate as an answer: it counts if it was among the offered ones, sure enough, without conflict."""
+    t, pairs = _pool(spark, sf_dir)
+    offered = D.ranked(pairs, t, t).groupBy("l_id").agg(F.collect_list(F.when(F.col("reason") != "conflict", F.col("r_id"))).alias("offered"), F.min_by(F.struct("r_id", "score", "reason"), "rank").alias("a"))
+    return offered.select("l_id", D.enforce(F.col("a.r_id"), F.col("offered"), F.col("a.score"), F.col("a.reason") == "conflict").alias("answer"))
 
 
 @query(f"SELECT id, regexp_matches(coalesce(raw, ''), '^[0-9.,]+$') AS plain FROM {_M}")
 def to_amount_plain(spark, sf_dir):
-    return amounts(spark).select("id", F.coalesce("raw", F.lit("")).rlike("^[0-9.,]+$").alias("plain"))
+    return amounts(spark, sf_dir).select("id", F.coalesce("raw", F.lit("")).rlike("^[0-9.,]+$").alias("plain"))
 
 
 @query(None)
 def to_amount(spark, sf_dir):
-    return amounts(spark).where(F.col("raw").rlike("^[0-9.,]+$")).select("id", M.to_amount(F.col("raw")).alias("amount"))
+    return amounts(spark, sf_dir).where(F.col("raw").rlike("^[0-9.,]+$")).select("id", M.to_amount(F.col("raw")).alias("amount"))
 
 
 @query(f"WITH {SHOPS} SELECT shop_id, CASE WHEN upper(currency) = 'TL' THEN 'TRY' ELSE upper(currency) END AS code FROM v_shops")
@@ -122,18 +131,18 @@ def near_words(spark, sf_dir):
 
 @query(None)
 def laser_watts(spark, sf_dir):
-    return titles(spark).select("id", I.laser_watts(F.col("title")).alias("watts"), I.technology(F.col("title")).alias("technology"), I.kit_form(F.col("title")).alias("kit"))
+    return titles(spark, sf_dir).select("id", I.laser_watts(F.col("title")).alias("watts"), I.technology(F.col("title")).alias("technology"), I.kit_form(F.col("title")).alias("kit"))
 
 
 @query(None)
 def variant_tag(spark, sf_dir):
-    return titles(spark).select("id", T.variant_tag(T.title_rules(F.col("title"))).alias("tag"))
+    return titles(spark, sf_dir).select("id", T.variant_tag(T.title_rules(F.col("title"))).alias("tag"))
 
 
-@query(f"WITH {PRODUCTS}, f AS (SELECT product_id, name, lower(name) AS hay FROM v_products WHERE kind = 'filament') SELECT product_id FROM f WHERE contains(hay, 'standard') AND contains(hay, 'tin') AND NOT contains(hay, 'plabs')")
+@query(f"WITH {PRODUCTS}, f AS (SELECT product_id, name, lower(name) AS hay FROM v_products WHERE kind = 'filament') SELECT product_id FROM f WHERE contains(hay, 'standard') AND contains(hay, 'ring') AND NOT contains(hay, 'plabs')")
 def plabs_filter(spark, sf_dir):
     """All tokens must be in the row; rows of the exclusive line are hidden unless asked for."""
-    hay, wanted = F.lower("name"), ["standard", "tin"]
+    hay, wanted = F.lower("name"), ["standard", "ring"]
     p = products(spark, sf_dir).where("kind = 'filament'")
     for t in wanted:
         p = p.where(F.contains(hay, F.lit(t)))
@@ -141,9 +150,9 @@ def plabs_filter(spark, sf_dir):
     return p.where(exclusive if "plabs" in wanted else ~exclusive).select("product_id")
 
 
-@query(f"WITH {PRODUCTS} SELECT product_id, name FROM v_products WHERE contains(lower(name), 'ste') ORDER BY name, product_id LIMIT 6")
+@query(f"WITH {PRODUCTS} SELECT product_id, name FROM v_products WHERE contains(lower(name), 'gea') ORDER BY name, product_id LIMIT 6")
 def suggest_top6(spark, sf_dir):
-    return products(spark, sf_dir).where(F.contains(F.lower("name"), F.lit("ste"))).orderBy("name", "product_id").limit(6).select("product_id", "name")
+    return products(spark, sf_dir).where(F.contains(F.lower("name"), F.lit("gea"))).orderBy("name", "product_id").limit(6).select("product_id", "name")
 
 
 @query(f"""WITH {OFFERS}, {PRODUCTS}, s AS (SELECT p.product_id, name, contains(lower(color), 'b')::int * 4 + contains(polymer, 'standard')::int * 2 + (variant < 10)::int AS score, (SELECT min(price) FROM v_offers o WHERE o.product_id = p.product_id) AS low FROM v_products p WHERE kind = 'filament')
@@ -169,13 +178,7 @@ def baseline_lookup(spark, sf_dir):
     return r.where("rn = 1").select("product_id", "base", "conflicts", F.coalesce(F.col("next") == F.col("conflicts"), F.lit(False)).alias("contested"))
 
 
-@query(f"WITH {PRODUCTS}, k AS (SELECT color, min(product_id) AS id, count(DISTINCT brand) AS brands, count(*) AS n FROM v_products GROUP BY 1) SELECT color, CASE WHEN brands > 1 THEN 'vetoed' ELSE 'merged' END AS act, n FROM k")
-def title_collapse(spark, sf_dir):
-    k = products(spark, sf_dir).groupBy("color").agg(F.countDistinct("brand").alias("brands"), F.count(F.lit(1)).alias("n"))
-    return k.select("color", F.when(F.col("brands") > 1, "vetoed").otherwise("merged").alias("act"), "n")
-
-
-@query(f"WITH {PRODUCTS}, {OFFERS} SELECT product_id, name FROM v_products p WHERE product_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM v_offers o WHERE o.product_id = p.product_id AND stock = 'in_stock') AND brand || color NOT IN (SELECT brand || color FROM v_products WHERE product_id % 3 = 1)")
+@query(f"WITH {PRODUCTS}, {OFFERS} SELECT product_id, name FROM v_products p WHERE product_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM v_offers o WHERE o.product_id = p.product_id AND stock = 'in_stock') AND NOT EXISTS (SELECT 1 FROM v_products b WHERE b.product_id % 3 = 1 AND b.brand = p.brand AND b.color = p.color)")
 def recommendations(spark, sf_dir):
     p = products(spark, sf_dir)
     board = p.where("product_id % 3 = 1").select("brand", "color")
@@ -220,9 +223,9 @@ def url_only_listings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", slug.alias("slug"), F.replace(slug, F.lit("-"), F.lit(" ")).alias("name"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') = html AS clean FROM pages")
+@query(f"SELECT page_id, md5({T.decode_entities_sql('html')}) AS digest FROM pages")
 def entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (T.decode_entities(F.col("html")) == F.col("html")).alias("clean"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_entities(F.col("html"))).alias("digest"))
 
 
 @query(f"WITH {OFFERS} SELECT product_id, ord, (epoch_us(TIMESTAMP '2024-01-01 00:00:00') - epoch_us(checked_at)) / 3600000000.0 AS hours FROM v_offers")
@@ -244,10 +247,10 @@ def name_variants(spark, sf_dir):
     return products(spark, sf_dir).select("product_id", F.explode(F.array(n, F.lower(n), F.upper(n), F.replace(n, F.lit(" "), F.lit("-")))).alias("variant"))
 
 
-@query(f"WITH {PRODUCTS} SELECT product_id, list_sort(list_filter(['tin', 'nickel', 'brass', 'steel', 'copper'], lambda s: contains(lower(name), s))) AS swatches FROM v_products")
+@query(f"SELECT id, array_to_string(list_filter([{', '.join(I.swatches_sql('title'))}], lambda c: c IS NOT NULL), ' ') AS swatches FROM {_T}")
 def swatch_hits(spark, sf_dir):
-    every = F.array(*[F.lit(x) for x in ("tin", "nickel", "brass", "steel", "copper")])
-    return products(spark, sf_dir).select("product_id", F.array_sort(F.filter(every, lambda s: F.contains(F.lower("name"), s))).alias("swatches"))
+    """Every colour that a title names."""
+    return titles(spark, sf_dir).select("id", F.array_join(I.swatches(F.col("title")), " ").alias("swatches"))
 
 
 @query(f"WITH {OFFERS_WITH_SHOP} SELECT product_id, count(DISTINCT shop_id) AS n FROM v_full GROUP BY 1")
@@ -284,4 +287,4 @@ def vision_top3(spark, sf_dir):
 
 @query(f"SELECT id, {P.polymer_sql('title')} AS polymer, {P.subtype_sql('title')} AS subtype FROM {_T}")
 def filament_class(spark, sf_dir):
-    return titles(spark).select("id", P.classify(F.col("title")).alias("c")).select("id", "c.polymer", "c.subtype")
+    return titles(spark, sf_dir).select("id", P.classify(F.col("title")).alias("c")).select("id", "c.polymer", "c.subtype")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.plans import catalog, decisions, serving, titles
+from shelfwise.plans import baseline, board, catalog, decisions, markup, serving, titles
 
-MODULES: list = [catalog, titles, serving, decisions]
+MODULES: list = [catalog, titles, serving, decisions, board, markup, baseline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

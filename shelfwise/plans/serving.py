@@ -9,6 +9,7 @@ from shelfwise.operators import clusters
 from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
 from shelfwise.sources import pages as G
+from shelfwise.streaming.events import latest
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, products, shops, table
 
 QUERIES, ORACLES, query = collection()
@@ -24,10 +25,10 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("job_id"), F.col("event_type").alias("type"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"), url.alias("url"))
 
 
-@query(f"WITH {EVENTS} SELECT job_id, url, arg_max(price, ord) AS price, arg_max(type, ord) AS type, count(*) AS n FROM v_events GROUP BY 1, 2")
+@query(f"WITH {EVENTS} SELECT job_id, url, arg_max(price, ord) FILTER (price IS NOT NULL) AS price, arg_max(type, ord) FILTER (type IS NOT NULL) AS type, count(*) AS n FROM v_events GROUP BY 1, 2")
 def cards_fold(spark, sf_dir):
     """The latest non-null fields of each card: a fold that needs no order of arrival."""
-    return job_events(spark, sf_dir).groupBy("job_id", "url").agg(F.max_by("price", "ord").alias("price"), F.max_by("type", "ord").alias("type"), F.count(F.lit(1)).alias("n"))
+    return job_events(spark, sf_dir).groupBy("job_id", "url").agg(latest("price", "ord").alias("price"), latest("type", "ord").alias("type"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EVENTS}, l AS (SELECT job_id, max(seen) AS last, count(*) AS n, arg_max(type, ord) AS type FROM v_events GROUP BY 1), c AS (SELECT max(seen) AS now FROM v_events)
@@ -118,12 +119,6 @@ def session_events(spark, sf_dir):
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query(f"WITH {OFFERS}, {PRODUCTS} SELECT CASE WHEN color < 'm' THEN 'fdm' ELSE 'resin' END AS aisle, count(*) AS n FROM v_products SEMI JOIN (SELECT product_id FROM v_offers WHERE price > 0 AND stock <> 'out_of_stock') USING (product_id) GROUP BY 1")
-def aisle_facet(spark, sf_dir):
-    live = offers(spark, sf_dir).where(O.is_live(F.col("price"), F.col("stock")))
-    return products(spark, sf_dir).join(live, "product_id", "left_semi").groupBy(F.when(F.col("color") < "m", "fdm").otherwise("resin").alias("aisle")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {OFFERS} SELECT product_id, count(*) AS others FROM v_offers WHERE split_part(url, '/', 3) <> 'shop3.example' GROUP BY 1")
 def other_shops(spark, sf_dir):
     return offers(spark, sf_dir).where(F.split("url", "/")[2] != "shop3.example").groupBy("product_id").agg(F.count(F.lit(1)).alias("others"))
@@ -134,9 +129,12 @@ def pinned_topn(spark, sf_dir):
     return products(spark, sf_dir).where("kind = 'printer'").orderBy(F.col("product_id") != 42, "product_id").limit(25).select("product_id", "name")
 
 
-@query(f"WITH {PRODUCTS} SELECT product_id, replace(replace(name, 'STEEL', 'ÇELİK'), 'BRASS', 'PİRİNÇ') AS name FROM v_products")
+@query(f"WITH {PRODUCTS} SELECT product_id, replace(replace(replace(replace(replace(name, 'small gear', 'küçük dişli'), 'gear', 'dişli'), 'widget', 'parça'), 'ring', 'halka'), 'small', 'küçük') AS name FROM v_products")
 def translate_names(spark, sf_dir):
-    name = F.replace(F.replace("name", F.lit("STEEL"), F.lit("ÇELİK")), F.lit("BRASS"), F.lit("PİRİNÇ"))
+    """Phrases replaced in order, the longest first."""
+    name = F.col("name")
+    for phrase, to in (("small gear", "küçük dişli"), ("gear", "dişli"), ("widget", "parça"), ("ring", "halka"), ("small", "küçük")):
+        name = F.replace(name, F.lit(phrase), F.lit(to))
     return products(spark, sf_dir).select("product_id", name.alias("name"))
 
 
@@ -153,26 +151,11 @@ def patch_products(spark, sf_dir):
     return products(spark, sf_dir).join(patch, "product_id", "left").select("product_id", F.coalesce("new_name", "name").alias("name"))
 
 
-@query(f"""WITH {PRODUCTS}, b AS (SELECT brand, color, min(product_id) AS id FROM v_products WHERE product_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT brand, color, min(product_id) AS new_id FROM v_products WHERE product_id % 2 = 1 GROUP BY 1, 2)
- SELECT brand, color, coalesce(id, new_id) AS id, id IS NULL AS added FROM b FULL JOIN n USING (brand, color)""")
-def board_upsert(spark, sf_dir):
-    p = products(spark, sf_dir)
-    side = lambda odd, name: p.where(F.col("product_id") % 2 == odd).groupBy("brand", "color").agg(F.min("product_id").alias(name))
-    j = side(0, "id").join(side(1, "new_id"), ["brand", "color"], "full")
-    return j.select("brand", "color", F.coalesce("id", "new_id").alias("id"), F.col("id").isNull().alias("added"))
-
-
 @query(f"WITH {PRODUCTS} SELECT lower(color) AS k, min(color) AS name, count(*) AS n FROM v_products GROUP BY 1")
 def category_names(spark, sf_dir):
     return products(spark, sf_dir).groupBy(F.lower("color").alias("k")).agg(F.min("color").alias("name"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {OFFERS}, {SHOPS} SELECT shop_id, store FROM v_shops WHERE vat_policy = 'included' AND shop_id NOT IN (SELECT shop_id FROM v_offers WHERE product_id = 7)")
-def remaining_shops(spark, sf_dir):
-    used = offers(spark, sf_dir).where("product_id = 7").select("shop_id")
-    return shops(spark, sf_dir).where("vat_policy = 'included'").join(used, "shop_id", "left_anti").select("shop_id", "store")
-
-
 @query("SELECT page_id, CASE WHEN url NOT LIKE 'https://%' THEN 'scheme' WHEN split_part(url, '/', 3) = '' THEN 'host' WHEN length(split_part(url, '/', 4)) = 0 THEN 'path' ELSE 'ok' END AS reason FROM pages")
 def run_row_reason(spark, sf_dir):
     part = lambda i: F.coalesce(F.get(F.split("url", "/"), F.lit(i)), F.lit(""))
@@ -180,15 +163,10 @@ def run_row_reason(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", reason.alias("reason"))
 
 
-@query(f"WITH {OFFERS} SELECT stock = 'in_stock' AS now, count(*) AS n FROM v_offers GROUP BY 1")
-def publish_split(spark, sf_dir):
-    return offers(spark, sf_dir).groupBy((F.col("stock") == "in_stock").alias("now")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {PRODUCTS} SELECT product_id, name FROM v_products WHERE contains(lower(name || ' ' || brand || ' ' || color), 'copper') ORDER BY product_id LIMIT 12")
+@query(f"WITH {PRODUCTS} SELECT product_id, name FROM v_products WHERE contains(lower(name || ' ' || brand || ' ' || color), 'gear') ORDER BY product_id LIMIT 12")
 def pin_search(spark, sf_dir):
     hay = F.lower(F.concat_ws(" ", "name", "brand", "color"))
-    return products(spark, sf_dir).where(F.contains(hay, F.lit("copper"))).orderBy("product_id").limit(12).select("product_id", "name")
+    return products(spark, sf_dir).where(F.contains(hay, F.lit("gear"))).orderBy("product_id").limit(12).select("product_id", "name")
 
 
 @query(f"WITH {OFFERS}, s AS (SELECT * FROM v_offers ORDER BY product_id, ord LIMIT 100) SELECT product_id, ord FROM s WHERE stock IN ('in_stock', 'out_of_stock')")
@@ -204,7 +182,7 @@ def candidate_mark(spark, sf_dir):
     return o.where("stock = 'unknown'").join(known, "url", "left").select("product_id", "ord", F.col("known").isNull().alias("fresh"))
 
 
-@query(f"WITH {PRODUCTS} SELECT DISTINCT color FROM v_products WHERE brand = 'Brand#11' AND color NOT IN (SELECT color FROM v_products WHERE brand = 'Brand#12')")
+@query(f"WITH {PRODUCTS} SELECT DISTINCT color FROM v_products WHERE brand = 'Brand#11' AND color NOT IN (SELECT color FROM v_products WHERE brand = 'Brand#12' AND color IS NOT NULL)")
 def category_anti(spark, sf_dir):
     p = products(spark, sf_dir)
     return p.where("brand = 'Brand#11'").join(p.where("brand = 'Brand#12'"), "color", "left_anti").select("color").distinct()
@@ -227,12 +205,6 @@ def unique_colors(spark, sf_dir):
     return products(spark, sf_dir).groupBy("brand").agg(F.slice(F.sort_array(F.collect_set("color")), 1, 5).alias("colors"))
 
 
-@query(f"WITH {OFFERS}, {PRODUCTS} SELECT (SELECT count(*) FROM v_products) - (SELECT count(DISTINCT product_id) FROM v_offers) AS unpublished, (SELECT count(*) FROM v_offers WHERE price > 0) AS priced")
-def consistency_diff(spark, sf_dir):
-    o = offers(spark, sf_dir).agg(F.countDistinct("product_id").alias("p"), F.count_if(F.col("price") > 0).alias("priced"))
-    return products(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).join(o).select((F.col("n") - F.col("p")).alias("unpublished"), "priced")
-
-
 @query(f"WITH {OFFERS}, r AS (SELECT product_id, ord, row_number() OVER (PARTITION BY product_id ORDER BY price, ord) AS rn, count(*) OVER (PARTITION BY product_id) AS n FROM v_offers) SELECT product_id, ord, rn = 1 AS best, 1.0 / n AS share FROM r")
 def best_tag(spark, sf_dir):
     w = Window.partitionBy("product_id")
@@ -246,9 +218,9 @@ def group_rank(spark, sf_dir):
     return g.orderBy(F.desc("rel"), "low", "brand", "polymer").limit(20)
 
 
-@query(f"WITH {PRODUCTS} SELECT CASE WHEN kind = 'filament' AND color = 'steel' THEN 'printer' ELSE kind END AS shelf, count(*) AS n FROM v_products GROUP BY 1")
+@query(f"WITH {PRODUCTS} SELECT CASE WHEN kind = 'filament' AND color = 'old' THEN 'printer' ELSE kind END AS shelf, count(*) AS n FROM v_products GROUP BY 1")
 def shelf_move(spark, sf_dir):
-    shelf = F.when((F.col("kind") == "filament") & (F.col("color") == "steel"), "printer").otherwise(F.col("kind"))
+    shelf = F.when((F.col("kind") == "filament") & (F.col("color") == "old"), "printer").otherwise(F.col("kind"))
     return products(spark, sf_dir).groupBy(shelf.alias("shelf")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -267,24 +239,15 @@ def token_set_diff(spark, sf_dir):
     return t.join(n, "product_id").select("product_id", (gone("w", "v") + gone("v", "w")).cast("long").alias("d"))
 
 
-@query(f"""WITH {OFFERS_WITH_SHOP}, {PRODUCTS}, s AS (SELECT * FROM v_products), hit AS (SELECT product_id, arg_min(url, ord) AS url FROM v_offers WHERE stock = 'in_stock' GROUP BY 1)
- SELECT s.product_id, CASE WHEN hit.url IS NOT NULL THEN 'replace' WHEN s.variant > 40 THEN 'attach' ELSE 'new' END AS act FROM s LEFT JOIN hit USING (product_id)""")
-def publish_selected(spark, sf_dir):
-    """Each listing's fate by the first test that holds: joins first, then one case."""
-    hit = offers(spark, sf_dir).where("stock = 'in_stock'").groupBy("product_id").agg(F.min_by("url", "ord").alias("url"))
-    act = F.when(F.col("url").isNotNull(), "replace").when(F.col("variant") > 40, "attach").otherwise("new")
-    return products(spark, sf_dir).join(hit, "product_id", "left").select("product_id", act.alias("act"))
-
-
 @query(f"WITH {PRODUCTS}, p AS (SELECT product_id, name, product_id % 2 AS half FROM v_products) SELECT product_id, name FROM p WHERE half = 0 UNION ALL SELECT product_id, name FROM p WHERE half = 1")
 def source_union(spark, sf_dir):
     p = products(spark, sf_dir).select("product_id", "name")
     return p.where("product_id % 2 = 0").unionByName(p.where("product_id % 2 = 1"), allowMissingColumns=True)
 
 
-@query(f"""WITH {PRODUCTS}, o(polymer, pos) AS (VALUES ('standard anodized', 1), ('economy anodized', 2), ('promo burnished', 3)) SELECT p.polymer, coalesce(min(pos), 1000) AS pos, count(*) AS n FROM v_products p LEFT JOIN o ON o.polymer = p.polymer GROUP BY 1""")
+@query(f"""WITH {PRODUCTS}, o(polymer, pos) AS (VALUES ('standard', 1), ('economy', 2), ('promo', 3)) SELECT p.polymer, coalesce(min(pos), 1000) AS pos, count(*) AS n FROM v_products p LEFT JOIN o ON o.polymer = p.polymer GROUP BY 1""")
 def facet_order(spark, sf_dir):
-    order = spark.createDataFrame([("standard anodized", 1), ("economy anodized", 2), ("promo burnished", 3)], "polymer string, pos int")
+    order = spark.createDataFrame([("standard", 1), ("economy", 2), ("promo", 3)], "polymer string, pos int")
     f = products(spark, sf_dir).groupBy("polymer").agg(F.count(F.lit(1)).alias("n"))
     return f.join(order, "polymer", "left").select("polymer", F.coalesce("pos", F.lit(1000)).alias("pos"), "n")
 

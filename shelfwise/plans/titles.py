@@ -1,7 +1,8 @@
 """Queries on titles, money, stock text, likeness and search.
 
-Texts come from the catalogue views and the raw tables where they exist, and from small
-fixture tables for Turkish titles and localised money, which no table holds.
+Texts come from the catalogue views and the raw tables where they exist. Turkish titles, shop
+phrases and localised money, which no table holds, are made of every row of part: its key and
+size pick the words, its price the amount.
 """
 
 from __future__ import annotations
@@ -27,45 +28,65 @@ TITLES = (
     (15, "Flash Forge Adventurer 5M", "printer", "FlashForge"), (16, "FlashForge Adventurer 5MPro", "printer", "FlashForge"), (17, "Ender 3 kit", "printer", "Creality"), (18, "Ender 3 montajlı", "printer", "Creality"), (19, "K2 plsu combo", "printer", "Creality"),
 )
 PHRASES = ((1, "Stoktan Teslim"), (2, "TÜKENDİ"), (3, "Ön Sipariş ver"), (4, "Sepete Ekle"), (5, "Stokta yok, gelince haber ver"), (6, "stokta"), (7, "KDV dahil fiyat"), (8, "1.000 TL + KDV"), (9, "dropshipping ürün"), (10, ""), (11, None), (12, "In Stock"), (13, "KDV hariç"))
-MONEY = ((1, "1.250,00 TL"), (2, "1,250.00"), (3, "1.250"), (4, "12,50"), (5, "2.146,24 TL"), (6, "$1,234.56"), (7, "%21 46.236,14 TL"), (8, "58.526,76 TL 46.236,14 TL"), (9, "K2 Combo 100"), (10, "0 TL"), (11, "1.234.567"), (12, ""), (13, None), (14, "12.5"), (15, "1,234,567"))
+EXTRAS = ("", "Siyah", "Kırmızı 1 kg", "1,75 mm", "makaralı", "kit", "10W", "AMS ile", "2024", "yedek parça")
+#: How a price is written (# is the number as 1.234,50; @ as 1,234.50; ~ as 1234,50), and whether that is an amount and nothing else.
+SHAPES = (("# TL", True), ("@", True), ("$@", True), ("%21 # TL", False), ("# TL # TL", False), ("K2 Combo ~", False), ("", False), (None, False), ("₺#", True), ("~", True), ("x~", False))
 
 
 def _lit(v) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
-def _values(rows, columns: str) -> str:
-    return f"(VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) AS v({columns})"
+def _pick_sql(values, at: str) -> str:
+    return f"([{', '.join(map(_lit, values))}])[{at} % {len(values)} + 1]"
 
 
-_T, _P, _M = _values(TITLES, "id, title, kind, brand"), _values(PHRASES, "id, phrase"), _values(MONEY, "id, raw")
+def _pick(values, at: str):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(at) % len(values) + 1).cast("int"))
 
 
-def titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id long, title string, kind string, brand string")
+_DOTTED = "translate(format('{:,.2f}', p_retailprice), ',.', '.,')"
+_T = f"(SELECT p_partkey AS id, {_pick_sql([t[1] for t in TITLES], 'p_partkey')} || ' ' || {_pick_sql(EXTRAS, 'p_size')} AS title, {_pick_sql([t[2] for t in TITLES], 'p_partkey')} AS kind, {_pick_sql([t[3] for t in TITLES], 'p_partkey')} AS brand FROM part) AS v"
+_P = f"(SELECT p_partkey AS id, {_pick_sql([t[1] for t in PHRASES], 'p_partkey')} || ' ' || p_name AS phrase FROM part) AS v"
+_M = f"(SELECT p_partkey AS id, replace(replace(replace({_pick_sql([x[0] for x in SHAPES], 'p_partkey')}, '#', {_DOTTED}), '@', format('{{:,.2f}}', p_retailprice)), '~', replace(format('{{:.2f}}', p_retailprice), '.', ',')) AS raw, {_pick_sql([x[0] for x in SHAPES], 'p_partkey')} AS shape, {_pick_sql([x[1] for x in SHAPES], 'p_partkey')} AS whole, p_retailprice AS price FROM part) AS v"
 
 
-def phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "id long, phrase string")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(_pick([t[1] for t in TITLES], "p_partkey"), F.lit(" "), _pick(EXTRAS, "p_size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title.alias("title"), _pick([t[2] for t in TITLES], "p_partkey").alias("kind"), _pick([t[3] for t in TITLES], "p_partkey").alias("brand"))
 
 
-def amounts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MONEY, "id long, raw string")
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different title once, by its least id: copies are matched as one."""
+    return titles(spark, sf_dir).groupBy("title", "kind", "brand").agg(F.min("id").alias("id"))
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(_pick([t[1] for t in PHRASES], "p_partkey"), F.lit(" "), "p_name").alias("phrase"))
+
+
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.format_number("p_retailprice", 2)
+    half = F.translate(F.replace(plain, F.lit(","), F.lit("")), ".", ",")
+    raw = _pick([x[0] for x in SHAPES], "p_partkey")
+    for mark, number in (("#", F.translate(plain, ",.", ".,")), ("@", plain), ("~", half)):
+        raw = F.replace(raw, F.lit(mark), number)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), raw.alias("raw"))
 
 
 @query(f"SELECT id, {T.fold_sql('title')} AS folded FROM {_T}")
 def fold_tr(spark, sf_dir):
-    return titles(spark).select("id", T.fold(F.col("title")).alias("folded"))
+    return titles(spark, sf_dir).select("id", T.fold(F.col("title")).alias("folded"))
 
 
 @query(f"SELECT id, {T.title_rules_sql('title')} AS ruled FROM {_T}")
 def title_rules(spark, sf_dir):
-    return titles(spark).select("id", T.title_rules(F.col("title")).alias("ruled"))
+    return titles(spark, sf_dir).select("id", T.title_rules(F.col("title")).alias("ruled"))
 
 
 @query(f"SELECT id, {T.tokens_sql('title')} AS tokens FROM {_T}")
 def tokens(spark, sf_dir):
-    return titles(spark).select("id", F.array_join(T.tokens(F.col("title")), " ").alias("tokens"))
+    return titles(spark, sf_dir).select("id", F.array_join(T.tokens(F.col("title")), " ").alias("tokens"))
 
 
 @query(f"WITH {PRODUCTS} SELECT product_id, {T.fold_sql('name')} AS folded, {T.slug_sql('name')} AS slug FROM v_products")
@@ -106,24 +127,24 @@ def sha_id(spark, sf_dir):
 
 @query(f"SELECT id, {K.stock_from_text_sql('phrase')} AS status, {K.vat_from_text_sql('phrase')} AS vat FROM {_P}")
 def stock_text(spark, sf_dir):
-    return phrases(spark).select("id", K.stock_from_text(F.col("phrase")).alias("status"), K.vat_from_text(F.col("phrase")).alias("vat"))
+    return phrases(spark, sf_dir).select("id", K.stock_from_text(F.col("phrase")).alias("status"), K.vat_from_text(F.col("phrase")).alias("vat"))
 
 
 @query(f"SELECT id, CASE WHEN {K.vat_from_text_sql('phrase')} = 'unknown' THEN id % 2 = 0 ELSE {K.vat_from_text_sql('phrase')} = 'excluded' END AS adds FROM {_P}")
 def vat_decision(spark, sf_dir):
     policy = F.when(F.col("id") % 2 == 0, "excluded").otherwise("included")
-    return phrases(spark).select("id", K.should_add_vat(F.col("phrase"), policy).alias("adds"))
+    return phrases(spark, sf_dir).select("id", K.should_add_vat(F.col("phrase"), policy).alias("adds"))
 
 
-@query(f"""SELECT id, CASE id WHEN 1 THEN 1250.0 WHEN 2 THEN 1250.0 WHEN 3 THEN 1250.0 WHEN 4 THEN 12.5 WHEN 5 THEN 2146.24 WHEN 6 THEN 1234.56 WHEN 11 THEN 1234567.0 WHEN 14 THEN 12.5 WHEN 15 THEN 1234567.0 END::double AS amount FROM {_M}""")
+@query(f"SELECT id, CASE WHEN whole THEN price END AS amount FROM {_M}")
 def parse_money(spark, sf_dir):
-    return amounts(spark).select("id", M.parse_money(F.col("raw")).alias("amount"))
+    return amounts(spark, sf_dir).select("id", M.parse_money(F.col("raw")).alias("amount"))
 
 
 @query(None)
 def pick_money(spark, sf_dir):
     """The price named in each document, if any."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.pick_money(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline_outer(F.array(M.pick_money(F.col("text")))))
 
 
 @query(None)
@@ -141,11 +162,11 @@ def format_price(spark, sf_dir):
     return products(spark, sf_dir).select("product_id", M.format_price(F.col("list_price")).alias("price"))
 
 
-def _pairs(spark) -> DataFrame:
-    """All pairs of the fixture's few titles, with the features of both."""
-    t = titles(spark).select("id", I.features(F.col("title"), F.col("kind"), F.col("brand")).alias("f"))
-    a, b = (t.select(F.col("id").alias(f"{p}_id"), F.col("f").alias(p)) for p in "ab")
-    return a.join(b, F.col("a_id") < F.col("b_id"))
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Every title beside the next one, with the features of both."""
+    t = titles(spark, sf_dir).select("id", I.features(F.col("title"), F.col("kind"), F.col("brand")).alias("f"))
+    a, b = t.select(F.col("id").alias("a_id"), F.col("f").alias("a")), t.select((F.col("id") - 1).alias("a_id"), F.col("id").alias("b_id"), F.col("f").alias("b"))
+    return a.join(b, "a_id")
 
 
 @query(f"WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w) AS d FROM w x JOIN w y ON x.w < y.w")
@@ -164,7 +185,7 @@ def similar_words(spark, sf_dir):
 
 @query(None)
 def title_score(spark, sf_dir):
-    return _pairs(spark).select("a_id", "b_id", L.words_score(F.col("a.words"), F.col("b.words")).alias("score"), L.words_subset(F.col("a.words"), F.col("b.words")).alias("subset"))
+    return _pairs(spark, sf_dir).select("a_id", "b_id", L.words_score(F.col("a.words"), F.col("b.words")).alias("score"), L.words_subset(F.col("a.words"), F.col("b.words")).alias("subset"))
 
 
 @query("SELECT a.p_partkey AS a, bit_count(xor(('0x' || substr(md5(a.p_name), 1, 15))::bigint, ('0x' || substr(md5(b.p_name), 1, 15))::bigint)) AS d FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -181,12 +202,12 @@ def embedding_pairs(spark, sf_dir):
 
 @query(f"SELECT id, {I.color_of_sql('title')} AS color, {I.grams_sql('title')} AS grams FROM {_T}")
 def weight_color(spark, sf_dir):
-    return titles(spark).select("id", I.color_of(F.col("title")).alias("color"), I.grams(F.col("title")).alias("grams"))
+    return titles(spark, sf_dir).select("id", I.color_of(F.col("title")).alias("color"), I.grams(F.col("title")).alias("grams"))
 
 
 @query(f"SELECT id, {I.is_lookalike_sql('title')} AS lookalike, {I.product_type_sql('title')} AS type FROM {_T}")
 def lookalike(spark, sf_dir):
-    return titles(spark).select("id", I.is_lookalike(F.col("title")).alias("lookalike"), I.product_type(F.col("title")).alias("type"))
+    return titles(spark, sf_dir).select("id", I.is_lookalike(F.col("title")).alias("lookalike"), I.product_type(F.col("title")).alias("type"))
 
 
 @query(f"WITH {PRODUCTS} SELECT product_id, {I.product_type_sql('name')} AS type FROM v_products")
@@ -196,24 +217,24 @@ def product_type(spark, sf_dir):
 
 @query(None)
 def axes(spark, sf_dir):
-    return titles(spark).select("id", I.axes(F.col("title"), F.col("kind")).alias("x")).select("id", "x.*")
+    return titles(spark, sf_dir).select("id", I.axes(F.col("title"), F.col("kind")).alias("x")).select("id", "x.*")
 
 
 @query(None)
 def conflicts(spark, sf_dir):
     a, b = F.col("a.axes"), F.col("b.axes")
-    return _pairs(spark).select("a_id", "b_id", F.array_join(I.conflicts(a, b), ",").alias("conflicts"), F.array_join(I.gaps(a, b), ",").alias("gaps"))
+    return _pairs(spark, sf_dir).select("a_id", "b_id", F.array_join(I.conflicts(a, b), ",").alias("conflicts"), F.array_join(I.gaps(a, b), ",").alias("gaps"))
 
 
 @query(None)
 def decide_pair(spark, sf_dir):
-    return I.decided(_pairs(spark), "a", "b")
+    return I.decided(_pairs(spark, sf_dir), "a", "b")
 
 
 @query(None)
 def search_score(spark, sf_dir):
     """Products that a query finds, with their scores."""
-    p = products(spark, sf_dir).select("product_id", S.search_score(F.col("name"), F.col("name"), F.lit("promo steel 13")).alias("score"))
+    p = products(spark, sf_dir).select("product_id", S.search_score(F.col("name"), F.col("name"), F.lit("promo gear 13")).alias("score"))
     return p.where("score > 0")
 
 
@@ -225,5 +246,5 @@ def search_filter(spark, sf_dir):
 @query(None)
 def rank_search(spark, sf_dir):
     """The best ten for a query: score, then name, then id; no global sort of all rows."""
-    p = products(spark, sf_dir).select("product_id", "name", S.search_score(F.col("name"), F.col("name"), F.lit("economy brass")).alias("score"))
+    p = products(spark, sf_dir).select("product_id", "name", S.search_score(F.col("name"), F.col("name"), F.lit("economy gear")).alias("score"))
     return p.where("score > 0").orderBy(F.desc("score"), "name", "product_id").limit(10)

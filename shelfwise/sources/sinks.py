@@ -44,6 +44,21 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{name}")
 
 
+def restore(spark: SparkSession, root: str, name: str, keep_as: str) -> None:
+    """Makes an old version current; what is current is kept as a version of its own first."""
+    snapshot(current(spark, root), root, keep_as)
+    publish(spark, root, name)
+
+
+def write_run(parts: dict[str, DataFrame], root: str, run: str) -> None:
+    """What a run leaves behind (found, verified, held, placed): a table each, and how many rows each has."""
+    counts = []
+    for name, df in parts.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{run}/{name}")
+        counts.append((name, df.sparkSession.read.parquet(f"{root}/{run}/{name}").count()))
+    df.sparkSession.createDataFrame(counts, "part string, n long").coalesce(1).write.json(f"{root}/{run}/summary")
+
+
 def write_pairs(pairs: DataFrame, path: str, least: int = 200, each: int = 100) -> None:
     """Labelled pairs as JSON lines, refused if they are few or out of balance."""
     n = {r.label: r["count"] for r in pairs.groupBy("label").count().collect()}  # two labels

@@ -39,9 +39,14 @@ def first_seen(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def latest(field: str, order: str):
+    """The last value of a field that is not null."""
+    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order)))
+
+
 def cards(events: DataFrame) -> DataFrame:
     """The latest value and type of each user and key: later non-null fields win."""
-    return events.groupBy("user_id", (F.col("event_id") % 40).alias("card")).agg(F.max_by("value", "event_id").alias("value"), F.max_by("event_type", "event_id").alias("type"))
+    return events.groupBy("user_id", (F.col("event_id") % 40).alias("card")).agg(latest("value", "event_id").alias("value"), latest("event_type", "event_id").alias("type"))
 
 
 JOB = "user_id long, status string, n long"
