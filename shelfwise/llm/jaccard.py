@@ -53,6 +53,8 @@ BUCKET_TOKENS = 250_000
 #: A longer list is dealt over tasks: each pair of its parts of about this length is a list of its own.
 LONG_LIST = 4096
 HUBS, STAR_ROUNDS = 4, 2
+#: Labels of components that may be sent to all tasks (some 20 bytes each); into how many parts a component is dealt beyond it.
+SENT_LABELS, SALTS = 50_000, 16
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -401,6 +403,17 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return both.select("x", "y", "x_body", "y_body").mapInArrow(run, "x long, y long, shared long, united long")
 
 
+def with_label(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """rows with column of few, for those whose comp it has. A component may hold most rows, so few
+    goes to all tasks if its rows are counted to be SENT_LABELS at most; else both sides are salted."""
+    few = checkpointed(few.select("comp", column))
+    if few.limit(SENT_LABELS + 1).count() <= SENT_LABELS:
+        return rows.join(F.broadcast(few), "comp", "left")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("salt", salt), ["comp", "salt"], "left").drop("salt")
+
+
 def relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps after one step along links: a component takes the least label that it is linked
     with, and then that label's. Equal labels mean connected nodes; the converse may not hold yet."""
@@ -408,7 +421,7 @@ def relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.join(of.select(F.col("node").alias("x"), F.col("comp").alias("a")), "x").join(of.select(F.col("node").alias("y"), F.col("comp").alias("b")), "y").where("a != b").select("a", "b")
     step = checkpointed(edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("l")))
     hop = step.join(step.select(F.col("a").alias("l"), F.col("l").alias("m")), "l", "left").select("a", F.coalesce("m", "l").alias("l"))
-    return comps.join(hop.withColumnRenamed("a", "comp"), "comp", "left").withColumn("comp", F.coalesce("l", "comp")).drop("l")
+    return with_label(comps, hop.withColumnRenamed("a", "comp"), "l").withColumn("comp", F.coalesce("l", "comp")).drop("l")
 
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -429,7 +442,7 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
         if not new.where("l != was").limit(1).count():
             break
         labels = new.select("a", "l")
-    return comps.join(labels.select(F.col("a").alias("comp"), "l"), "comp", "left").withColumn("comp", F.coalesce("l", "comp")).drop("l")
+    return with_label(comps, labels.select(F.col("a").alias("comp"), "l"), "l").withColumn("comp", F.coalesce("l", "comp")).drop("l")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -467,8 +480,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_ro
     labels = nodes.select("node", "digest").join(comps.select("node", "comp"), "node").select(F.col("digest").alias("node"), "comp")
     firsts = all_rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     classes = firsts.join(labels, "node", "left")
-    lowest = classes.where("comp is not null").groupBy("comp").agg(F.min("least").alias("lowest"))
-    reached = checkpointed(classes.join(lowest, "comp", "left").select("node", F.coalesce("lowest", "least").alias("component")))
+    lowest = classes.where("comp is not null").groupBy("comp").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    reached = checkpointed(with_label(classes, lowest, "lowest").select("node", F.coalesce("lowest", "least").alias("component")))
     out = all_rows.select("id", "n", "node").join(reached, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 

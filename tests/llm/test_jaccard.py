@@ -51,7 +51,8 @@ def test_a_dense_group_of_near_copies(spark, monkeypatch):
     for rounds in (0, 2):  # the last round alone must find all links
         assert run(frame(spark, rows), star_rounds=rounds) == want
     monkeypatch.setattr(jaccard, "LONG_LIST", 7)  # lists dealt over tasks
-    assert run(frame(spark, rows), star_rounds=0) == want
+    monkeypatch.setattr(jaccard, "SENT_LABELS", 0)  # and components too
+    assert run(frame(spark, rows), star_rounds=1) == want
 
 
 def test_empty_tables(spark):
