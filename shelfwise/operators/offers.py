@@ -28,11 +28,13 @@ def is_over_cap(amount: Column, code: Column) -> Column:
 def flag_outliers(offers: DataFrame, key: str = "product_id", ratio: float = OUTLIER_RATIO) -> DataFrame:
     """offers with suspect: 'over-cap', 'outlier' (of three offers or more), or null.
 
-    The middle is the upper median of the positive prices. Products are aggregated before
-    the join back, so a product's offers need not meet in one task.
+    The middle is the upper median of the positive prices, from counts of equal prices: offers
+    are counted before a product's prices meet, and those are added up in order without an array.
     """
-    priced = offers.where(F.col("price") > 0).groupBy(key).agg(F.sort_array(F.collect_list("price")).alias("p"))
-    middle = priced.select(key, F.size("p").alias("n_priced"), F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")).alias("median"))
+    counted = offers.where(F.col("price") > 0).groupBy(key, "price").agg(F.count(F.lit(1)).alias("n"))
+    upto, total = F.sum("n").over(Window.partitionBy(key).orderBy("price")), F.sum("n").over(Window.partitionBy(key))
+    ranked = counted.select(key, "price", upto.alias("upto"), total.alias("n_priced"))
+    middle = ranked.where(F.col("upto") > F.floor(F.col("n_priced") / 2)).groupBy(key, "n_priced").agg(F.min("price").alias("median"))
     outlier = (F.col("n_priced") >= 3) & (F.col("median") > 0) & (F.col("price") > F.col("median") * ratio)
     suspect = F.when(is_over_cap(F.col("price"), F.col("currency")), "over-cap").when(outlier, "outlier")
     return offers.join(middle, key, "left").withColumn("suspect", suspect).drop("n_priced", "median")
