@@ -92,6 +92,12 @@ def laser_watts(title: Column) -> Column:
     return F.when((watts != "") & watts.try_cast("int").between(1, 80) & ~around.rlike(POWER), watts).otherwise("")
 
 
+def laser_watts_sql(x: str) -> str:
+    part = lambda g: f"regexp_extract({lower_tr_sql(x)}, '^(.*?)([0-9]+) *(?:watt|w)(.*)$', {g})"
+    near = lambda g, place: f"array_to_string(string_split_regex(trim({part(g)}), ' +')[{place}], ' ')"
+    return f"CASE WHEN {part(2)} <> '' AND try_cast({part(2)} AS int) BETWEEN 1 AND 80 AND NOT regexp_matches({near(1, '-2:')} || ' ' || {near(3, '1:2')}, '{POWER}') THEN {part(2)} ELSE '' END"
+
+
 def product_type(title: Column) -> Column:
     t = title_rules(title)
     out = F.lit("other")
@@ -115,6 +121,21 @@ def technology(title: Column) -> Column:
     return F.when(t.rlike(r"\bcnc\b"), "cnc").when(t.rlike(r"\b(laser|lazer)\b") & ~t.rlike("hediye"), "laser").when(t.rlike(r"\b(resin|recine|sla|msla|dlp)\b"), "resin").otherwise("fdm")
 
 
+def kit_form_sql(x: str) -> str:
+    t = title_rules_sql(x)
+    return f"CASE WHEN regexp_matches({t}, '\\b(assembled|montajli|hazir)\\b') THEN 'assembled' WHEN regexp_matches({t}, '\\b(kit|unassembled|kendin kur)\\b') THEN 'kit' ELSE '' END"
+
+
+def technology_sql(x: str) -> str:
+    t = title_rules_sql(x)
+    return f"CASE WHEN regexp_matches({t}, '\\bcnc\\b') THEN 'cnc' WHEN regexp_matches({t}, '\\b(laser|lazer)\\b') AND NOT regexp_matches({t}, 'hediye') THEN 'laser' WHEN regexp_matches({t}, '\\b(resin|recine|sla|msla|dlp)\\b') THEN 'resin' ELSE 'fdm' END"
+
+
+def packaging_of_sql(x: str) -> str:
+    t = title_rules_sql(x)
+    return f"CASE WHEN regexp_matches({t}, '\\brefill\\b') THEN 'refill' WHEN regexp_matches({t}, '\\bspool\\b') THEN 'spool' ELSE '' END"
+
+
 #: Axes on which two products of a kind must agree; the first four may be silent on one side.
 AXES = ("kind", "color", "weight", "diameter", "packaging", "combo", "mini", "variant_tag", "laser", "kit", "technology")
 

@@ -139,6 +139,11 @@ def variant_tag(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_intersect(F.split(c, r"\s+"), F.array(*[F.lit(v) for v in VARIANTS]))), " ")
 
 
+def variant_tag_sql(words: str) -> str:
+    known = ", ".join(f"'{v}'" for v in sorted(VARIANTS))
+    return f"array_to_string(list_filter([{known}], lambda v: list_contains(string_split({words}, ' '), v)), ' ')"
+
+
 def slug(c: Column, most: int = 40) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(fold_locale(c), " ", "-"), 1, most), "-$", "")
 

@@ -27,11 +27,6 @@ def combo_sql(title: str, feeder: str) -> str:
     return f"CASE WHEN regexp_matches({t}, '\\bbare\\b') THEN 'bare' WHEN regexp_matches({t}, '\\bcombo\\b') OR {feeder} IS NOT NULL THEN 'combo' ELSE 'bare' END"
 
 
-def kit_sql(title: str) -> str:
-    t = title_rules_sql(title)
-    return f"CASE WHEN regexp_matches({t}, '\\b(assembled|montajli|hazir)\\b') THEN 'assembled' WHEN regexp_matches({t}, '\\b(kit|unassembled|kendin kur)\\b') THEN 'kit' ELSE '' END"
-
-
 def axes(found: DataFrame) -> DataFrame:
     """Looked-up titles with the axes that split products: brand, combo (a bare word before a combo word before a feeder), kit."""
     return found.withColumnRenamed("brand", "said_brand").withColumnRenamed("brand_id", "brand").withColumns({"combo": _combo(title_rules(F.col("title")), F.col("feeder")), "kit": kit_form(F.col("title"))})

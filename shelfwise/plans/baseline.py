@@ -20,7 +20,7 @@ from shelfwise.sources.views import OFFERS, offers
 QUERIES, ORACLES, query = collection()
 
 _LOOKUP = f"""{_HIT}, x AS (SELECT v.id, v.title, v.kind, b.brand_id AS brand, m.model, f.feeder FROM {_T} LEFT JOIN b ON b.tid = v.id LEFT JOIN m ON m.tid = v.id AND m.brand_id = b.brand_id LEFT JOIN f ON f.tid = v.id AND f.brand_id = b.brand_id),
- a AS (SELECT *, {B.combo_sql('title', 'feeder')} AS combo, {B.kit_sql('title')} AS kit FROM x),
+ a AS (SELECT *, {B.combo_sql('title', 'feeder')} AS combo, {I.kit_form_sql('title')} AS kit FROM x),
  r AS (SELECT d.id AS row_model, d.brand_id AS row_brand, c.combo AS row_combo, CASE WHEN d.id LIKE '%-%' THEN 'official' ELSE 'tracker' END AS source, d.brand_id || '/' || d.id || '/' || c.combo AS identity FROM dict d, (VALUES ('bare'), ('combo')) c(combo) WHERE d.role = 'model')"""
 
 

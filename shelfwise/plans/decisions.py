@@ -35,7 +35,8 @@ def brand_model_feeder(spark, sf_dir):
     return _found(spark, sf_dir).select("id", "brand_id", "model", "feeder")
 
 
-@query(None)
+@query(f"""{_HIT} SELECT t.tid AS id, concat_ws('/', b.brand_id, m.model, CASE WHEN regexp_matches({T.title_rules_sql('v.title')}, '\\bbare\\b') THEN 'bare' WHEN regexp_matches({T.title_rules_sql('v.title')}, '\\bcombo\\b') OR f.feeder IS NOT NULL THEN 'combo' END, f.feeder, nullif({I.kit_form_sql('v.title')}, ''), {I.technology_sql('v.title')},
+ nullif(replace({T.variant_tag_sql(T.title_rules_sql('v.title'))}, ' ', '-'), '')) AS identity FROM t JOIN {_T} ON v.id = t.tid LEFT JOIN b USING (tid) LEFT JOIN m ON m.tid = t.tid AND m.brand_id = b.brand_id LEFT JOIN f ON f.tid = t.tid AND f.brand_id = b.brand_id""")
 def identity_id(spark, sf_dir):
     return _found(spark, sf_dir).select("id", D.identity_id(F.col("title"), F.col("brand_id"), F.col("model"), F.col("feeder")).alias("identity"))
 
@@ -80,7 +81,7 @@ def to_amount_plain(spark, sf_dir):
     return amounts(spark, sf_dir).select("id", F.coalesce("raw", F.lit("")).rlike("^[0-9.,]+$").alias("plain"))
 
 
-@query(None)
+@query(f"SELECT id, price AS amount FROM {_M} WHERE regexp_matches(raw, '^[0-9.,]+$')")
 def to_amount(spark, sf_dir):
     return amounts(spark, sf_dir).where(F.col("raw").rlike("^[0-9.,]+$")).select("id", M.to_amount(F.col("raw")).alias("amount"))
 
@@ -122,19 +123,19 @@ def rolling_id(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.aggregate(codes, F.lit(0).cast("long"), lambda a, b: (a * 31 + b) % 4294967296).alias("h"))
 
 
-@query(None)
+@query("SELECT DISTINCT a, length(a) >= 4 OR substr(a, 1, 1) = substr(a, 2, 1) AS swapped, false AS longer FROM (SELECT unnest(string_split(p_name, ' ')) AS a FROM part)")
 def near_words(spark, sf_dir):
     w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
     typo = F.concat(F.substring("a", 2, 1), F.substring("a", 1, 1), F.expr("substring(a, 3)"))
     return w.select("a", L.near(F.col("a"), typo).alias("swapped"), L.near(F.col("a"), F.concat("a", F.lit("xy"))).alias("longer"))
 
 
-@query(None)
+@query(f"SELECT id, {I.laser_watts_sql('title')} AS watts, {I.technology_sql('title')} AS technology, {I.kit_form_sql('title')} AS kit FROM {_T}")
 def laser_watts(spark, sf_dir):
     return titles(spark, sf_dir).select("id", I.laser_watts(F.col("title")).alias("watts"), I.technology(F.col("title")).alias("technology"), I.kit_form(F.col("title")).alias("kit"))
 
 
-@query(None)
+@query(f"SELECT id, {T.variant_tag_sql(T.title_rules_sql('title'))} AS tag FROM {_T}")
 def variant_tag(spark, sf_dir):
     return titles(spark, sf_dir).select("id", T.variant_tag(T.title_rules(F.col("title"))).alias("tag"))
 
@@ -212,7 +213,8 @@ def next_pages(spark, sf_dir):
     return p.where(G.page_number(F.col("url")).isNull()).select("page_id", G.next_page(F.col("url")).alias("next"))
 
 
-@query(None)
+@query(r"""SELECT page_id, regexp_matches(url, '^https?://[^/]+/.+') AND NOT regexp_matches(url, '[{}<>]|%7[BbDd]|\[object') AND NOT regexp_matches(url, '(?i)/(category|kategori|collections|search|arama|cart|sepet|login|account|blog|page|tag|help)(/|$|[?])') AS product,
+ regexp_matches(url, '(?i)^$|^data:|logo|icon|sprite|placeholder|blank[.]|pixel|[.]svg($|[?])') AS junk FROM pages""")
 def product_url_test(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", G.is_product_url(F.col("url")).alias("product"), G.is_junk_image(F.col("url")).alias("junk"))
 

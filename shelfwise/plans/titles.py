@@ -215,7 +215,8 @@ def product_type(spark, sf_dir):
     return products(spark, sf_dir).select("product_id", I.product_type(F.col("name")).alias("type"))
 
 
-@query(None)
+@query(f"""SELECT id, coalesce(kind, '') AS kind, {I.color_of_sql('title')} AS color, {I.grams_sql('title')} AS weight, regexp_extract({T.title_rules_sql('title')}, '\\b(175|285|300)mm\\b', 1) AS diameter, {I.packaging_of_sql('title')} AS packaging,
+ regexp_matches({T.title_rules_sql('title')}, '\\b(combo|ams)\\b')::varchar AS combo, regexp_matches({T.title_rules_sql('title')}, '\\bmini\\b')::varchar AS mini, {T.variant_tag_sql(T.title_rules_sql('title'))} AS variant_tag, {I.laser_watts_sql('title')} AS laser, {I.kit_form_sql('title')} AS kit, {I.technology_sql('title')} AS technology FROM {_T}""")
 def axes(spark, sf_dir):
     return titles(spark, sf_dir).select("id", I.axes(F.col("title"), F.col("kind")).alias("x")).select("id", "x.*")
 
