@@ -215,13 +215,20 @@ def product_type(spark, sf_dir):
     return products(spark, sf_dir).select("product_id", I.product_type(F.col("name")).alias("type"))
 
 
-@query(f"""SELECT id, coalesce(kind, '') AS kind, {I.color_of_sql('title')} AS color, {I.grams_sql('title')} AS weight, regexp_extract({T.title_rules_sql('title')}, '\\b(175|285|300)mm\\b', 1) AS diameter, {I.packaging_of_sql('title')} AS packaging,
- regexp_matches({T.title_rules_sql('title')}, '\\b(combo|ams)\\b')::varchar AS combo, regexp_matches({T.title_rules_sql('title')}, '\\bmini\\b')::varchar AS mini, {T.variant_tag_sql(T.title_rules_sql('title'))} AS variant_tag, {I.laser_watts_sql('title')} AS laser, {I.kit_form_sql('title')} AS kit, {I.technology_sql('title')} AS technology FROM {_T}""")
+_AXES = f"""SELECT id, coalesce(kind, '') AS kind, {I.color_of_sql('title')} AS color, {I.grams_sql('title')} AS weight, regexp_extract({T.title_rules_sql('title')}, '\\b(175|285|300)mm\\b', 1) AS diameter, {I.packaging_of_sql('title')} AS packaging,
+ regexp_matches({T.title_rules_sql('title')}, '\\b(combo|ams)\\b')::varchar AS combo, regexp_matches({T.title_rules_sql('title')}, '\\bmini\\b')::varchar AS mini, {T.variant_tag_sql(T.title_rules_sql('title'))} AS variant_tag, {I.laser_watts_sql('title')} AS laser, {I.kit_form_sql('title')} AS kit, {I.technology_sql('title')} AS technology FROM {_T}"""
+
+
+@query(_AXES)
 def axes(spark, sf_dir):
     return titles(spark, sf_dir).select("id", I.axes(F.col("title"), F.col("kind")).alias("x")).select("id", "x.*")
 
 
-@query(None)
+_DIFFER = ", ".join(f"CASE WHEN a.{x} <> b.{x}{'' if x in I.STRICT else f" AND a.{x} <> '' AND b.{x} <> ''"} THEN '{x}' END" for x in I.AXES)
+_SILENT = ", ".join(f"CASE WHEN (a.{x} = '') <> (b.{x} = '') AND a.kind <> 'printer' AND b.kind <> 'printer' THEN '{x}' END" for x in ("color", "weight", "diameter", "packaging"))
+
+
+@query(f"""WITH x AS ({_AXES}) SELECT a.id AS a_id, b.id AS b_id, array_to_string(list_filter([{_DIFFER}], lambda c: c IS NOT NULL), ',') AS conflicts, array_to_string(list_filter([{_SILENT}], lambda c: c IS NOT NULL), ',') AS gaps FROM x a JOIN x b ON b.id = a.id + 1""")
 def conflicts(spark, sf_dir):
     a, b = F.col("a.axes"), F.col("b.axes")
     return _pairs(spark, sf_dir).select("a_id", "b_id", F.array_join(I.conflicts(a, b), ",").alias("conflicts"), F.array_join(I.gaps(a, b), ",").alias("gaps"))
