@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, oracles, quality, secrets, sharding, toxicity, windows
+from shelfwise.llm import bpe, decontaminate, jaccard, licenses, media, oracles, packing, quality, repair, secrets, sharding, toxicity, whitening, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
@@ -21,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_subword_quality": quality.op9_subword_quality,
     "pipeline": corpus_pipeline.run,
     "op10_chunked_bpe": bpe.op10_chunked_bpe,
+    "op11_turn_fold": repair.op11_turn_fold,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_jacobi_whitening": whitening.op13_jacobi_whitening,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.OP1_SQL, "op3_adaptive_prefix_join": oracles.OP3_SQL, "op5_superkmer_dedup": oracles.OP5_SQL}
+ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.OP1_SQL, "op3_adaptive_prefix_join": oracles.OP3_SQL, "op5_superkmer_dedup": oracles.OP5_SQL, "op11_turn_fold": repair.OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
