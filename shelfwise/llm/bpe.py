@@ -12,7 +12,7 @@ What lies between two chunks' ids is the join. It is encoded again as one text t
 with the edges on both sides, and counts only if the new ids begin and end with exactly the
 edges' ids that the chunks have; else the join widens, to the next chunk or back over the
 last one, and is encoded again until they agree or the text ends. A text without a sync
-point in any chunk is one join.
+point in any chunk is one join. What is decoded comes from ids alone, those of joins as those of chunks.
 
 Chunks of Latin letters go through the rank form of the vocabulary, all others and texts
 with a special token through the tokenizers library itself; both give the same ids.
@@ -192,7 +192,7 @@ class Encoder:
         if not (on_left and on_right):
             return None, on_left, on_right
         middle = ids[before[1] : stop]
-        return Part(middle, self.decimals(middle), text[start:end]), True, True
+        return Part(middle, self.decimals(middle), self.bytes_of(middle)), True, True
 
     def encode(self, text: bytes) -> list[Part]:
         """The ids of a text, in parts that follow on one another."""
@@ -277,7 +277,8 @@ def encode_texts(docs: DataFrame, library_path: str, ranks_path: str, key: str =
                     parts = [x for x in enc.encode(t) if x.ids]
                     n.append(sum(len(x.ids) for x in parts))
                     shas.append(hashlib.sha256(b",".join([x.decimals for x in parts])).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([x.decoded for x in parts])).hexdigest())
+                    # a character may lie in two ids, so bytes become text when all are there
+                    decoded.append(hashlib.sha256(b"".join([x.decoded for x in parts]).decode("utf-8", "replace").encode()).hexdigest())
                     if with_ids:
                         ids.append(np.concatenate([np.frombuffer(x.ids, np.int32) for x in parts]) if parts else [])
                 cols, names = [part.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(decoded)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
