@@ -63,7 +63,7 @@ def find_spans(text: Column, rule: Rule) -> Column:
     that very many matches do not make an array grow one by one.
     """
     pattern = F.lit(rule.pattern)
-    pieces, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     tests = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
     empty = F.array().cast(SPANS)
     shift = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
@@ -77,12 +77,25 @@ def find_spans(text: Column, rule: Rule) -> Column:
     def put(acc: Column, block: Column) -> Column:
         return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["found"], F.array(shift(block["found"], acc["at"]))).alias("found"))
 
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("piece"), hits.alias("hit"), tests.alias("test"))
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(BLOCK))
     begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    blocks = F.transform(F.transform(firsts, lambda i: F.slice(rows, i, BLOCK)), lambda block: F.aggregate(block, begin, step))
-    all_blocks = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found")), put)
-    return F.when(text.rlike(rule.pattern), F.flatten(all_blocks["found"])).otherwise(empty)
+
+    def add_up(rows: Column) -> Column:
+        each = F.transform(in_blocks(rows), lambda block: F.aggregate(block, begin, step))
+        return F.flatten(F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found")), put)["found"])
+
+    # the text is searched once, and every block is cut from what was found
+    zipped = let(hits, lambda h: F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(h)).alias("piece"), h.alias("hit"), (tests if rule.group else h).alias("test")))
+    return F.when(text.rlike(rule.pattern), let(zipped, add_up)).otherwise(empty)
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(rows: Column) -> Column:
+    """An array's entries in arrays of BLOCK, one at least."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(rows, i, BLOCK))
 
 
 def blob_of(text: Column) -> Column:
@@ -149,8 +162,16 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def found_in_blobs(versions: DataFrame, text: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and spans (start, rank, end, kind) of the distinct texts that have any, from the updated ledger."""
-    ledger = known(update_ledger(versions, folder or ledger_folder(versions.sparkSession), text, rules), rules).where(F.size("spans") > 0)
+    """blob and spans (start, rank, end, kind) of the distinct texts that have any, from the updated ledger.
+
+    Of a ledger that held rows before, only those of blobs that are in versions are gathered.
+    """
+    spark = versions.sparkSession
+    folder = folder or ledger_folder(spark)
+    held = exists(spark, folder)
+    ledger = known(update_ledger(versions, folder, text, rules), rules).where(F.size("spans") > 0)
+    if held:
+        ledger = ledger.join(versions.select(blob_of(F.col(text)).alias("blob")).distinct(), "blob", "left_semi")
     each = [F.coalesce(F.first(F.when(F.col("kind") == r.kind, F.col("spans")), ignorenulls=True), F.array().cast(SPANS)).alias(r.kind) for r in rules]
     return ledger.groupBy("blob").agg(*each).select("blob", all_spans(rules).alias("spans"))
 
@@ -166,16 +187,35 @@ def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", fo
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span (or run of overlapping spans, by start) replaced by mark."""
+    """text with each span (or run of overlapping spans, by start) replaced by mark.
 
-    def step(acc: Column, s: Column) -> Column:
-        # at: where the rest of the text begins, 0-based
-        fresh = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
+    What is kept lies between the spans. They are taken in blocks, which start where all blocks
+    before them have ended; a block's text is cut out first and the pieces out of that, so the
+    text is not gone through from its beginning for each.
+    """
+    none = F.array().cast(SPANS)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, done).otherwise(text)
+    def step(acc: Column, s: Column) -> Column:
+        # at: where the rest of the text begins; kept: what stands before each mark
+        fresh = F.when(s["start"] >= acc["at"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))).otherwise(none)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["kept"], fresh).alias("kept"))
+
+    def cut(kept: Column) -> Column:
+        first = F.get(kept, F.lit(0))["start"]
+        held = text.substr(first + 1, F.element_at(kept, -1)["end"] - first)
+        said = let(held, lambda h: F.array_join(F.transform(kept, lambda p: F.concat(h.substr(p["start"] - first + 1, p["end"] - p["start"]), F.lit(mark))), ""))
+        return F.when(F.size(kept) > 0, said).otherwise("")
+
+    def done(x: Column) -> Column:
+        def block(rows: Column, i: Column) -> Column:
+            at = F.greatest(F.lit(0), F.array_max(F.slice(x["ends"], 1, i)))
+            return let(F.aggregate(rows, F.struct(at.alias("at"), none.alias("kept")), step)["kept"], cut)
+
+        end = F.array_max(x["ends"])
+        return F.concat(F.array_join(F.transform(x["blocks"], block), ""), text.substr(end + 1, F.greatest(F.length(text) - end, F.lit(0))))
+
+    blocks = let(in_blocks(spans), lambda b: F.struct(b.alias("blocks"), F.transform(b, lambda rows: F.array_max(F.transform(rows, lambda s: s["end"]))).alias("ends")))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, let(blocks, done)).otherwise(text)
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

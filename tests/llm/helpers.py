@@ -47,5 +47,5 @@ def clashing(df):
     """df with more columns, named like those that operators make for themselves."""
     from pyspark.sql import functions as F
 
-    names = ["key", "body", "id", "node", "n", "comp", "row", "blob", "spans", "bucket", "severity", "x", "y", "template", "near", "uid"]
-    return df.withColumns({c: F.lit("clash") for c in names})
+    names = ["key", "body", "id", "node", "n", "comp", "row", "blob", "spans", "bucket", "severity", "x", "y", "template", "near", "uid", "_gone", "_digest", "_id", "a.b", "odd`name", "place", "first"]
+    return df.select("*", *[F.lit("clash").alias(c) for c in names])
