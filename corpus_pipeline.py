@@ -21,14 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.learn(docs, grades))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in gone (column key)."""
-    return docs.join(gone.select(F.col("key.id").alias("_gone"), F.col("key.digest").alias("_digest")), _key_is("_gone", "_digest"), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, so none can clash with ours) and key of every row."""
+    return docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+
 
+def same_key(a: str, b: str) -> Column:
+    return F.col(f"{a}.key.id").eqNullSafe(F.col(f"{b}.key.id")) & (F.col(f"{a}.key.digest") == F.col(f"{b}.key.digest"))
 
-def _key_is(key: str, digest: str) -> Column:
-    mine = row_key(F.col("doc_id"), F.col("text"))
-    return mine["id"].eqNullSafe(F.col(key)) & (mine["digest"] == F.col(digest))
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone (column key)."""
+    left = keyed(docs).alias("d").join(gone.select("key").alias("g"), same_key("d", "g"), "left_anti")
+    return left.select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # rows that go, and keys of which one row stays
     odd = checkpointed(in_groups.select("key", (F.col("key") != F.col("first")).alias("gone"), "n").where("gone or n > 1"))
     out = without(docs, odd)
-    twice = odd.where("not gone")
+    twice = odd.where("not gone").select("key")
     if twice.isEmpty():
         return out
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("place"))
-    own = row.join(twice.select(F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest")), F.col("key.id").eqNullSafe(F.col("_id")) & (F.col("key.digest") == F.col("_digest")), "left_semi")
+    own = keyed(docs).withColumn("place", F.monotonically_increasing_id()).alias("d").join(twice.alias("t"), same_key("d", "t"), "left_semi")
     # partial results before the shuffle: a hot key comes down to a row a task
     first = own.groupBy("key").agg(F.min_by("row", "place").alias("row"))
     return out.unionByName(first.select("row.*"))
@@ -56,12 +60,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and their lengths counted anew."""
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     found = checkpointed(secrets.found_in_blobs(docs.select("text")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), blob.alias("blob")).join(found, "blob", "left")
-    text = secrets.redact(F.col("row.text"), F.col("spans"))
-    new = {"text": text, "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("long"))}
-    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), secrets.blob_of(F.col("text")).alias("blob")).join(found, "blob", "left")
+    # inline: the redacted text is made once, for itself and for its length
+    new = rows.select("row", F.col("spans").isNotNull().alias("changed"), F.inline(F.array(F.struct(secrets.redact(F.col("row.text"), F.col("spans")).alias("text")))))
+    length = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return new.select(F.col("row").withField("text", F.col("text")).withField("n_chars", length).alias("row")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
