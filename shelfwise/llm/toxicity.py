@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,16 +165,16 @@ def learn(docs: DataFrame, grades: DataFrame, levels: int = 3, sample_rows: int
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """The rows of docs that are not toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so theirs may have any names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = [b"" if t is None else t for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            texts = [b"" if t is None else t for t in pc.struct_field(batch.column(0), text).cast(pa.binary()).to_pylist()]
             clean = [chances(sent.value, texts[a:b])[:, 0] < 0.5 for a, b in blocks(texts)]
             if clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def chances(model: OrdinalModel, texts: list[bytes]) -> np.ndarray:
