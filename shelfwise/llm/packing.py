@@ -11,9 +11,11 @@ keeps a task's memory fixed whatever it is given. Each group may leave one bin p
 SIZE of GROUP_TOKENS tokens.
 
 The ids are those of the tokenizers library. White space never lies inside one of this
-vocabulary's pre-tokens, so a text's ids are those of its words, and a task asks the library for a word once and
-keeps it (CACHE_WORDS, dropped whole when full). Words are found equal by a hash and then
-compared byte by byte; a text with a word that only shares another's hash is given to the library whole.
+vocabulary's pre-tokens, so a text's ids are those of its words. A plain word (Latin letters, digits and
+marks, none of them an apostrophe or a bar) is further cut where the vocabulary's pre-tokenizer cuts it: into runs of letters,
+single digits and runs of marks, with A-Z lowered. A worker asks the library for such a part once and keeps it
+(CACHE_WORDS, of which the less used half goes when they are full). Parts are found equal by a hash and then
+compared byte by byte; a text with one that only shares another's hash is given to the library whole.
 
 Nulls: null and empty texts are the one id END. Repeated rows are packed like others, as
 pieces of their own; which of two equal pieces lies where doesn't matter. Very long texts are
@@ -26,6 +28,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfwise.llm.state import checkpointed
-from shelfwise.llm.textkit import Words, blocks, lanes_of
+from shelfwise.llm.textkit import BLANK, Words, blocks, lanes_of, span_hashes
 
 SIZE, END = 2048, 0
 #: Bins that may be open in a task at once.
@@ -43,6 +46,16 @@ OPEN = 8192
 #: Tokens of a group, some 2048 sequences.
 GROUP_TOKENS = 4 << 20
 CACHE_WORDS = 300_000
+#: Rows and bytes that are worked on at once.
+ROWS, BYTES = 1024, 2 << 20
+#: What a byte is to the pre-tokenizer. A word with an ODD one is not cut: apostrophes begin contractions, bars are in
+#: special tokens, controls are rare, and of letters beyond U+017F this table does not tell.
+NONE, LETTER, DIGIT, MARK, ODD = range(5)
+KINDS = np.full(256, MARK, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[[*range(0x20), 0x27, 0x7C, 0x7F, 0xC0, 0xC1, 0xC2, *range(0xC6, 0x100)]] = ODD
+KINDS[BLANK] = NONE
 
 
 class Bins:
@@ -90,42 +103,55 @@ class Vocabulary:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.first, self.size, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
+    def forget(self) -> None:
+        """Only the parts that were used more than half of them stay."""
+        n = len(self.place)
+        stay = np.flatnonzero(self.uses[:n] > np.median(self.uses[:n]))
+        names = list(self.place)
+        first, size = self.first[stay], self.size[stay]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.used, self.first, self.size, self.uses = len(self.ids), ends - size, size, self.uses[stay] // 2
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+
     def learn(self, words: list[bytes]) -> None:
         found = [x.ids for x in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        begin, total = len(self.place), int(sizes.sum())
-        self.first, self.size = _room(self.first, begin + len(words)), _room(self.size, begin + len(words))
+        begin, end, total = len(self.place), len(self.place) + len(words), int(sizes.sum())
+        self.first, self.size, self.uses = (_room(x, end) for x in (self.first, self.size, self.uses))
         self.ids = _room(self.ids, self.used + total)
-        self.size[begin : begin + len(words)] = sizes
-        self.first[begin : begin + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.size[begin:end], self.uses[begin:end] = sizes, 0
+        self.first[begin:end] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.used += total
-        self.place.update(zip(words, range(begin, begin + len(words)), strict=True))
+        self.place.update(zip(words, range(begin, end), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and where each text's begin (and the last end)."""
         words = Words(texts)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        _, of, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        different = [words.raw[a:b] for a, b in zip(words.start[of].tolist(), words.end[of].tolist(), strict=True)]
+        buf, start, end = word_parts(words)
+        lanes = lanes_of(buf)
+        _, of, which = np.unique(span_hashes(buf, start, end, lanes), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        different = [raw[a:b] for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)]
         if len(self.place) > CACHE_WORDS:
             self.forget()
         if new := [w for w in different if w not in self.place]:
             self.learn(new)
-        place = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[which]
+        place = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))
+        self.uses[place] += np.bincount(which, minlength=len(place))
+        place = place[which]
         size = self.size[place]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.first[place] - ends[:-1], size) + np.arange(ends[-1])]
-        odd = np.unique(words.doc[unlike(words, of[which])])
-        bounds = ends[words.first]
+        bounds = ends[np.searchsorted(start, words.bounds)]
+        odd = np.unique(np.searchsorted(words.bounds, start[unlike(lanes, start, end, of[which])], "right") - 1)
         if not len(odd):
             return ids, bounds
         parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -139,15 +165,35 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
-def unlike(words: Words, other: np.ndarray) -> np.ndarray:
-    """The words that differ from the word `other` of each."""
-    size = words.end - words.start
+def word_parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buffer of some words with A-Z of plain ones lowered, and where their parts start and end."""
+    kind = KINDS[words.buf]
+    # among the letters from U+00C0 on are two signs, and one whose lower form ends in a mark
+    for lead, byte in [c.encode() for c in "×÷İ"]:
+        kind[1:][(words.buf[1:] == byte) & (words.buf[:-1] == lead)] = ODD
+    odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+    odd = np.flatnonzero(odd[words.end] > odd[words.start])
+    step = np.zeros(len(kind) + 1, np.int8)
+    step[words.start[odd]] += 1
+    step[words.end[odd]] -= 1
+    whole = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    kind[whole] = LETTER
+    buf = words.buf + (((words.buf >= 65) & (words.buf <= 90) & ~whole) << 5).astype(np.uint8)
+    fresh = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == DIGIT)
+    start = np.flatnonzero(fresh & (kind != NONE))
+    stop = np.concatenate([np.flatnonzero(fresh), [len(kind)]])
+    return buf, start, stop[np.searchsorted(stop, start, "right")]
+
+
+def unlike(lanes: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The byte ranges that differ from range number `other` of each; lanes: of the buffer."""
+    size = end - start
     same = size == size[other]
-    lanes, rest, at = lanes_of(words.buf), np.flatnonzero(same), 0
+    rest, at = np.flatnonzero(same), 0
     while len(rest):
         here = size[rest] - at
         mask = np.where(here >= 8, ~np.uint64(0), (np.uint64(1) << (np.uint64(8) * np.minimum(here, 7).astype(np.uint64))) - np.uint64(1))
-        same[rest] &= ((lanes[words.start[rest] + at] ^ lanes[words.start[other[rest]] + at]) & mask) == 0
+        same[rest] &= ((lanes[start[rest] + at] ^ lanes[start[other[rest]] + at]) & mask) == 0
         at += 8
         rest = rest[size[rest] > at]
     return np.flatnonzero(~same)
@@ -170,9 +216,9 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BYTES):
                 ids, bounds = voc.encode(texts[a:b])
                 row, piece, start, length, crc, said = [], [], [], [], [], []
                 for i in range(b - a):
