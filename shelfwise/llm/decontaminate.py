@@ -10,15 +10,17 @@ value (its slots are mixed up), only windows with equal values count. An item is
 document if the windows of one alignment that count are COVERAGE of the item's.
 
 number: a word of digits, with single points and commas inside (one slot);
-name: words with a capital first letter only, not first in a sentence; neighbours are one
-slot, whose value is the last of them;
+name: words with a capital first letter only (of any script that has them), not first in a
+sentence; neighbours are one slot, whose value is the last of them;
 unit: one of UNITS right after a number.
 
 A window with fewer than half its tokens literal is thin: its template alone tells little.
-An item that has other windows is judged by those. An item of thin windows only is found word
-for word (thin windows are joined with their values), and with other parameters by one window
-of all its tokens if LEAST_LITERALS of them are literal. An item of fewer than LEAST_TOKENS
-tokens is found where it stands word for word as a sentence of its own.
+An item that has other windows is judged by those. An item of thin windows only (or of fewer than LEAST_TOKENS
+tokens) is found, whatever its length, where it stands as a sentence of its own, with any
+parameters: then the marks between its tokens count too ("12 + 30 = ?" is "{number} + {number} ="). It is
+also found inside other sentences, word for word if it has LEAST_TOKENS tokens (thin windows are joined with their
+values), and with other parameters if LEAST_LITERALS of them are literal. An item of slots
+alone, without a word or a mark, says nothing but its values and is found by those only.
 
 Only document windows that a bitmap of the item windows' hashes lets through become rows;
 its false alarms are sorted out by the join, so no window is lost. Alignments are first
@@ -27,7 +29,9 @@ so a phrase that very many items share does not multiply.
 
 Nulls: null and empty texts have no windows. Copies of a document are each reported; rows
 that repeat an id are judged text by text and reported once. Empty tables give no rows. Only
-the ids and the texts are read.
+the ids and the texts are read. Very long texts are worked on as one block each; ties between
+alignments go to the one with more windows, then the exact one. Letters whose lower form takes other
+bytes in UTF-8 stay as they are.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.state import bitmap, checkpointed, row_key
-from shelfwise.llm.textkit import Words, blocks, lowered, span_hashes, window_hashes
+from shelfwise.llm.textkit import BLANK, Words, blocks, lanes_of, lowered, span_hashes, window_hashes
 
 WINDOW, LEAST_TOKENS, LEAST_LITERALS, COVERAGE = 8, 5, 3, 0.5
 #: Bits of the bitmap: 64 for each item window, between these figures.
@@ -61,6 +65,36 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b'.!?:;|"\n')] = True
 
 
+#: What a window is: eight tokens (or all, of a shorter item) by template, the same by words, all
+#: tokens of an item by template, all tokens as a sentence with its marks. The last three are of items of thin windows.
+WINDOWS, WORDS, WHOLE, SENTENCE = range(4)
+#: How the window's text is made: by template, by words, by template with marks.
+PLAIN, EXACT, MARKED = range(3)
+MADE = {WINDOWS: PLAIN, WORDS: EXACT, WHOLE: PLAIN, SENTENCE: MARKED}
+#: Capitals whose lower form takes another number of bytes, as one number each.
+_CAPITALS = np.array([int.from_bytes(c.encode(), "little") for c in map(chr, range(0x80, 0x3000)) if c.isupper() and len(c.lower().encode()) != len(c.encode())], np.uint64)
+#: Bytes of a character by its first one.
+_CHAR_BYTES = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int64)
+_LOW_BYTES = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
+
+
+def _capitals(buf: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words have a first letter that is a capital and a second one that is a letter but no capital."""
+    changed = np.zeros(len(buf) + 9, np.int32)
+    np.cumsum(buf != low, out=changed[1 : len(buf) + 1])
+    changed[len(buf) + 1 :] = changed[len(buf)]
+    lanes = lanes_of(buf)
+
+    def upper(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = _CHAR_BYTES[buf[at]]
+        return (changed[at + size] > changed[at]) | np.isin(lanes[at] & _LOW_BYTES[size], _CAPITALS), size
+
+    first, size = upper(start)
+    second = np.minimum(start + size, len(buf) - 1)
+    letter = ((buf[second] >= 97) & (buf[second] <= 122)) | (buf[second] >= 128)
+    return first & (start + size < end) & letter & ~upper(second)[0]
+
+
 def _hash_of(word: bytes) -> np.ndarray:
     buf = np.frombuffer(word, np.uint8)
     return span_hashes(buf, np.array([0]), np.array([len(word)]))
@@ -89,9 +123,7 @@ class Templates:
             gap_from = np.concatenate([[0], w.end[:-1]])
             fresh = np.concatenate([[True], w.doc[1:] != w.doc[:-1]])
             opens = fresh | (ends[w.start] > ends[gap_from])
-            first, second = w.buf[w.start], w.buf[np.minimum(w.start + 1, len(w.buf) - 1)]
-            capital = (first >= 65) & (first <= 90) & (w.end - w.start > 1) & (((second >= 97) & (second <= 122)) | (second >= 128))
-            kind[capital & ~opens] = NAME
+            kind[_capitals(w.buf, low, w.start, w.end) & ~opens] = NAME
             gap = w.start - gap_from
             point = (gap == 1) & np.isin(w.buf[gap_from], np.frombuffer(b".,", np.uint8))
             space = (gap == 1) & (w.buf[gap_from] == 32)
@@ -109,10 +141,31 @@ class Templates:
         self.hash = np.where(self.kind == LITERAL, hashes[keep], _MARK_HASHES[self.kind])
         self.counts = np.bincount(self.doc, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-
-    def windows(self, width: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of each run of width tokens of one text, with values if exact."""
-        h = window_hashes(self.exact if exact else self.hash, width) ^ np.uint64(width * 2 + exact)
+        self.buf, self.bounds = w.buf, w.bounds
+        self.gaps: tuple | None = None
+
+    def marks(self) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All marks (no word, blank or sentence end) end to end, and the places there of each token's
+        end, of the next token's start, and of the sentence's marks before and after a token."""
+        if self.gaps is None:
+            mark = _NOT_WORD[self.buf] & ~BLANK[self.buf] & ~_ENDS[self.buf]
+            count = np.concatenate([[0], np.cumsum(mark)])
+            ends = np.concatenate([[-1], np.flatnonzero(_ENDS[self.buf]), [len(self.buf)]])
+            text_start, text_end = self.bounds[self.doc], self.bounds[self.doc + 1] - 1
+            before = np.maximum.reduce([np.concatenate([[0], self.end[:-1]]), text_start, ends[np.searchsorted(ends, self.start) - 1] + 1])
+            after = np.minimum.reduce([np.concatenate([self.start[1:], [len(self.buf)]]), text_end, ends[np.searchsorted(ends, self.end)]])
+            self.gaps = self.buf[mark].tobytes(), count[self.start], count[self.end], count[before], count[after]
+        return self.gaps
+
+    def windows(self, width: int, made: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of each run of width tokens of one text."""
+        h = window_hashes(self.exact if made == EXACT else self.hash, width) ^ np.uint64(width * 4 + made)
+        if made == MARKED and len(h):
+            raw, start, end, before, after = self.marks()
+            hashes = lambda a, b: span_hashes(np.frombuffer(raw + b" ", np.uint8), a, b)
+            h = h + hashes(before, start)[: len(h)] * np.uint64(3) + hashes(end, after)[width - 1 :] * np.uint64(5)
+            if width > 1:
+                h = h + window_hashes(hashes(end[:-1], start[1:]), width - 1) * np.uint64(7)
         at = np.flatnonzero(self.doc[: len(h)] == self.doc[width - 1 :]) if len(h) else np.zeros(0, np.int64)
         return at, h[at]
 
@@ -121,38 +174,47 @@ class Templates:
         total = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         return total[at + width] - total[at]
 
+    def has_marks(self, docs: np.ndarray) -> np.ndarray:
+        """Whether some texts, which have tokens, have marks where a sentence of all their tokens has."""
+        _, _, _, before, after = self.marks()
+        return after[self.first[docs + 1] - 1] > before[self.first[docs]]
+
     def alone(self, at: np.ndarray, width: int) -> np.ndarray:
         """Whether runs of width tokens of a text are sentences."""
         after = np.minimum(at + width, len(self.doc) - 1)
         ends = (at + width == len(self.doc)) | (self.doc[after] != self.doc[at]) | self.opens[after]
         return self.opens[at] & ends
 
-    def template(self, at: int, width: int, exact: bool = False) -> tuple[str, list[str]]:
-        """The template text of a window and the values of its slots; exact: the values are in the text."""
+    def template(self, at: int, width: int, made: int = PLAIN) -> tuple[str, list[str]]:
+        """The template text of a window and the values of its slots; EXACT: the values are in the text."""
         words, slots = [], []
+        raw_marks, start, end, before, after = self.marks() if made == MARKED else (b"", *[None] * 4)
         for i in range(at, at + width):
             raw, k = self.raw[self.start[i] : self.end[i]], int(self.kind[i])
             low = raw.decode("utf-8", "replace").lower()
-            words.append(low.encode() if k == LITERAL or exact else MARKS[k])
-            if k != LITERAL and not exact:
+            if made == MARKED:
+                words.append(b"'" + raw_marks[before[i] if i == at else end[i - 1] : start[i]])
+            words.append(low.encode() if k == LITERAL or made == EXACT else MARKS[k])
+            if k != LITERAL and made != EXACT:
                 # of names the last word: a capital word before a name may only open a sentence
                 slots.append(f"{k}:" + (low.split()[-1] if k == NAME else low))
-        return ("= " if exact else "") + b" ".join(words).decode("utf-8", "replace"), slots
+        if made == MARKED:
+            words.append(b"'" + raw_marks[end[at + width - 1] : after[at + width - 1]])
+        return ("", "= ", "~ ")[made] + b" ".join(words).decode("utf-8", "replace"), slots
 
 
 SCHEMA = "template string, width int, at int, slots array<string>"
 
 
-def _rows(keys: pa.Array, t: Templates, at: np.ndarray, width: int, exact: bool, more: dict | None = None) -> pa.RecordBatch:
-    made = [t.template(i, width, exact) for i in at.tolist()]
-    cols = {"key": keys.take(pa.array(t.doc[at])), "template": pa.array([m[0] for m in made], pa.string()), "width": pa.array(np.full(len(at), width, np.int32)), "at": pa.array((at - t.first[t.doc[at]]).astype(np.int32)), "slots": pa.array([m[1] for m in made], pa.list_(pa.string()))}
+def _rows(keys: pa.Array, t: Templates, at: np.ndarray, width: int, made: int, more: dict | None = None) -> pa.RecordBatch:
+    found = [t.template(i, width, made) for i in at.tolist()]
+    cols = {"key": keys.take(pa.array(t.doc[at])), "template": pa.array([m[0] for m in found], pa.string()), "width": pa.array(np.full(len(at), width, np.int32)), "at": pa.array((at - t.first[t.doc[at]]).astype(np.int32)), "slots": pa.array([m[1] for m in found], pa.list_(pa.string()))}
     cols |= more or {}
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """Windows of all items: key, template, width, at, slots, hash, exact (with values), whole (the
-    item's only window of another width) and n_windows (of the item with the same exact and whole)."""
+    """Windows of all items: key, template, width, at, slots, hash, way and n_windows (of the item in the same way)."""
     slim = items.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     kind = slim.schema["key"].dataType.simpleString()
 
@@ -162,30 +224,32 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
             for a, b in blocks(texts):
                 t = Templates(texts[a:b])
                 mine = np.minimum(t.counts, WINDOW)
-                chosen = []  # first tokens, width, exact, whole
+                chosen = []  # first tokens, width, way
                 for width in np.unique(mine[mine > 0]).tolist():
                     at, _ = t.windows(width, False)
                     at = at[mine[t.doc[at]] == width]
                     thin = (2 * t.literals(at, width) < width) | (t.counts[t.doc[at]] < LEAST_TOKENS)
                     plain = np.isin(t.doc[at], t.doc[at[~thin]])  # of items that have other windows too
-                    chosen += [(at[~thin], width, False, False), (at[thin & ~plain], width, True, False)]
+                    chosen += [(at[~thin], width, WINDOWS), (at[thin & ~plain], width, WORDS)]
                     odd = np.unique(t.doc[at[~plain]])
-                    odd = odd[(t.counts[odd] >= LEAST_TOKENS) & (t.literals(t.first[odd], t.counts[odd]) >= LEAST_LITERALS)]
-                    chosen += [(t.first[odd[t.counts[odd] == n]], n, False, True) for n in np.unique(t.counts[odd]).tolist()]
-                for at, width, exact, whole in chosen:
+                    slots = t.counts[odd] - t.literals(t.first[odd], t.counts[odd])
+                    inside = odd[(t.counts[odd] >= LEAST_TOKENS) & (t.counts[odd] - slots >= LEAST_LITERALS)]
+                    alone = odd[(slots > 0) & ((slots < t.counts[odd]) | t.has_marks(odd))]
+                    chosen += [(t.first[of[t.counts[of] == n]], n, way) for of, way in ((inside, WHOLE), (alone, SENTENCE)) for n in np.unique(t.counts[of]).tolist()]
+                for at, width, way in chosen:
                     if len(at):
-                        places, h = t.windows(width, exact)
+                        places, h = t.windows(width, MADE[way])
                         n = np.bincount(t.doc[at], minlength=b - a)[t.doc[at]]
-                        flags = {"hash": pa.array(h[np.searchsorted(places, at)].view(np.int64)), "exact": pa.array(np.full(len(at), exact)), "whole": pa.array(np.full(len(at), whole)), "n_windows": pa.array(n.astype(np.int32))}
-                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, exact, flags)
+                        more = {"hash": pa.array(h[np.searchsorted(places, at)].view(np.int64)), "way": pa.array(np.full(len(at), way, np.int32)), "n_windows": pa.array(n.astype(np.int32))}
+                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, MADE[way], more)
 
-    return slim.mapInArrow(run, f"key {kind}, {SCHEMA}, hash long, exact boolean, whole boolean, n_windows int")
+    return slim.mapInArrow(run, f"key {kind}, {SCHEMA}, hash long, way int, n_windows int")
 
 
-def matching_windows(docs: DataFrame, key: str, text: str, bits: Broadcast, kinds: list[tuple[int, bool]]) -> DataFrame:
+def matching_windows(docs: DataFrame, key: str, text: str, bits: Broadcast, kinds: list[tuple[int, int]]) -> DataFrame:
     """The documents' windows that the bitmap lets through: key, template, width, at, slots.
 
-    kinds: widths, each with whether the items' windows of that width have their values in them.
+    kinds: widths, each with how the items' windows of that width are made.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body")).where(F.col("body").isNotNull())
     kind = slim.schema["key"].dataType.simpleString()
@@ -196,14 +260,14 @@ def matching_windows(docs: DataFrame, key: str, text: str, bits: Broadcast, kind
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 t = Templates(texts[a:b])
-                for width, exact in kinds:
-                    at, h = t.windows(width, exact)
+                for width, made in kinds:
+                    at, h = t.windows(width, made)
                     place = (h >> shift).astype(np.int64)
                     at = at[(bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
-                    if width < LEAST_TOKENS:
+                    if width < LEAST_TOKENS or made == MARKED:
                         at = at[t.alone(at, width)]
                     if len(at):
-                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, exact)
+                        yield _rows(batch.column(0).slice(a, b - a), t, at, width, made)
 
     return slim.mapInArrow(run, f"key {kind}, {SCHEMA}")
 
@@ -219,27 +283,27 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     a text of an id. Different texts of an id, or without one, are kept apart."""
     docs = docs.select(row_key(F.col(key), F.col(text)).alias("key"), F.col(text).alias("text"))
     windows = checkpointed(item_windows(items, item_key, item_text))
-    kinds = sorted((r.width, r.exact) for r in windows.select("width", "exact").distinct().collect())  # a row for each length of item
+    kinds = sorted({(r.width, MADE[r.way]) for r in windows.select("width", "way").distinct().collect()})  # a row for each length of item
     n_bits = min(MOST_BITS, max(LEAST_BITS, (64 * windows.count()).bit_length()))
     place = lambda batches: ((x.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - n_bits)).astype(np.int64) for x in batches)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(windows.select("hash"), place, n_bits))  # of a bounded size
     found = checkpointed(matching_windows(docs, "key", "text", bits, kinds))
     bits.destroy()
     # an item misses n - ceil(COVERAGE * n) windows at most, so one of its rarest n - ceil(...) + 1 is there
-    rarest = Window.partitionBy("key", "exact", "whole").orderBy("items", "template", "at")
+    rarest = Window.partitionBy("key", "way").orderBy("items", "template", "at")
     shared = windows.groupBy("template", "width").agg(F.count(F.lit(1)).alias("items"))
     ranked = windows.join(shared, ["template", "width"]).withColumn("rank", F.row_number().over(rarest))
     probes = ranked.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.lit(COVERAGE) * F.col("n_windows") - 1e-9) + 1)
     d, i = found.alias("d"), probes.alias("i")
-    near = d.join(i, ["template", "width"]).select(F.col("d.key").alias("doc"), F.col("i.key").alias("item"), "exact", "whole", (F.col("d.at") - F.col("i.at")).alias("shift")).distinct().alias("c")
+    near = d.join(i, ["template", "width"]).select(F.col("d.key").alias("doc"), F.col("i.key").alias("item"), "way", (F.col("d.at") - F.col("i.at")).alias("shift")).distinct().alias("c")
     i = windows.alias("i")
-    wanted = near.join(i, F.col("i.key").eqNullSafe(F.col("c.item")) & (F.col("i.exact") == F.col("c.exact")) & (F.col("i.whole") == F.col("c.whole")))
+    wanted = near.join(i, F.col("i.key").eqNullSafe(F.col("c.item")) & (F.col("i.way") == F.col("c.way")))
     both = wanted.join(d, F.col("d.key").eqNullSafe(F.col("c.doc")) & (F.col("d.at") == F.col("i.at") + F.col("c.shift")) & (F.col("d.template") == F.col("i.template")) & (F.col("d.width") == F.col("i.width")))
     # a slot is known by the place of its token in the item
     places = F.filter(F.transform(F.split("i.template", " "), lambda t, at: F.when(t.startswith("{"), F.col("i.at") + at)), lambda at: at.isNotNull())
     pairs = both.select(
-        F.col("c.doc").alias("key"), "c.item", "c.shift", F.col("i.at").alias("at"), "n_windows", F.struct("c.exact", "c.whole").alias("way"),
-        F.arrays_zip(F.when(F.col("c.exact"), F.array().cast("array<int>")).otherwise(places).alias("at"), F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
+        F.col("c.doc").alias("key"), "c.item", "c.shift", F.col("i.at").alias("at"), "n_windows", "c.way",
+        F.arrays_zip(F.when(F.col("c.way") == WORDS, F.array().cast("array<int>")).otherwise(places).alias("at"), F.col("i.slots").alias("was"), F.col("d.slots").alias("now")).alias("slots"),
     )
     aligned = pairs.groupBy("key", "item", "shift", "way").agg(F.max("n_windows").alias("of"), F.collect_set(F.struct("at", "slots")).alias("windows"))
     slots = F.array_distinct(F.flatten(F.col("windows.slots")))
