@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions import identity as I
-from shelfwise.functions.stock import buy_box, stock_of_html
+from shelfwise.functions.stock import checked_page, stock_of_html
 from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
 from shelfwise.sources import cards as C
@@ -55,13 +55,14 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CARDS = f"""{OFFERS}, {PRODUCTS}, v_src AS (SELECT o.product_id, (ord - 1) // {PAGE_CARDS} AS page, ord, price, stock, shop_id, name, CASE WHEN o.product_id % 2 = 1 THEN 'https://shop' || shop_id || '.example/p/item-' || (ord + 100000) ELSE url || '/' || ord END AS link FROM v_offers o JOIN v_products USING (product_id)),
- v_card AS (SELECT *, row_number() OVER (PARTITION BY product_id, page ORDER BY ord) - 1 AS place FROM v_src QUALIFY product_id % 2 = 0 OR count(*) OVER (PARTITION BY product_id, page) >= 3),
- v_read AS (SELECT *, CASE stock WHEN 'in_stock' THEN 'in_stock' ELSE 'out_of_stock' END AS seen, CASE stock WHEN 'in_stock' THEN 'add-to-cart' WHEN 'out_of_stock' THEN 'page' ELSE 'no-add-to-cart' END AS evidence,
-  CASE WHEN stock <> 'in_stock' THEN 'out of stock' WHEN price <= 0 THEN 'no price' WHEN {I.product_type_sql('name')} NOT IN ('filament', 'other') THEN 'other kind' END AS reason FROM v_card)"""
+ v_card AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY product_id, page) AS n_cards, bool_or(stock = 'in_stock') OVER (PARTITION BY product_id, page) AS with_cart FROM v_src WINDOW w AS (PARTITION BY product_id, page ORDER BY ord) QUALIFY product_id % 2 = 0 OR count(*) OVER (PARTITION BY product_id, page) >= 3),
+ v_said AS (SELECT *, CASE stock WHEN 'in_stock' THEN 'add-to-cart' WHEN 'out_of_stock' THEN 'page' ELSE CASE WHEN n_cards > 1 AND NOT with_cart THEN 'product-page-required' ELSE 'no-add-to-cart' END END AS evidence FROM v_card),
+ v_read AS (SELECT *, CASE evidence WHEN 'add-to-cart' THEN 'in_stock' WHEN 'product-page-required' THEN 'unknown' ELSE 'out_of_stock' END AS seen,
+  CASE WHEN seen = 'unknown' THEN 'stock unknown' WHEN seen <> 'in_stock' THEN 'out of stock' WHEN price <= 0 THEN 'no price' WHEN {I.product_type_sql('name')} NOT IN ('filament', 'other') THEN 'other kind' END AS reason FROM v_said)"""
 
 
 def _read(spark, sf_dir) -> DataFrame:
-    return H.listing_cards(C.cards_of(list_pages(spark, sf_dir)).drop("html"), "filament")
+    return H.listing_cards(C.cards_of(list_pages(spark, sf_dir)).drop("html"), "filament", ["product_id", "page"])
 
 
 @query(f"WITH {_CARDS} SELECT product_id, page, place, link AS url, name, CASE WHEN price > 0 THEN price END AS amount, seen AS stock, evidence, 'https://img.example/' || shop_id || '.jpg' AS image FROM v_read")
@@ -70,7 +71,7 @@ def html_cards(spark, sf_dir):
     return _read(spark, sf_dir).select("product_id", "page", F.col("place").cast("long").alias("place"), "url", "name", "amount", "stock", "evidence", "image")
 
 
-@query(f"WITH {_CARDS} SELECT CASE WHEN reason IS NULL THEN 'product' WHEN reason = 'other kind' THEN 'mismatch' ELSE 'rejected' END AS outcome, reason, count(*) AS n FROM v_read GROUP BY 1, 2")
+@query(f"WITH {_CARDS} SELECT CASE WHEN reason IS NULL THEN 'product' WHEN reason = 'other kind' THEN 'mismatch' WHEN reason = 'stock unknown' THEN 'open' ELSE 'rejected' END AS outcome, reason, count(*) AS n FROM v_read GROUP BY 1, 2")
 def harvest_split(spark, sf_dir):
     """A harvest's cards by what becomes of them."""
     return _read(spark, sf_dir).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -127,18 +128,82 @@ def image_pick(spark, sf_dir):
     return product_pages(spark, sf_dir).select("product_id", H.image_of(F.col("html")).alias("image"))
 
 
-@query(f"""WITH {PRODUCTS} SELECT product_id, (['in_stock', 'out_of_stock', 'in_stock', 'preorder'])[product_id % 4 + 1] AS status, (['add-to-cart', 'page', 'quantity', 'preorder-buy-box'])[product_id % 4 + 1] AS evidence,
- CASE WHEN product_id % 4 = 2 THEN 3 END AS quantity FROM v_products WHERE product_id % 9 IN (0, 1, 2, 3)""")
+_CART, _TEXT = "<button>Sepete Ekle</button>", "lorem ipsum " * 60
+#: html, badge, filtered, alone, cartless, and what must be read: every rule of stock_of_html once at least.
+STOCK_CASES = (
+    ("<p>Ön Sipariş</p>" + _CART, None, False, True, False, "preorder", "preorder-buy-box"),
+    ("<b>Tükendi</b>" + _CART, None, False, False, False, "unknown", "product-page-required"),
+    ("<b>Tükendi</b>", None, False, True, False, "out_of_stock", "page"),
+    ("<p>Stok miktarı: 0</p>", None, False, True, False, "out_of_stock", "page"),
+    ("<p>x</p>", "Stokta yok", False, True, False, "out_of_stock", "badge"),
+    ("<p>x</p>", "Dropshipping", False, True, False, "dropshipping", "badge"),
+    ("<p>1.000,00 TL</p>", None, False, False, True, "unknown", "product-page-required"),
+    ('<p>1.000,00 TL</p><a class="btn disabled" href="#">Sepete Ekle</a><input type="submit" disabled value="Sepete Ekle">', None, True, True, False, "out_of_stock", "no-add-to-cart"),
+    ("<p>x</p>", None, True, True, False, "in_stock", "retailer-stock-only-filter"),
+    ("<p>Stok Miktarı 5</p>", None, False, True, False, "in_stock", "stok-miktari"),
+    ("<p>Stok Durumu <b>Var</b></p>", None, False, True, False, "in_stock", "stok-durumu"),
+    ("<script>Tükendi</script>" + _CART, None, False, True, False, "in_stock", "add-to-cart"),
+    ("<p>x</p>", "Stokta", False, True, False, "in_stock", "badge"),
+    ("<p>x</p>", None, False, True, False, "unknown", "short-html"),
+    (f"<p>{_TEXT}</p>", None, False, True, False, "out_of_stock", "no-add-to-cart"),
+)
+_PAD = "<p>" + "lorem " * 400 + "</p>"
+#: HTTP status, html, rendered, and what must be read: every rule of checked_page.
+VISIT_CASES = (
+    (200, _CART + _PAD, False, "in_stock", "buy-box"),
+    (200, "<p>Ön sipariş, tükendi</p>" + _CART + _PAD, False, "preorder", "buy-box-preorder"),
+    (200, "<p>Tükendi</p>" + _CART + _PAD, False, "out_of_stock", "buy-box"),
+    (200, '<i data-x="btn_sepet_ekle"></i>' + _PAD, True, "in_stock", "rendered-buy-box"),
+    (200, '<script>{"availability": "https://schema.org/BackOrder"}</script>' + _PAD, False, "preorder", "structured"),
+    (200, '<link itemprop="availability" href="http://schema.org/OutOfStock">' + _PAD, False, "out_of_stock", "structured"),
+    (200, '<script>{"availability":"LimitedAvailability"}</script><p>Tükendi</p>' + _PAD, False, "in_stock", "structured"),
+    (200, "<p>Tükendi</p>" + _PAD, False, "out_of_stock", "page-no-cart"),
+    (200, "<p>Tükendi</p>" + _PAD, True, "out_of_stock", "rendered-out-of-stock"),
+    (200, "<nav>Ön sipariş</nav><footer>Tükendi</footer>" + _PAD, False, "unknown", "no-evidence"),
+    (200, "<p>Tükendi</p><p>Sepetim</p>" + _PAD, False, "unknown", "no-evidence"),
+    (200, "<p>1.000,00 TL</p><button disabled>Sepete Ekle</button>" + _PAD, True, "out_of_stock", "rendered-no-buy-control"),
+    (200, "<p>1.000,00 TL</p><button disabled>Sepete Ekle</button>" + _PAD, False, "unknown", "no-evidence"),
+    (200, '<p>Tükendi</p><script>{"availability":"InStock"}</script>' + _CART + _PAD, False, "unknown", "conflicting-signals"),
+    (200, _CART, False, "unknown", "short-page"),
+    (404, "", False, "out_of_stock", "http-404"),
+    (503, _PAD, False, "unknown", "http-503"),
+)
+
+
+def _case(cases, field: int, kind: str) -> Column:
+    """A field of the case that a product is given by its id."""
+    return F.element_at(F.array(*[F.lit(c[field]).cast(kind) for c in cases]), (F.col("product_id") % len(cases) + 1).cast("int"))
+
+
+def _case_sql(cases, field: int) -> str:
+    return f"([{', '.join(repr(c[field]) for c in cases)}])[product_id % {len(cases)} + 1]"
+
+
+@query(f"WITH {PRODUCTS} SELECT product_id, {_case_sql(STOCK_CASES, 5)} AS status, {_case_sql(STOCK_CASES, 6)} AS evidence, CASE product_id % {len(STOCK_CASES)} WHEN 3 THEN 0 WHEN 9 THEN 5 END AS quantity FROM v_products")
 def stock_html(spark, sf_dir):
-    """Stock by a page's HTML, with the evidence, of pages that print no price."""
-    pages = product_pages(spark, sf_dir).where("product_id % 9 in (0, 1, 2, 3)")
-    return pages.select("product_id", F.inline(F.array(stock_of_html(F.col("html"), F.lit(None).cast("string"), product_page=True)))).select("product_id", "status", "evidence", "quantity")
+    """Stock by a card's HTML, with the evidence: each way that a card may say it, on all products."""
+    f = lambda i, kind="boolean": _case(STOCK_CASES, i, kind)
+    html = F.concat(F.lit("<h3>"), "name", F.lit("</h3>"), f(0, "string"))
+    cards = products(spark, sf_dir).select("product_id", html.alias("html"), f(1, "string").alias("badge"), f(2).alias("filtered"), f(3).alias("alone"), f(4).alias("cartless"))
+    read = stock_of_html(F.col("html"), F.col("badge"), F.col("filtered"), F.col("alone"), F.col("cartless"))
+    return cards.select("product_id", F.inline(F.array(read))).select("product_id", "status", "evidence", "quantity")
 
 
-@query(f"WITH {PRODUCTS} SELECT product_id, (['in_stock', 'out_of_stock', 'unknown', 'preorder'])[product_id % 4 + 1] AS status FROM v_products")
+@query(f"WITH {PRODUCTS} SELECT product_id, {_case_sql(VISIT_CASES, 3)} AS status, {_case_sql(VISIT_CASES, 4)} AS method FROM v_products")
 def stock_page(spark, sf_dir):
-    """Stock by what lies about a page's cart button, then its text."""
-    return product_pages(spark, sf_dir).select("product_id", buy_box(F.col("html")).alias("status"))
+    """Stock by a visit of a product's page: HTTP status, buy box, declared availability, text; each way on all products."""
+    html = F.concat(F.lit("<html><h1>"), "name", F.lit("</h1>"), _case(VISIT_CASES, 1, "string"))
+    visits = products(spark, sf_dir).select("product_id", _case(VISIT_CASES, 0, "int").alias("http"), html.alias("html"), _case(VISIT_CASES, 2, "boolean").alias("rendered"))
+    return visits.select("product_id", F.inline(F.array(checked_page(F.col("http"), F.col("html"), F.col("rendered"))))).select("product_id", "status", "method")
+
+
+@query(f"""WITH {PRODUCTS} SELECT product_id, name, split_part(name, ' ', 1) AS brand, CASE product_id % 9 WHEN 6 THEN floor(list_price * 1.2 * 100 + 0.5) / 100 WHEN 7 THEN floor(list_price * 1.2 * 100 + 0.5) / 100 ELSE list_price END AS amount,
+ CASE WHEN product_id % 4 = 2 AND product_id % 9 >= 4 THEN 'out_of_stock' ELSE (['in_stock', 'out_of_stock', 'in_stock', 'preorder'])[product_id % 4 + 1] END AS stock, outcome FROM (SELECT *, CASE WHEN {I.product_type_sql('name')} NOT IN ('filament', 'other') THEN 'mismatch' ELSE 'product' END AS outcome FROM v_products)""")
+def page_reading(spark, sf_dir):
+    """Whole product pages read at once: the product again, or another kind than the list's. A page that prints a price and has no cart is sold out."""
+    pages = product_pages(spark, sf_dir).select("product_id", F.concat(F.lit("https://shop.example/x-"), _text("product_id")).alias("url"), "html")
+    read = H.read_product_page(pages, "filament")
+    return read.select("product_id", "name", "brand", "amount", "stock", "outcome")
 
 
 @query(f"WITH {PRODUCTS} SELECT product_id, true AS there, false AS other FROM v_products")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import clusters
 from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
+from shelfwise.sources import markup as H
 from shelfwise.sources import pages as G
 from shelfwise.streaming.events import latest
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, products, shops, table
@@ -282,5 +283,5 @@ def link_shapes(spark, sf_dir):
 
 @query(None)
 def product_page(spark, sf_dir):
-    """Name, image, price and stock that each page offers."""
-    return G.product_page(table(spark, sf_dir, "pages"))
+    """Name, brand, kind, image, price with its source, tax and stock with its evidence that each page offers."""
+    return H.read_product_page(table(spark, sf_dir, "pages"))

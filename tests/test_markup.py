@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions.stock import buy_box, stock_of_html
+from shelfwise.functions.stock import checked_page, stock_of_html
+from shelfwise.plans import markup as P
 from shelfwise.plans.markup import named
 from shelfwise.sources import cards as C
 from shelfwise.sources import markup as H
@@ -26,7 +27,7 @@ def test_cards_by_marks_and_by_links():
 
 
 def test_shapes():
-    cases = {"/p/k2-1001": "2|p", "https://x/p/k2-1001": "2|p", "/about": "", "/k-12": "", "/marka-123": "", "/d.aspx?id=12&b=x": "q|d.aspx?id", "javascript:x(123)": "", "": ""}
+    cases = {"/p/k2-1001": "p/*", "https://x/p/k2-1001": "p/*", "x-u126396": "*", "/about": "", "/k-12": "", "/marka-123": "", "fdm-yazicilar-ka434": "", "/d.aspx?id=12&b=x": "d.aspx?id", "javascript:x(123)": "", "": "", "p-12345": "*"}
     assert {h: C.shape_of(h) for h in cases} == cases
 
 
@@ -46,19 +47,46 @@ def test_prices_and_their_evidence(spark):
 
 
 def test_stock_of_html(spark):
-    cart, pad = "<button>Sepete Ekle</button>", "<p>" + "x " * 300 + "</p>"
-    cases = {
-        f"Ön Sipariş {cart}": ("preorder", "preorder-buy-box"), "Tükendi" + pad: ("out_of_stock", "page"), f"<p>10 TL</p>{cart}": ("in_stock", "add-to-cart"), "<p>10 TL</p><button disabled>Sepete Ekle</button>": ("out_of_stock", "no-add-to-cart"),
-        "Stok miktarı: 0": ("out_of_stock", "page"), "Stok miktarı 7": ("in_stock", "quantity"), "Stok durumu var" + pad: ("in_stock", "stock-text"), "short": ("unknown", "short-html"), pad: ("out_of_stock", "no-add-to-cart"), "<script>Tükendi</script>" + cart: ("in_stock", "add-to-cart"),
+    """The cases of the queries, and what they can't say."""
+    for cases, f in ((P.STOCK_CASES, lambda r: stock_of_html(F.col("html"), F.col("badge"), F.col("filtered"), F.col("alone"), F.col("cartless"))),):
+        rows = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, html string, badge string, filtered boolean, alone boolean, cartless boolean")
+        got = rows.select("i", F.inline(F.array(f(rows)))).orderBy("i").collect()
+        assert [(r.status, r.evidence) for r in got] == [c[5:7] for c in cases]
+        assert all(r.verified == (r.status != "unknown") for r in got)
+    visits = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(P.VISIT_CASES)], "i int, http int, html string, rendered boolean")
+    got = visits.select("i", F.inline(F.array(checked_page(F.col("http"), F.col("html"), F.col("rendered"))))).orderBy("i").collect()
+    assert [(r.status, r.method) for r in got] == [c[3:5] for c in P.VISIT_CASES]
+    odd = one(spark, [None, "", "<p>Ön sipariş</p>", "<p>Tükenmiş</p>" + "x" * 500, "<button aria-disabled='true'>Sepete Ekle</button>5 TL", "Tükendi, stoktan teslim <button>Add to cart</button>"], lambda c: stock_of_html(c, F.lit(None).cast("string")))
+    assert [r.evidence for r in odd] == ["short-html", "short-html", "short-html", "no-add-to-cart", "no-add-to-cart", "stok-durumu"]
+    far = "x " * 600
+    assert one(spark, [f"<p>Tükendi</p>{far}<button>Sepete Ekle</button>{far}", f"{far}<p>Tükendi <button>Sepete Ekle</button></p>{far}"], lambda c: checked_page(F.lit(200), c).status) == ["in_stock", "out_of_stock"]
+
+
+def test_lists_of_several_cards(spark):
+    """Contradictory cards and lists without carts are left to the product's page; copies of a link and shared pictures go."""
+    card = lambda n, more, img="a": f'<div class="product-item"><a href="https://s.example/p/x-{n}">l</a><h3>Filament {n}</h3><img src="/{img}.jpg"><b class="price">{n},00 TL</b>{more}</div>'
+    cart, gone = "<button>Sepete Ekle</button>", "<i>Tükendi</i>"
+    pages = [(1, card(1001, cart) + card(1002, cart + gone, "b") + card(1001, cart) + card(1003, "", "c") + card(1004, cart, "b")), (2, card(1005, "") + card(1006, "")), (3, card(1007, cart + gone)), (4, card(1008, "")), (5, "")]
+    got = H.listing_cards(C.cards_of(spark.createDataFrame(pages, "page int, html string")).drop("html"), "filament", ["page"]).collect()
+    assert {(r.page, r.url[-4:]): (r.outcome, r.evidence) for r in got} == {
+        (1, "1001"): ("product", "add-to-cart"), (1, "1002"): ("open", "product-page-required"), (1, "1003"): ("rejected", "no-add-to-cart"), (1, "1004"): ("product", "add-to-cart"),
+        (2, "1005"): ("open", "product-page-required"), (2, "1006"): ("open", "product-page-required"), (3, "1007"): ("rejected", "page"), (4, "1008"): ("rejected", "no-add-to-cart"),
     }
-    got = one(spark, list(cases), lambda c: stock_of_html(c, F.lit(None).cast("string"), product_page=True))
-    assert [(r.status, r.evidence) for r in got] == list(cases.values())
-    card = one(spark, ["<p>10 TL</p>", f"Tükendi {cart}"], lambda c: stock_of_html(c, F.lit("")))
-    assert {(r.status, r.evidence, r.verified) for r in card} == {("unknown", "product-page-required", False)}
-    badge = one(spark, ["Tükendi", "dropshipping", "stokta"], lambda c: stock_of_html(F.lit("x"), c))
-    assert [r.status for r in badge] == ["out_of_stock", "dropshipping", "in_stock"]
-    long = "y " * 1500
-    assert one(spark, [f"{cart}{long}", f"{cart} tükendi {long}", f"{long}<b itemprop='schema.org/OutOfStock'>", "short", None], buy_box) == ["in_stock", "unknown", "out_of_stock", "unknown", "unknown"]
+    assert len(got) == 8 and {r.url[-4:]: r.image for r in got if r.page == 1} == {"1001": "/a.jpg", "1002": None, "1003": "/c.jpg", "1004": None}
+
+
+def test_whole_product_pages(spark):
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"Creality K2 Plus - STOKTAN","brand":{"name":"Creality"},"image":"/k2.jpg","offers":{"price":100.5,"priceCurrency":"TRY","availability":"InStock"}}</script>'
+    cart = "<button>Sepete Ekle</button>"
+    pages = [
+        (1, "https://shop.example/k2-plus-1001", ld + cart), (2, "https://shop.example/bambu-lab-a1-1002.html", '<meta property="og:title" content="Shop"><div class="brand">Bambu Lab</div><p>500,00 TL KDV dahil</p>' + cart),
+        (3, "https://shop.example/x", "<h1>Anet A8</h1>"), (4, "https://shop.example/e", '<meta property="og:title" content="Esun PLA Filament"><p>300,00 TL</p>' + cart), (5, "https://shop.example/", None),
+    ]
+    got = {r.id: r for r in H.read_product_page(spark.createDataFrame(pages, "id int, url string, html string"), "printer").collect()}
+    assert (got[1].name, got[1].brand, got[1].amount, got[1].price_source, got[1].image, got[1].stock) == ("Creality K2 Plus", "Creality", 100.5, "json-ld", "/k2.jpg", "in_stock")
+    assert (got[2].name, got[2].brand, got[2].amount, got[2].vat, got[2].price_source) == ("Bambu Lab A1", "Bambu Lab", 500.0, "included", "vat-included-price")
+    assert (got[3].outcome, got[3].reason) == ("incomplete", "no believable price") and got[3].name == "Anet A8"
+    assert (got[4].outcome, got[4].kind) == ("mismatch", "filament") and (got[5].outcome, got[5].name, got[5].stock) == ("incomplete", None, "unknown")
 
 
 def test_pictures_and_links(spark):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import clusters
+from shelfwise.sources import markup as H
 from shelfwise.sources import pages as G
 from shelfwise.sources import sinks as S
 
@@ -49,9 +50,9 @@ def test_pages(spark):
     html = """<html><head><title> Shop &amp; more </title><meta content="K2 Plus" property="og:title"><meta property='og:image' content='https://x/k2.jpg'>
     <script type="application/ld+json">{"a": 1}</script></head><body><h1>Head</h1><a href="/p/k2/1">a</a><a href='/p/kx/2'>b</a><a href="/p/abc/3">c</a><a href="/about">d</a> 58.526,76 TL 46.236,14 TL Sepete Ekle</body></html>"""
     df = spark.createDataFrame([(1, "https://x/p", html), (2, "https://x/q", None), (3, "https://x/r", "<p>no price</p><title>t</title>")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in G.product_page(df).collect()}
+    got = {r.page_id: r for r in H.read_product_page(df).collect()}
     assert (got[1].name, got[1].image, got[1].amount, got[1].stock, got[1].outcome) == ("K2 Plus", "https://x/k2.jpg", 46236.14, "in_stock", "product")
-    assert got[2].outcome == "rejected" and got[3].outcome == "incomplete"
+    assert got[2].outcome == "incomplete" and got[3].outcome == "incomplete"
     assert [r.n for r in G.link_shapes(df).collect()] == [3]
     urls = spark.createDataFrame([("https://a/x?page=3",), ("https://a/x",), ("https://a/cart/1",), ("https://a/p/{id}",), ("ftp://a/b",)], "u string")
     assert [r[0] for r in urls.select(G.next_page(F.col("u"))).collect()][:2] == ["https://a/x?page=4", "https://a/x?page=2"]
