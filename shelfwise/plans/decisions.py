@@ -15,7 +15,8 @@ from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
 from shelfwise.plans.titles import _M, _T, amounts, listings, titles
 from shelfwise.sources import pages as G
-from shelfwise.sources.dictionary import DICTIONARY, dictionary
+from shelfwise.operators import scans as N
+from shelfwise.sources.dictionary import ALIASES, DICTIONARY, dictionary
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, offers_with_shop, products, shops, table
 
 QUERIES, ORACLES, query = collection()
@@ -30,6 +31,26 @@ def _found(spark, sf_dir):
     return D.lookup(titles(spark, sf_dir), "title", dictionary(spark), "id")
 
 
+_NAMED = [(of, alias) for alias, role, _, of in ALIASES if role == "model"]
+#: A title for each part: a brand, two neighbours of the dictionary's models, the part's own name, and the second model again.
+_MADE = f"(SELECT p_partkey AS id, ([{', '.join(repr(b) for b, _ in _NAMED)}])[p_partkey * 7 % {len(_NAMED)} + 1] AS brand_id, ' ' || brand_id || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[p_partkey * 7 % {len(_NAMED)} + 1] || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[(p_partkey * 7 + 1) % {len(_NAMED)} + 1] || ' pro ' || p_name || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[(p_partkey * 7 + 1) % {len(_NAMED)} + 1] || ' ' AS hay FROM part)"
+
+
+@query(f"""WITH RECURSIVE {DICTIONARY}, t AS {_MADE}, s AS (SELECT id, brand_id, hay, 1000 AS size, '' AS alias, []::VARCHAR[] AS cores FROM t UNION ALL
+ SELECT s.id, s.brand_id, replace(s.hay, ' ' || d.alias || ' ', ' '), length(d.alias), d.alias, CASE WHEN list_contains(s.cores, d.id) THEN s.cores ELSE list_append(s.cores, d.id) END FROM s JOIN dict d ON d.role = 'model' AND d.brand_id = s.brand_id
+  AND (length(d.alias) < s.size OR (length(d.alias) = s.size AND d.alias > s.alias)) AND contains(s.hay, ' ' || d.alias || ' ') QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY length(d.alias) DESC, d.alias) = 1)
+ SELECT id, brand_id, array_to_string(arg_max(cores, (1000 - size, alias)), ',') AS cores FROM s GROUP BY 1, 2""")
+def model_cores(spark, sf_dir):
+    """Every model that a title names of its brand, the longest name first; what is found is taken out."""
+    n = len(_NAMED)
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at % n + 1).cast("int"))
+    at, aliases = F.col("p_partkey") * 7, [a for _, a in _NAMED]
+    brand = pick([b for b, _ in _NAMED], at)
+    title = F.concat_ws(" ", brand, pick(aliases, at), pick(aliases, at + 1), F.lit("pro"), "p_name", pick(aliases, at + 1))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), brand.alias("brand_id"), title.alias("title"))
+    return N.model_cores(rows, "id", "title", "brand_id", dictionary(spark)).withColumn("cores", F.array_join("cores", ","))
+
+
 @query(f"{_HIT} SELECT t.tid AS id, b.brand_id, m.model, f.feeder FROM t LEFT JOIN b USING (tid) LEFT JOIN m ON m.tid = t.tid AND m.brand_id = b.brand_id LEFT JOIN f ON f.tid = t.tid AND f.brand_id = b.brand_id")
 def brand_model_feeder(spark, sf_dir):
     return _found(spark, sf_dir).select("id", "brand_id", "model", "feeder")
