@@ -172,9 +172,9 @@ def ranked(pairs: DataFrame, left: DataFrame, right: DataFrame, most: int = 8) -
 
 
 def scorer_gate(score: Column, conflict: Column, merges: Column, threshold: float = 0.8, low: float = 0.1) -> Column:
-    """What a learned score may decide: a conflict is never overridden."""
+    """What a learned score of the best candidate may decide: a conflict is never overridden, it creates or waits."""
     return (
-        F.when(conflict, "create").when((score >= 0.95 * threshold) & merges, "merge").when(score >= threshold, "merge").when(score <= low, "create").otherwise("hold")
+        F.when(conflict, F.when(score <= low, "create").otherwise("hold")).when((score >= 0.95 * threshold) & merges, "merge").when(score >= threshold, "merge").when(score <= low, "create").otherwise("hold")
     )
 
 

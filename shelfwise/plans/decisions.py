@@ -16,6 +16,7 @@ from shelfwise.plans.base import collection
 from shelfwise.plans.titles import _M, _T, amounts, listings, titles
 from shelfwise.sources import pages as G
 from shelfwise.operators import scans as N
+from shelfwise.operators import scoring as S
 from shelfwise.sources.dictionary import ALIASES, DICTIONARY, dictionary
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, offers_with_shop, products, shops, table
 
@@ -32,6 +33,7 @@ def _found(spark, sf_dir):
 
 
 _NAMED = [(of, alias) for alias, role, _, of in ALIASES if role == "model"]
+_IDS = [id_ for _, role, id_, _ in ALIASES if role == "model"]
 #: A title for each part: a brand, two neighbours of the dictionary's models, the part's own name, and the second model again.
 _MADE = f"(SELECT p_partkey AS id, ([{', '.join(repr(b) for b, _ in _NAMED)}])[p_partkey * 7 % {len(_NAMED)} + 1] AS brand_id, ' ' || brand_id || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[p_partkey * 7 % {len(_NAMED)} + 1] || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[(p_partkey * 7 + 1) % {len(_NAMED)} + 1] || ' pro ' || p_name || ' ' || ([{', '.join(repr(a) for _, a in _NAMED)}])[(p_partkey * 7 + 1) % {len(_NAMED)} + 1] || ' ' AS hay FROM part)"
 
@@ -81,12 +83,43 @@ def rank_candidates(spark, sf_dir):
     return D.ranked(pairs, t, t)
 
 
+def training_pairs(spark, sf_dir):
+    """Labelled pairs of titles: each part is a model of the dictionary, bare or with its feeder, and says its own colour besides."""
+    n, at = len(_NAMED), F.col("p_partkey") * 7
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (at % n + 1).cast("int"))
+    brand, combo = pick([b for b, _ in _NAMED]), F.when(F.col("p_size") % 3 == 0, "Combo")
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), brand.alias("brand"), F.concat_ws(" ", brand, pick([a for _, a in _NAMED]), combo).alias("title"), F.concat_ws("/", brand, pick(_IDS), combo).alias("identity"), F.split("p_name", " ")[0].alias("color"),
+    )
+    return S.labelled(rows, "id", "title", "brand", "identity", F.col("color"))
+
+
+def _trained(spark, sf_dir):
+    pairs = training_pairs(spark, sf_dir)
+    return S.fit(pairs.where(~S.held_out(F.col("a"), F.col("b")))), pairs
+
+
+@query(None)
+def pair_scores(spark, sf_dir):
+    """The trained scorer on all labelled pairs that it did not learn from."""
+    model, pairs = _trained(spark, sf_dir)
+    return S.scored(pairs.where(S.held_out(F.col("a"), F.col("b"))), model).select("k", "label", "probability")
+
+
 @query(None)
 def scorer_gate(spark, sf_dir):
-    """What the title score as a learned score would decide on each listing's best candidate of its pool."""
+    """What the trained scorer decides on each listing's best candidate of its own brand: the likeliest without a conflict, else the likeliest."""
+    model, _ = _trained(spark, sf_dir)
     t, pairs = _pool(spark, sf_dir)
-    best = D.judged(pairs, t, t).groupBy("l_id").agg(F.max_by(F.struct("r_id", "score", "action", "reason"), F.struct((F.col("reason") != "conflict").cast("int"), "score", -F.col("r_id"))).alias("b"))
-    return best.select("l_id", "b.r_id", D.scorer_gate(F.col("b.score"), F.col("b.reason") == "conflict", F.col("b.action") == "merge").alias("act"))
+    names = dictionary(spark).where("role = 'brand'").select("alias", F.col("id").alias("known"))
+    sided = t.withColumn("alias", T.fold(F.coalesce("brand", F.lit("")))).join(F.broadcast(names), "alias", "left").withColumn("of", F.coalesce("known", "alias"))  # some 40 names
+    side = lambda p: sided.select(F.col("id").alias(f"{p}_id"), F.col("title").alias(f"{p}_title"), F.col("of").alias(f"{p}_of"))
+    own = D.judged(pairs, t, t).join(side("l"), "l_id").join(side("r"), "r_id").where("l_of = '' or l_of = r_of")
+    sure = S.scored(own.select("l_id", "r_id", "reason", "action", F.coalesce("l_title", F.lit("")).alias("a"), F.coalesce("r_title", F.lit("")).alias("b")), model)
+    free = F.col("reason") != "conflict"
+    best = sure.groupBy("l_id").agg(F.max_by(F.struct("r_id", "probability", "action", "reason"), F.struct(free.cast("int"), "probability", -F.col("r_id"))).alias("b"))
+    act = D.scorer_gate(F.col("b.probability"), F.col("b.reason") == "conflict", F.col("b.action") == "merge", S.THRESHOLD)
+    return best.select("l_id", "b.r_id", "b.probability", act.alias("act"))
 
 
 @query(None)
