@@ -2,37 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import fold
-from shelfwise.operators import clusters
+from shelfwise.operators.clusters import kept
 from shelfwise.operators.identity import blocked_pairs, judged
+from shelfwise.operators.leaders import first_independent
 from shelfwise.operators.offers import keep_one
 
 
-def place(listings: DataFrame, catalogue: DataFrame, offers: DataFrame, alike: float = 0.75) -> DataFrame:
-    """id, action and target of every listing.
+def place(listings: DataFrame, catalogue: DataFrame, offers: DataFrame) -> DataFrame:
+    """id, action and target of every listing, as if they were placed one by one in the order of their ids.
 
     listings: id, title, kind, brand, url; catalogue: id, title, kind, brand; offers:
-    product_id, url. A known url updates its product; else the best candidate merges or is
-    held; else the listing makes a new product or joins the earliest new one of the batch
-    that its title is like. Listings without a title are held.
+    product_id, url. A known url updates its product; else the best candidate merges the listing or
+    holds it for review; else it makes a new product, new-<id>, which is a candidate for all later listings by the
+    same whole decision. Best: merge before review, then score, then catalogue before new ones, then the
+    least id. Listings without a title are held.
+
+    A listing makes a product if no catalogue row and no earlier new product would merge or hold it:
+    those are found in rounds (operators.leaders). Copies (equal title, kind and brand) are decided as one: what the first
+    one makes, the others merge with.
     """
     owner = offers.groupBy("url").agg(F.min("product_id").alias("owner"))
-    known = listings.join(owner, "url", "left")
+    known = kept(listings.join(owner, "url", "left"))
     updated = known.where("owner is not null").select("id", F.lit("updated").alias("action"), F.col("owner").cast("string").alias("target"))
-    rest = known.where("owner is null").drop("owner")
-    named = rest.where(F.coalesce(fold(F.col("title")), F.lit("")) != "")
-    held = rest.where(F.coalesce(fold(F.col("title")), F.lit("")) == "").select("id", F.lit("held").alias("action"), F.lit(None).cast("string").alias("target"))
-    best = judged(blocked_pairs(named, catalogue), named, catalogue)
-    rank = F.when(F.col("action") == "merge", 0).when(F.col("action") == "review", 1).otherwise(2)
-    first = keep_one(best.where("action != 'create'").withColumn("r", rank), ["l_id"], [F.asc("r"), F.desc("score"), F.asc("r_id")])
-    chosen = first.select(F.col("l_id").alias("id"), F.when(F.col("action") == "merge", "merged").otherwise("held").alias("action"), F.col("r_id").cast("string").alias("target"))
-    new = named.join(chosen, "id", "left_anti").withColumn("b", fold(F.col("brand")))
-    leaders = clusters.lead(new.select("id", "title", F.coalesce("kind", F.lit("")).alias("kind"), "b"), ["kind", "b"], "id", "title", alike)
-    created = leaders.select("id", F.lit("created").alias("action"), F.concat(F.lit("new-"), F.col("leader").cast("string")).alias("target"))
-    return updated.unionByName(held).unionByName(chosen).unionByName(created)
+    rest = known.where("owner is null").select("id", "title", "kind", "brand")
+    blank = F.coalesce(fold(F.col("title")), F.lit("")) == ""
+    held = rest.where(blank).select("id", F.lit("held").alias("action"), F.lit(None).cast("string").alias("target"))
+    same = ["title", "kind", "brand"]
+    named = rest.where(~blank)
+    firsts = kept(named.groupBy(*same).agg(F.min("id").alias("id")))
+    offered = judged(blocked_pairs(firsts, catalogue), firsts, catalogue).where("action != 'create'").select("l_id", F.col("r_id").cast("string").alias("target"), F.lit(0).alias("new"), F.col("r_id").alias("at"), "action", "score")
+    offered = kept(offered)
+    among = blocked_pairs(firsts, firsts).where("l_id != r_id").select(F.greatest("l_id", "r_id").alias("l_id"), F.least("l_id", "r_id").alias("r_id")).distinct()
+    alike = kept(judged(among, firsts, firsts).where("action != 'create'").select("l_id", "r_id", "action", "score"))
+    free = firsts.join(offered.select(F.col("l_id").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("place"))
+    makers = kept(first_independent(free, alike.select(F.col("l_id").alias("x"), F.col("r_id").alias("y")).join(free.select(F.col("node").alias("x")), "x", "left_semi").join(free.select(F.col("node").alias("y")), "y", "left_semi")).where("leader = node").select("node"))
+    made = alike.join(makers.withColumnRenamed("node", "r_id"), "r_id").join(makers.withColumnRenamed("node", "l_id"), "l_id", "left_anti")
+    made = made.select("l_id", F.concat(F.lit("new-"), F.col("r_id").cast("string")).alias("target"), F.lit(1).alias("new"), F.col("r_id").alias("at"), "action", "score")
+    rank = F.when(F.col("action") == "merge", 0).otherwise(1)
+    best = keep_one(offered.unionByName(made).withColumn("r", rank), ["l_id"], [F.asc("r"), F.desc("score"), F.asc("new"), F.asc("at")])
+    chosen = best.select(F.col("l_id").alias("first"), F.when(F.col("action") == "merge", "merged").otherwise("held").alias("action"), "target")
+    new = makers.select(F.col("node").alias("first"), F.lit("created").alias("action"), F.concat(F.lit("new-"), F.col("node").cast("string")).alias("target"))
+    fate = chosen.unionByName(new)
+    copies = named.join(firsts.withColumnRenamed("id", "first").alias("f"), reduce(and_, [named[c].eqNullSafe(F.col(f"f.{c}")) for c in same])).select(named["id"], "first")
+    action = F.when((F.col("action") == "created") & (F.col("id") != F.col("first")), "merged").otherwise(F.col("action"))
+    return updated.unionByName(held).unionByName(copies.join(fate, "first").select("id", action.alias("action"), "target"))
 
 
 def summary(audit: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ from shelfwise.functions import money as M
 from shelfwise.functions import similarity as L
 from shelfwise.functions import text as T
 from shelfwise.operators import identity as D
+from shelfwise.operators import leaders, placement
 from shelfwise.operators import offers as O
+from shelfwise.operators import pictures as V
+from shelfwise.operators import scans as N
+from shelfwise.operators import scoring as S
 from shelfwise.plans.base import collection
 from shelfwise.plans.titles import _M, _T, amounts, listings, titles
 from shelfwise.sources import pages as G
-from shelfwise.operators import scans as N
-from shelfwise.operators import scoring as S
 from shelfwise.sources.dictionary import ALIASES, DICTIONARY, dictionary
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, offers_with_shop, products, shops, table
 
@@ -122,6 +124,22 @@ def scorer_gate(spark, sf_dir):
     return best.select("l_id", "b.r_id", "b.probability", act.alias("act"))
 
 
+@query(None)
+def price_leaders(spark, sf_dir):
+    """Every title's group by the whole decision, the cheapest first: its leader."""
+    t = titles(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price")), "id")
+    return leaders.led(t, F.col("price"))
+
+
+@query(None)
+def place_batch(spark, sf_dir):
+    """A batch of listings placed into a catalogue: what becomes of each, and where."""
+    t = titles(spark, sf_dir).withColumn("url", F.concat(F.lit("u"), (F.col("id") % 1000).cast("string")))
+    shelf = listings(spark, sf_dir).where("id % 4 = 0").select("id", "title", "kind", "brand")
+    known = shelf.where("id % 3 = 0").select(F.col("id").alias("product_id"), F.concat(F.lit("u"), (F.col("id") % 1000).cast("string")).alias("url"))
+    return placement.place(t.where("id % 4 != 0"), shelf, known)
+
+
 @query(None)
 def enforce(spark, sf_dir):
     """The best candidate as an answer: it counts if it was among the offered ones, sure enough, without conflict."""
@@ -341,6 +359,24 @@ def vision_top3(spark, sf_dir):
     return O.top_n(v, ["product_id"], [F.asc("d"), F.asc("candidate")], 3).select("product_id", "candidate", "d")
 
 
+_CHANGED = "list_transform(embedding, lambda v, i: CASE WHEN (i + vec_id) % 64 < vec_id % 9 THEN -v ELSE v END)"
+_COPY = 1 << 40
+_HASH_SQL = "list_transform({0}, lambda v: v > list_sort({0})[33])"
+
+
+@query(f"""WITH h AS (SELECT vec_id, {_HASH_SQL.format('embedding')} AS a, {_HASH_SQL.format(_CHANGED)} AS b FROM embeddings),
+ d AS (SELECT x.vec_id AS id, y.vec_id AS candidate, len(list_filter(list_zip(x.a, y.b), lambda z: z[1] <> z[2])) AS distance FROM h x CROSS JOIN h y)
+ SELECT id, candidate, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, candidate) AS rank FROM d WHERE distance <= 10) WHERE rank <= 3""")
+def picture_top3(spark, sf_dir):
+    """The three pictures nearest to each, at most ten bits away: each vector is a picture's 64 values, and its copy has up to eight values changed."""
+    e = table(spark, sf_dir, "embeddings")
+    odd = F.transform("embedding", lambda v, i: F.when((i + 1 + F.col("vec_id")) % 64 < F.col("vec_id") % 9, -v).otherwise(v))
+    left = e.select(F.col("vec_id").alias("id"), V.median_hash(F.col("embedding")).alias("hash"))
+    # a copy is another row than its picture, so it may be its candidate
+    right = e.select((F.col("vec_id") + _COPY).alias("id"), V.median_hash(odd).alias("hash"))
+    return V.near_pictures(left, right).select("id", (F.col("candidate") - _COPY).alias("candidate"), "distance", "rank")
+
+
 @query(f"SELECT id, {P.polymer_sql('title')} AS polymer, {P.subtype_sql('title')} AS subtype FROM {_T}")
 def filament_class(spark, sf_dir):
     return titles(spark, sf_dir).select("id", P.classify(F.col("title")).alias("c")).select("id", "c.polymer", "c.subtype")
