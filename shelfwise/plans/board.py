@@ -14,8 +14,10 @@ from shelfwise.operators import boards as B
 from shelfwise.operators import offers as O
 from shelfwise.operators import placement as P
 from shelfwise.plans.base import collection
+from shelfwise.plans.markup import VISIT_CASES
 from shelfwise.plans.serving import EVENTS, job_events
 from shelfwise.sources.views import OFFERS, PRODUCTS, SHOPS, offers, products, shops
+from shelfwise.streaming import recheck as R
 
 QUERIES, ORACLES, query = collection()
 
@@ -348,18 +350,18 @@ def consistency_diff(spark, sf_dir):
     return j.withColumn("diff", F.when(F.col("published").isNull(), "missing").when(F.col("working") == F.col("published"), "same").otherwise("price"))
 
 
-@query(f"""WITH {OFFERS}, a AS (SELECT product_id, url, ord, checked_at, stock, (epoch_ms(TIMESTAMP '2024-01-01 00:00:00') - epoch_ms(checked_at)) / 3600000.0 AS age FROM v_offers),
- q AS (SELECT * FROM a WHERE age >= 6 ORDER BY age DESC, url, ord LIMIT 200), r AS (SELECT url, max(CASE ord % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'out_of_stock' ELSE 'unknown' END) AS seen FROM q GROUP BY 1)
+@query(f"""WITH {OFFERS}, a AS MATERIALIZED (SELECT url, ord, stock, (epoch_ms(TIMESTAMP '2024-01-01 00:00:00') - epoch_ms(checked_at)) / 3600000.0 AS age FROM v_offers),
+ q AS MATERIALIZED (SELECT DISTINCT url FROM (SELECT url FROM a WHERE age >= 6 ORDER BY age DESC, url, ord LIMIT 200)),
+ v AS MATERIALIZED (SELECT url, max(ord) % {len(VISIT_CASES)} + 1 AS c FROM a GROUP BY 1), r AS MATERIALIZED (SELECT url, ([{', '.join(repr(c[3]) for c in VISIT_CASES)}])[c] AS seen FROM v JOIN q USING (url))
  SELECT a.url, a.ord, CASE WHEN seen IS NULL OR seen = 'unknown' THEN stock ELSE seen END AS stock, seen IS NOT NULL AS checked FROM a LEFT JOIN r USING (url)""")
 def restale_batch(spark, sf_dir):
-    """A re-check of the stalest offers (a queue of 200, the feature's limit) put back on all offers of their addresses."""
-    o = offers(spark, sf_dir)
-    age = (F.unix_millis(F.to_timestamp(F.lit("2024-01-01 00:00:00"))) - F.unix_millis(F.col("checked_at").cast("timestamp"))) / 3600000.0
-    queue = o.withColumn("age", age).where("age >= 6").orderBy(F.desc("age"), "url", "ord").limit(200)
-    seen = F.when(F.col("ord") % 3 == 0, "in_stock").when(F.col("ord") % 3 == 1, "out_of_stock").otherwise("unknown")
-    found = queue.groupBy("url").agg(F.max(seen).alias("seen"))
-    known = F.when(F.col("seen").isNull() | (F.col("seen") == "unknown"), F.col("stock")).otherwise(F.col("seen"))
-    return o.join(found, "url", "left").select("url", "ord", known.alias("stock"), F.col("seen").isNotNull().alias("checked"))
+    """A re-check of the stalest offers (a queue of 200, the feature's limit): visits of their addresses, as landed, are read and put back on all offers of the addresses."""
+    o = offers(spark, sf_dir).select("url", "ord", "stock", "checked_at")
+    now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    queue = R.stale_first(o, "checked_at", now, 6, 200).select("url").distinct().withColumn("at", now)
+    case = lambda i, kind: F.element_at(F.array(*[F.lit(c[i]).cast(kind) for c in VISIT_CASES]), (F.col("n") % len(VISIT_CASES) + 1).cast("int"))
+    visits = o.groupBy("url").agg(F.max("ord").alias("n")).select("url", case(0, "int").alias("http"), case(1, "string").alias("html"), case(2, "boolean").alias("rendered"))
+    return R.refreshed(o, R.answers(queue, visits)).select("url", "ord", "stock", "checked")
 
 
 @query(f"""WITH {PRODUCTS}, c AS (SELECT DISTINCT brand, variant, kind FROM v_products WHERE product_id % 3 = 0), t AS (SELECT brand, variant, list_sort(list(DISTINCT color)) AS names FROM v_products WHERE product_id % 3 <> 0 GROUP BY 1, 2)

@@ -10,8 +10,9 @@ from shelfwise.operators import offers as O
 from shelfwise.plans.base import collection
 from shelfwise.sources import markup as H
 from shelfwise.sources import pages as G
-from shelfwise.streaming.events import latest
 from shelfwise.sources.views import OFFERS, OFFERS_WITH_SHOP, PRODUCTS, SHOPS, offers, products, shops, table
+from shelfwise.streaming import jobs as Q
+from shelfwise.streaming.events import latest
 
 QUERIES, ORACLES, query = collection()
 
@@ -51,6 +52,29 @@ def stale_guard(spark, sf_dir):
     return e.where("done is null or ord <= done").groupBy("job_id").agg(F.count(F.lit(1)).alias("accepted"))
 
 
+def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a worker's queues: eight queues, a job for each user, what happens by the number of the event."""
+    e, n = job_events(spark, sf_dir), F.col("ord") % 12
+    kind = F.when(n == 0, "submit").when(n.isin(1, 7), "poll").when(n == 10, F.when(F.col("job_id") % 3 == 0, "fail").otherwise("complete")).when((n == 11) & (F.col("job_id") % 7 == 0), "abort").otherwise("progress")
+    job = F.when(kind != "poll", F.col("job_id"))
+    return e.select(
+        F.concat(F.lit("q"), (F.col("job_id") % 8).cast("string")).alias("queue"), "ord", "at", kind.alias("kind"), job.alias("job_id"), F.when(kind == "progress", F.col("url")).alias("url"),
+        F.when(F.col("ord") % 2 == 0, F.concat(F.lit("n"), F.col("ord").cast("string"))).alias("name"), F.lit(None).cast("string").alias("image"), "price", F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query(None)
+def queue_jobs(spark, sf_dir):
+    """Status, events and cards of every job of the queues, one job at a time in each, folded with state."""
+    return Q.latest_status(Q.queue_changes(queue_events(spark, sf_dir)))
+
+
+@query(None)
+def queue_cards(spark, sf_dir):
+    """Every card of the queues' jobs as it stands at the end."""
+    return Q.queue_cards(queue_events(spark, sf_dir)).select("queue", "job_id", "url", "name", "image", "price")
+
+
 @query(f"WITH {EVENTS} SELECT job_id, ord, type FROM v_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ord DESC) <= 20")
 def event_tail(spark, sf_dir):
     return O.top_n(job_events(spark, sf_dir), ["job_id"], [F.desc("ord")], 20).select("job_id", "ord", "type")
