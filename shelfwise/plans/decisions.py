@@ -11,7 +11,7 @@ from shelfwise.functions import money as M
 from shelfwise.functions import similarity as L
 from shelfwise.functions import text as T
 from shelfwise.operators import identity as D
-from shelfwise.operators import leaders, placement
+from shelfwise.operators import leaders, placement, whole
 from shelfwise.operators import offers as O
 from shelfwise.operators import pictures as V
 from shelfwise.operators import scans as N
@@ -66,6 +66,27 @@ def identity_id(spark, sf_dir):
     return _found(spark, sf_dir).select("id", D.identity_id(F.col("title"), F.col("brand_id"), F.col("model"), F.col("feeder")).alias("identity"))
 
 
+def _whole(spark, sf_dir):
+    t = listings(spark, sf_dir).select("id", F.col("title").alias("name"), "kind", "brand")
+    return whole.with_identity(t, dictionary(spark))
+
+
+@query(None)
+def whole_identity(spark, sf_dir):
+    """Every axis of every different title, and its stable id."""
+    return _whole(spark, sf_dir).select("id", "identity", "axes.*").withColumn("model_cores", F.array_join("model_cores", ","))
+
+
+@query(None)
+def whole_conflicts(spark, sf_dir):
+    """On what the pairs that may be one product differ, and what only one of them says."""
+    _, pairs = _pool(spark, sf_dir)
+    side = _whole(spark, sf_dir).select("id", "axes")
+    both = pairs.join(side.select(F.col("id").alias("l_id"), F.col("axes").alias("x")), "l_id").join(side.select(F.col("id").alias("r_id"), F.col("axes").alias("y")), "r_id")
+    said = lambda c: F.array_join(c, ",")
+    return both.select("l_id", "r_id", said(whole.all_conflicts(F.col("x"), F.col("y"))).alias("conflicts"), said(whole.all_gaps(F.col("x"), F.col("y"))).alias("gaps"))
+
+
 def _pool(spark, sf_dir):
     t = listings(spark, sf_dir)
     return t, D.blocked_pairs(t, t).where("l_id != r_id")
