@@ -6,12 +6,8 @@ way of markup for each few products; what is read back from them must be the cat
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwise.functions import identity as I
 from shelfwise.functions.stock import checked_page, stock_of_html
@@ -20,6 +16,8 @@ from shelfwise.plans.base import collection
 from shelfwise.sources import cards as C
 from shelfwise.sources import markup as H
 from shelfwise.sources import pages as G
+from shelfwise.sources import paging
+from shelfwise.sources import walks as K
 from shelfwise.sources.views import OFFERS, PRODUCTS, offers, products, table
 
 QUERIES, ORACLES, query = collection()
@@ -231,28 +229,15 @@ def list_links(spark, sf_dir):
     return made.select("product_id", H.stock_filter_link(F.col("html")).alias("stock_link"), F.size(H.next_pages(F.lit("https://s.example/list?page=2"), F.col("html"), F.lit(2))).alias("pages"))
 
 
-def named(text: str | None) -> list[dict]:
-    """Every object of a JSON text that has a name or a title, however deep."""
-    try:
-        todo = [json.loads(text or "null")]
-    except ValueError:
-        return []
-    out = []
-    while todo:
-        node = todo.pop()
-        if isinstance(node, dict):
-            name = node.get("name") or node.get("title")
-            if isinstance(name, str) and name.strip():
-                out.append({"name": name.strip(), "url": node["url"] if isinstance(node.get("url"), str) else None})
-            todo += node.values()
-        elif isinstance(node, list):
-            todo += node
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("name", "string").add("url", "string")))
-def _named(text: pd.Series) -> pd.Series:
-    return text.map(named)
+@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS u, page_id % 6 AS w FROM pages)
+ SELECT page_id, CASE w WHEN 0 THEN u || '?page=3' WHEN 1 THEN u || '/page/3/' WHEN 2 THEN u || '?sort=a&sayfa=3' WHEN 3 THEN u || '?pg=48' WHEN 4 THEN u || '/3' END AS third FROM p""")
+def page_patterns(spark, sf_dir):
+    """The third page of lists, whose first two pages number themselves in five ways, or not at all."""
+    u, w = F.split("url", "[?#]")[0], F.col("page_id") % 6
+    ways = [("", "?page=2"), ("/", "/page/2/"), ("?sort=a", "?sort=a&sayfa=2"), ("?pg=0", "?pg=24"), ("", "/2"), ("?id=1", "?id=2")]
+    pick = lambda k: F.concat(u, F.element_at(F.array(*[F.lit(x[k]) for x in ways]), (w + 1).cast("int")))
+    lists = table(spark, sf_dir, "pages").select("page_id", pick(0).alias("first"), pick(1).alias("second"))
+    return lists.select("page_id", paging.page_at(paging.pattern(F.col("first"), F.col("second")), F.lit(3), F.col("first")).alias("third"))
 
 
 @query(f"""WITH {PRODUCTS}, n AS (SELECT brand AS shop, name, 'https://s.example/' || product_id AS url FROM v_products UNION ALL SELECT brand, color, NULL FROM v_products)
@@ -261,8 +246,8 @@ def schema_free_walk(spark, sf_dir):
     """Listings out of nested JSON of any shape: objects with a name or a title, once for each address, else for each title of a shop."""
     inner = F.struct(F.col("color").alias("title"), F.col("list_price").alias("price"))
     doc = F.to_json(F.struct(F.struct(F.array(F.struct("name", F.concat(F.lit("https://s.example/"), _text("product_id")).alias("url"), F.struct(F.array(inner).alias("more")).alias("rest"))).alias("items")).alias("data")))
-    rows = products(spark, sf_dir).select(F.col("brand").alias("shop"), F.explode(_named(doc)).alias("n"))
-    return rows.groupBy("shop", F.coalesce("n.url", F.concat(F.lit("title:"), F.lower("n.name"))).alias("key")).agg(F.min("n.name").alias("name"))
+    rows = K.named_objects(products(spark, sf_dir).select(F.col("brand").alias("shop"), doc.alias("doc")), "shop", "doc")
+    return rows.groupBy("shop", F.coalesce("url", F.concat(F.lit("title:"), F.lower("name"))).alias("key")).agg(F.min("name").alias("name"))
 
 
 @query(f"WITH {OFFERS} SELECT product_id, ord, price FROM v_offers WHERE price > 0 AND stock <> 'out_of_stock' QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, ord) <= 3 ORDER BY price, product_id, ord LIMIT 12")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.stock import checked_page, stock_of_html
 from shelfwise.plans import markup as P
-from shelfwise.plans.markup import named
 from shelfwise.sources import cards as C
 from shelfwise.sources import markup as H
 from shelfwise.sources import sinks as S
@@ -101,11 +100,6 @@ def test_pictures_and_links(spark):
     assert [len(p) for p in pages] == [2, 3, 1, 0] and pages[0][0] == "https://s/l?page=3" and pages[2] == ["/n"]
 
 
-def test_json_of_any_shape():
-    assert named('{"a":[{"title":" T ","x":{"name":"N","url":"u"}}],"name":3}') == [{"name": "T", "url": None}, {"name": "N", "url": "u"}]
-    assert named("{broken") == [] and named(None) == []
-
-
 def test_restore_keeps_what_was_current(spark, tmp_path):
     root = str(tmp_path / "c")
     S.snapshot(spark.range(3), root, "one")
