@@ -11,7 +11,7 @@ from shelfwise.functions import money as M
 from shelfwise.functions import similarity as L
 from shelfwise.functions import text as T
 from shelfwise.operators import identity as D
-from shelfwise.operators import leaders, placement, whole
+from shelfwise.operators import duplicates, leaders, placement, whole
 from shelfwise.operators import offers as O
 from shelfwise.operators import pictures as V
 from shelfwise.operators import scans as N
@@ -145,6 +145,23 @@ def scorer_gate(spark, sf_dir):
     return best.select("l_id", "b.r_id", "b.probability", act.alias("act"))
 
 
+def _duplicates(spark, sf_dir):
+    rows = titles(spark, sf_dir).groupBy(F.col("title").alias("name"), "kind", "brand").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("offers"))
+    return duplicates.duplicate_groups(rows, dictionary(spark))
+
+
+@query(None)
+def duplicate_groups(spark, sf_dir):
+    """Different titles that are one product by links without conflict, and the one that stays of each group."""
+    return _duplicates(spark, sf_dir)[0].select("id", "keeper", "rows", "exact")
+
+
+@query(None)
+def duplicate_blocked(spark, sf_dir):
+    """Near titles that conflict and stay apart, with what they differ on."""
+    return _duplicates(spark, sf_dir)[1].select("a", "b", F.array_join("conflicts", ",").alias("conflicts"))
+
+
 @query(None)
 def price_leaders(spark, sf_dir):
     """Every title's group by the whole decision, the cheapest first: its leader."""
