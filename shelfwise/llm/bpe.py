@@ -19,7 +19,8 @@ with a special token through the tokenizers library itself; both give the same i
 
 The memory for chunks is bounded (CACHE_BYTES in each worker, dropped whole when full),
 which changes how often a chunk is encoded, never its ids. Nulls are empty texts; an
-empty text has no ids. Repeated rows and equal texts have equal values. An empty table
+empty text has no ids. Repeated rows and equal texts have equal values. A very long text is encoded chunk by
+chunk, one without sync points as a whole. An empty table
 gives no rows. Only the key and the text are read.
 """
 

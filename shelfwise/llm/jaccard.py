@@ -24,7 +24,8 @@ no link between different components is lost.
 
 Nulls: null and empty texts have an empty set and link with nothing. A null id is never
 the smallest. Repeated rows and equal sets are in one component. Texts of fewer words than
-five are one run. An empty table gives no rows. Only the id and the text are read.
+five are one run. A very long text is one set in one row, made a block at a time. Ties (equal ids,
+equal counts) change which pairs are verified first and never a component. An empty table gives no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations

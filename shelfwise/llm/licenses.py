@@ -16,7 +16,7 @@ an anchor, and the windows from 2n + 4 words before it to n behind it include th
 on the match.
 
 Nulls: null and empty texts match nothing. Templates of fewer words than SHINGLE are
-refused. A text that names a template twice has one row for it, the best. Rows that repeat
+refused. A text that names a template twice has one row for it, the best, of equal ones the first. Rows that repeat
 an id are taken as one document. An empty table gives no rows. Only the id and the text
 are read. Very long texts are cut like others: a text's places are exploded first, and each
 window is cut out of its runs after, so there is one window in memory at a time.

@@ -9,7 +9,8 @@ sound; each peak is paired with the next FAN peaks in time. A pair is stored as
 (first bin, second bin, frames between) in one integer with the frame of its first peak:
 two arrays of equal length, in time order.
 
-Null and empty texts have 192 bytes of payload. Equal texts have equal values. A payload
+Null and empty texts have 192 bytes of payload. Equal texts have equal values; repeated rows are
+each returned. Of equally strong bins of a band the lowest is the peak. A payload
 shorter than a frame is one frame filled up with silence. Spectra are made a block of
 frames at a time, so a long text needs memory only for its samples and its peaks. An
 empty table gives no rows. The key and the text are the only columns that are read.

@@ -12,7 +12,8 @@ that are not held out; of labels that differ the greater, of an id's texts one.
 scored whole. Null and empty texts have
 no features and score as the bias alone. A row without an id counts as held out. Repeated
 rows get equal scores. Without labels every score is 0.5. An empty table gives no rows.
-Only the id and the text are read for a score.
+A very long text is a block of its own. A score of exactly the threshold counts as good. Only the id and the text are
+read for a score.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ A scan that fails before its rows are committed leaves the ledger as it was, and
 does the work again; rows that two scans wrote at once are the same and count once.
 
 Nulls: a null text is an empty one; a null path is a path. Repeated rows share a blob and
-are each returned. An empty table gives no rows. Only the path and text columns are read,
+are each returned. Very long texts and very many matches take time in proportion. Ties in a span's start go by
+kind, as listed. An empty table gives no rows. Only the path and text columns are read,
 so other columns may have any names.
 """
 

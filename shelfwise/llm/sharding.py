@@ -11,7 +11,8 @@ checksum) where bucket is a hash of the other three. Equal rows are counted befo
 shuffle and numbered as a range, so no key can make a task large.
 
 Nulls: a null text has size 1 and the checksum of no bytes; a null key is a key of its
-own. Repeated rows get different numbers of one range. An empty table gives no rows.
+own. Repeated rows get different numbers of one range; which of them is which does not show.
+Of very long texts only size and checksum travel. Ties in the order are equal rows. An empty table gives no rows.
 Columns other than the key and the text are ignored, whatever their names.
 """
 

@@ -11,7 +11,8 @@ The model is fitted on a bounded sample of labelled ids (sample_rows, those with
 least hash; of labels that differ the greater, of an id's texts one); every text is scored whole. Null and empty texts have no features
 and get the thresholds' own chances. Rows without an id are scored and never learned
 from; repeated rows get equal scores. Without labels every weight is zero
-and no text is toxic. An empty table
+and no text is toxic. A very long text is
+a block of its own; a chance of exactly one half counts as toxic. An empty table
 gives no rows. Only the id and the text are read.
 """
 

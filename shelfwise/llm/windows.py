@@ -16,7 +16,8 @@ text with very many copies sends its bucket about a row for each task, not for e
 Ids are integers. Null ids come after all others and are not smaller than one another; rows
 with the same id are one document for the comparison (neither removes the other's words)
 and are each returned. Null and empty texts have no words. An empty table gives no rows.
-Only the id and the text are read.
+Very long texts are cut into windows a block at a time, and their kept words joined in one row. Only the id and the text
+are read.
 """
 
 from __future__ import annotations
