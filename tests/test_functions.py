@@ -103,3 +103,22 @@ def test_decisions(spark):
     both = df.select("a", "b", "want", I.features(F.col("a"), F.col("ak"), F.col("brand")).alias("x"), I.features(F.col("b"), F.col("bk"), F.col("brand")).alias("y"))
     for r in I.decided(both, "x", "y").collect():
         assert r.action == r.want, r
+
+
+def test_money_tokens_in_blocks(spark):
+    """Places do not depend on how many matches are placed at once, and many take time in proportion."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    parts = ["12", " ", "1.234,50", "TL", "$", "€", "x", "%", "  ", "ı", "İ", "taksit", "3,5", "\n", "USD", "9", "."]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))),) for _ in range(300)], "t string")
+    both = df.select("t", M.raw_tokens(F.col("t"), 2).alias("a"), M.raw_tokens(F.col("t")).alias("b"))
+    assert both.where("a is distinct from b").count() == 0
+    for r in both.collect():
+        for t in r.b:
+            assert r.t[: t.end].endswith(t.raw) and t.number in r.t[t.start : t.end] and r.t[: t.start].endswith(t.before) and len(t.before) == min(3, t.start)
+            assert r.t[r.t.index(t.number, t.start) + len(t.number) :].startswith(t.after)
+    long = spark.createDataFrame([(" ".join(f"{i},50 TL x" for i in range(20_000)),)], "t string")
+    began = time.time()
+    assert long.select(F.size(M.money_tokens(F.col("t")))).first()[0] == 20_000 and time.time() - began < 60
