@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -137,7 +138,9 @@ class Vocabulary:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         buf, start, end = word_parts(words)
         lanes = lanes_of(buf)
-        _, of, which = np.unique(span_hashes(buf, start, end, lanes), return_index=True, return_inverse=True)
+        which, names = pd.factorize(span_hashes(buf, start, end, lanes))
+        of = np.empty(len(names), np.int64)
+        of[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the first part with each hash
         raw = buf.tobytes()
         different = [raw[a:b] for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)]
         if len(self.place) > CACHE_WORDS:
