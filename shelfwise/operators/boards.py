@@ -41,6 +41,19 @@ def item_for(rows: DataFrame, board: DataFrame, keys: list[list[str]]) -> DataFr
     return rows.withColumn("item", F.coalesce("kept", *[f"only{i}" for i in range(len(keys))]))
 
 
+def sole_links(rows: DataFrame, board: DataFrame, keys: list[str]) -> DataFrame:
+    """id and renamed (1) of board items that have their keys alone and meet one row, which meets no other item.
+
+    Both sides are counted by their keys before they meet, so many rows of one name are never paired. A row (product_id)
+    that comes more than once meets an item each time.
+    """
+    named = lambda d: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    item = board.where(named(board)).groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("id"))
+    links = rows.where(named(rows)).groupBy("product_id", *keys).agg(F.count(F.lit(1)).alias("times")).join(item, keys)
+    sole = links.groupBy("product_id").agg(F.sum(F.col("times") * F.col("items")).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return sole.groupBy("id").agg(F.count(F.lit(1)).alias("renamed")).where("renamed = 1")
+
+
 def confirm(queue: DataFrame, confirmed: DataFrame, board: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The queue without confirmed rows, and those of them that the board does not have yet."""
     added = queue.join(confirmed, "product_id", "left_semi").join(board.select(*keys).distinct(), keys, "left_anti")
