@@ -63,12 +63,16 @@ def summary(audit: DataFrame) -> DataFrame:
 def union_offers(live: DataFrame, candidate: DataFrame) -> DataFrame:
     """live offers and those of candidate whose url live lacks; a candidate's product is the
     live one with its id, else the one that has any of its urls, else its own."""
-    by_url = live.groupBy("url").agg(F.min("product_id").alias("owner"))
-    target = candidate.join(by_url, "url", "left").groupBy("product_id").agg(F.min("owner").alias("owner"))
+    by_url = live.groupBy("url").agg(F.min("product_id").alias("owner"), F.lit(True).alias("there"))
+    met = candidate.join(by_url, "url", "left")
     ids = live.select(F.col("product_id").alias("same")).distinct()
-    moved = candidate.join(target, "product_id").join(ids, F.col("product_id") == F.col("same"), "left")
-    moved = moved.withColumn("product_id", F.coalesce("same", "owner", "product_id")).drop("same", "owner")
-    fresh = moved.join(live.select("url").distinct(), "url", "left_anti")
+    target = met.groupBy("product_id").agg(F.min("owner").alias("owner"))
+    # null-safe, so that no test of the id is put below the shuffle that live and candidate share
+    target = target.join(ids, target["product_id"].eqNullSafe(ids["same"]), "left").select(F.col("product_id").alias("_of"), F.coalesce("same", "owner", "product_id").alias("_into"))
+    # only new urls go on to their products: of the others the first join has said all
+    fresh = met.where("there is null").drop("owner", "there")
+    fresh = fresh.join(target, fresh["product_id"].eqNullSafe(target["_of"])).withColumn("product_id", F.when(F.col("product_id").isNotNull(), F.col("_into")))
+    fresh = fresh.where("product_id is not null").select(*candidate.columns)
     return live.unionByName(keep_one(fresh, ["url"], [F.asc("product_id"), F.asc_nulls_first("price")]))
 
 
