@@ -29,6 +29,18 @@ def test_restale_batch_makes_only_pages_that_are_asked_for(spark):
     assert "LeftSemi" in plan and not re.search("SortMergeJoin.*LeftOuter.*\n.*checked_at", plan) and "BroadcastHashJoin [url" in plan
 
 
+def test_product_images_orders_no_offers(spark, tmp_path):
+    """F32: no order of all offers; a colour that is a shop's number is one picture."""
+    assert "Window" not in plan_of(B.product_images(spark, SF))
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (case when p_partkey % 2 = 0 then (select min(l_suppkey)::varchar from '{SF}/lineitem.parquet' where l_partkey = p_partkey) || ' x' else p_name end as p_name) from '{SF}/part.parquet') to '{tmp_path}/part.parquet'")
+    con.sql(f"copy (select * from '{SF}/lineitem.parquet' where l_partkey % 7 <> 0) to '{tmp_path}/lineitem.parquet'")
+    for name in ("part", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = con.sql(B.ORACLES["product_images"]).fetchall()
+    assert sorted(map(tuple, B.product_images(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_large_tables_come_in_more_parts(spark):
     rows = spark.range(1000).repartition(3)
     assert V.parted(rows, "id", 50).rdd.getNumPartitions() == 20 and V.parted(rows, "id").rdd.getNumPartitions() == 3
