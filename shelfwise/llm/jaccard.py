@@ -11,9 +11,9 @@ far as the largest l of a node that may link with them asks for. How many shared
 pair needs follows from l and both sizes.
 
 Links are looked for between different components only:
-1. tokens in two prefixes or more are found (a bitmap of fixed size; false alarms only); the
-   listed prefixes of a linked pair share a quarter of a node's size of them at least, and a
-   node with fewer is done;
+1. tokens in the prefixes of two texts or more are found (a bitmap of fixed size; false alarms
+   only); of equal texts one row stands for all. The listed prefixes of a linked pair share a
+   quarter of a node's size of them at least, and a node with fewer is done;
 2. star rounds: each node is verified against the hub with which it shares most prefix
    tokens, hubs being a few nodes of each token's list; links bring nodes under one label;
 3. the last round counts the shared prefix tokens of all pairs of different components
@@ -37,18 +37,22 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.runcounts import RunCounts, run_counts, slot
-from shelfwise.llm.state import checkpointed
+from shelfwise.llm.state import bitmap, checkpointed
 from shelfwise.llm.textkit import Words, blocks, mix, shingles
 
 WIDTH = 5
 #: Cost of verifying a candidate, in list entries read.
 VERIFY_COST = 500.0
-#: Bits of the bitmap of live tokens: by the number of runs, up to the second figure.
-LEAST_LIVE_BITS, MOST_LIVE_BITS = 20, 27
+#: Bits of the bitmap of live tokens: by the number of runs, up to the second figure. Each token has two of them.
+LEAST_LIVE_BITS, MOST_LIVE_BITS = 20, 28
+#: Bits of the bitmap of rows that stand for their texts: by the number of rows, up to the second figure.
+LEAST_CHOSEN_BITS, MOST_CHOSEN_BITS = 20, 26
+#: Prefix tokens that a task holds before it sends them on: more of them at once take fewer bytes each.
+HELD_TOKENS = 2_000_000
 #: Prefix tokens that one bucket sorts, about.
 BUCKET_TOKENS = 250_000
 #: A longer list is dealt over tasks: each pair of its parts of about this length is a list of its own.
@@ -133,32 +137,105 @@ def _packed(bucket: np.ndarray, names: list[str], arrays: list[np.ndarray]) -> I
     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), *[pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]], ["bucket", *names])
 
 
-def live_tokens(rows: DataFrame, counts: Broadcast, bits: int) -> np.ndarray:
+def chosen_rows(rows: DataFrame) -> np.ndarray:
+    """A bitmap of the marks (of id and text) of the rows that stand for their texts, those of least id.
+
+    Every text has such a row. Others may be taken for one (false alarms, and rows that repeat an id), so
+    what is found of a text's rows may be found twice and is never missed.
+    """
+    bits = min(MOST_CHOSEN_BITS, max(LEAST_CHOSEN_BITS, rows.count().bit_length() + 5))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield _chosen_places(batch.column("mark"), bits)
+
+    least = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    return bitmap(least.select(_mark()), places, bits)
+
+
+def _mark() -> Column:
+    return F.xxhash64("digest", "id").alias("mark")
+
+
+def _chosen_places(marks: pa.Array, bits: int) -> np.ndarray:
+    return (marks.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _chosen(marks: pa.Array, known: np.ndarray) -> np.ndarray:
+    """Which rows stand for their texts, by their marks."""
+    return _are_set(known, _chosen_places(marks, (8 * len(known)).bit_length() - 1))
+
+
+def _are_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+#: Slices of the bitmap of live tokens: by the first eight bits of a token.
+LIVE_SLICES = 256
+
+
+def _live_places(low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places in its slice of a token, of which the 32 bits behind the first eight are known."""
+    shift = np.uint32(40 - bits)
+    return low >> shift, (low * np.uint32(0x9E3779B1) ^ low >> np.uint32(15)) * np.uint32(0x85EBCA77) >> shift
+
+
+def _are_live(token: np.ndarray, live: np.ndarray) -> np.ndarray:
+    bits = (8 * len(live)).bit_length() - 1
+    first = (token >> np.uint64(56)).astype(np.int64) << bits - 8
+    one, two = _live_places((token >> np.uint64(24)).astype(np.uint32), bits)
+    out = _are_set(live, first + one)
+    out[out] = _are_set(live, (first + two)[out])
+    return out
+
+
+def _steps(token: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the steps between them, first bytes first: most first bytes are nought, so they pack well."""
+    return np.diff(token, prepend=np.uint32(0)).astype(">u4").view(np.uint8).reshape(-1, 4).T
+
+
+def _summed(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(">u4").reshape(-1), dtype=np.uint32)
+
+
+def live_tokens(rows: DataFrame, counts: Broadcast, chosen: Broadcast, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits of the tokens that stand in the prefixes of two texts or more."""
-    parts = 256
+
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token = np.sort(np.concatenate(held))
+        # 40 bits of a token are enough for a bitmap of false alarms: bucket and 32 more
+        bucket, low = (token >> np.uint64(56)).astype(np.int64), (token >> np.uint64(24)).astype(np.uint32)
+        cut = np.searchsorted(bucket, np.arange(LIVE_SLICES + 1))
+        some = [i for i in range(LIVE_SLICES) if cut[i + 1] > cut[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_blob(_steps(low[cut[i] : cut[i + 1]]))[0] for i in some], pa.binary())], ["bucket", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            texts = list(dict.fromkeys(batch.column("body").to_pylist()))
+            own = batch.filter(pa.array(_chosen(batch.column("mark"), chosen.value)))
+            texts = list(dict.fromkeys(own.column("body").to_pylist()))
             for a, b in blocks(texts):
                 token, doc, first = token_sets(texts[a:b], counts.value.heavy)
                 n = np.diff(first)
-                inside = np.arange(len(token)) - first[doc] < prefix_lengths(n)[doc]
-                token = np.sort(token[inside])
-                # 40 bits of a token are enough for a bitmap of false alarms: bucket and 32 more
-                yield from _packed((token >> np.uint64(56)).astype(np.int64), ["tokens"], [(token >> np.uint64(24)).astype(np.uint32)])
+                held.append(token[np.arange(len(token)) - first[doc] < prefix_lengths(n)[doc]])
+                if sum(map(len, held)) > HELD_TOKENS:
+                    yield from sent(held)
+                    held = []
+        if sum(map(len, held)):
+            yield from sent(held)
 
     def twice(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (token,) = _unblob(batches, [np.uint32])
-        token.sort()
+        unpack = zstandard.ZstdDecompressor()
+        token = np.sort(np.concatenate([_summed(unpack.decompress(x.as_py())) for batch in batches for x in batch.column("tokens")]))
         token = token[1:][token[1:] == token[:-1]]
-        slice_ = np.zeros((1 << bits) // parts, bool)
-        slice_[token >> np.uint32(40 - bits)] = True
+        slice_ = np.zeros((1 << bits) // LIVE_SLICES, bool)
+        for at in _live_places(token, bits):
+            slice_[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(slice_).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    out = np.zeros((parts, (1 << bits) // 8 // parts), np.uint8)
-    found = rows.select("body").mapInArrow(run, "bucket long, tokens binary").groupBy("bucket").applyInArrow(twice, "bucket long, bits binary")
-    for row in found.collect():  # 256 slices of one bitmap, 2**bits / 8 bytes in all
+    out = np.zeros((LIVE_SLICES, (1 << bits) // 8 // LIVE_SLICES), np.uint8)
+    found = rows.select("body", _mark()).mapInArrow(run, "bucket long, tokens binary").groupBy("bucket").applyInArrow(twice, "bucket long, bits binary")
+    for row in found.collect():  # slices of one bitmap, 2**bits / 8 bytes in all
         out[row.bucket] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(-1)
 
@@ -166,32 +243,32 @@ def live_tokens(rows: DataFrame, counts: Broadcast, bits: int) -> np.ndarray:
 ROWS = "id {kind}, n long, node binary, level int, tokens binary, places binary, body binary"
 
 
-def described(rows: DataFrame, kind: str, counts: Broadcast, live: Broadcast) -> DataFrame:
+def described(rows: DataFrame, kind: str, counts: Broadcast, chosen: Broadcast, live: Broadcast) -> DataFrame:
     """id, n and node (digest of the set) of every row; for nodes with tokens that others
-    list too also level, those tokens, their places in the order, and the packed text."""
+    list too also level, those tokens, their places in the order, and the packed text, in one row of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live_ = live.value
-        shift = np.uint64(65 - (8 * len(live_)).bit_length())
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             bodies, ids = batch.column("body").to_pylist(), batch.column("id")
+            stands = _chosen(batch.column("mark"), chosen.value)
             for a, b in blocks(bodies):
                 texts = bodies[a:b]
                 token, doc, first = token_sets(texts, counts.value.heavy)
                 n = np.diff(first)
                 level = levels_of(token, first, counts.value)
                 place = np.arange(len(token)) - first[doc]
-                at = (token >> shift).astype(np.int64)
-                good = (place < prefix_lengths(n)[doc]) & ((live_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+                good = place < prefix_lengths(n)[doc]
+                good[good] = _are_live(token[good], live.value)
                 good &= (np.bincount(doc[good], minlength=len(texts)) >= largest_level(n))[doc]
                 shared, whose, places = token[good], doc[good], place[good].astype(np.int32)
                 cut = np.searchsorted(whose, np.arange(len(texts) + 1))
                 nodes, toks, plcs, packed, seen = [], [], [], [], set()
                 for i, t in enumerate(texts):
                     node = hashlib.blake2b(token[first[i] : first[i + 1]].tobytes(), digest_size=16).digest()
-                    new = node not in seen and cut[i + 1] > cut[i]
-                    seen.add(node)
+                    new = stands[a + i] and node not in seen and cut[i + 1] > cut[i]
+                    if new:
+                        seen.add(node)
                     nodes.append(node)
                     toks.append(shared[cut[i] : cut[i + 1]].tobytes() if new else None)
                     plcs.append(places[cut[i] : cut[i + 1]].tobytes() if new else None)
@@ -199,7 +276,7 @@ def described(rows: DataFrame, kind: str, counts: Broadcast, live: Broadcast) ->
                 cols = [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(level.astype(np.int32)), pa.array(toks, pa.binary()), pa.array(plcs, pa.binary()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "level", "tokens", "places", "body"])
 
-    return rows.mapInArrow(run, ROWS.format(kind=kind))
+    return rows.select("id", "body", _mark()).mapInArrow(run, ROWS.format(kind=kind))
 
 
 ENTRY_KINDS = [np.uint64, np.int64, np.int32, np.int32, np.int32, np.int64, np.float64, np.int64, np.float64, np.int64, np.float64]
@@ -449,13 +526,15 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """key, n_shingles and component_id (the smallest id that links reach) of every row."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
+    rows = rows.withColumn("digest", F.substring(F.unhex(F.sha2("body", 256)), 1, 16))
     kind = rows.schema["id"].dataType.simpleString()
     context = docs.sparkSession.sparkContext
     counts = context.broadcast(run_counts(rows, "body", WIDTH, lower=True))  # of a bounded size, as is the bitmap
-    bits = min(MOST_LIVE_BITS, max(LEAST_LIVE_BITS, counts.value.total.bit_length() + 1))
-    live = context.broadcast(live_tokens(rows, counts, bits))
-    all_rows = checkpointed(described(rows, kind, counts, live))
-    for sent in (counts, live):
+    chosen = context.broadcast(chosen_rows(rows))
+    bits = min(MOST_LIVE_BITS, max(LEAST_LIVE_BITS, counts.value.total.bit_length() - 1))
+    live = context.broadcast(live_tokens(rows, counts, chosen, bits))
+    all_rows = checkpointed(described(rows, kind, counts, chosen, live))
+    for sent in (counts, chosen, live):
         sent.destroy()
 
     alive = all_rows.where(F.col("tokens").isNotNull()).groupBy("node").agg(F.first(F.struct("n", "level", "tokens", "places", "body")).alias("p"))
